@@ -34,8 +34,8 @@ def remainder(id_col: str, divisor: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("null"))) % divisor
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
-    """The batches cut into slices of about SLICE_BYTES of text (one row at least)."""
+def slices(batches: Iterator[pa.RecordBatch], text: str, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches cut into slices of about size bytes of text (one row at least)."""
     import numpy as np
     import pyarrow.compute as pc
 
@@ -43,21 +43,21 @@ def slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBa
         if not batch.num_rows:
             continue
         sizes = pc.fill_null(pc.binary_length(batch[text]), 0).to_numpy(zero_copy_only=False)
-        ends = np.cumsum(sizes, dtype=np.int64) // SLICE_BYTES
+        ends = np.cumsum(sizes, dtype=np.int64) // size
         cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
             if b > a:
                 yield batch.slice(a, b - a)
 
 
-def map_text(df: DataFrame, keep: list[str], text: str, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+def map_text(df: DataFrame, keep: list[str], text: str, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, size: int = SLICE_BYTES) -> DataFrame:
     """Applies f to slices of the columns keep and text."""
 
     def run(batches):
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, size):
             yield f(batch)
 
-    return df.select(*keep, F.col(text)).mapInArrow(run, schema)
+    return df.select(*keep, *([] if text in keep else [text])).mapInArrow(run, schema)
 
 
 def let(value: Column, f: Callable[[Column], Column]) -> Column:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
+from functools import lru_cache
+
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import automaton, vocabulary
+from .bpe import PRE_TOKEN, byte_letters, vocabulary
 from .common import map_text
 
 #: Production parameters: tokens of a sequence; documents that a group holds on average; seed of the groups.
@@ -16,6 +19,24 @@ GROUP_DOCUMENTS = 8192
 SEED = 20
 
 
+@lru_cache(maxsize=2)
+def encoder(content: bytes):
+    """A function from texts to ids (little-endian unsigned 32-bit), by the tiktoken library with the vocabulary of a file of the tokenizers library.
+
+    In such a file ids are ranks: bytes first, then the result of each merge in turn, else it raises.
+    """
+    import tiktoken
+
+    spec, letters = json.loads(content), byte_letters()
+    special = {x["content"]: x["id"] for x in spec["added_tokens"]}
+    ranks = {bytes(letters[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
+    parts = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
+    if [ranks[bytes(letters[c] for c in a + b)] for a, b in parts] != list(range(256, 256 + len(parts))):
+        raise ValueError("the ids of this vocabulary aren't the ranks of its merges")
+    made = tiktoken.Encoding("file", pat_str=PRE_TOKEN.replace(r"^\p{White_Space}", r"^\s").replace(r"\P{White_Space}", r"\S").replace(r"\p{White_Space}", r"\s"), mergeable_ranks=ranks, special_tokens=special)
+    return lambda text: made.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False).tobytes()
+
+
 class CapacityTree:
     """Tournament tree over the free tokens of n bins: each node has the greater value of its two, so that the leftmost bin with enough room is found in log2(n) steps."""
 
@@ -59,10 +80,10 @@ def tokenize_pieces(df: DataFrame, path: str, id_col: str = "doc_id", text_col:
     end, step = end_id.to_bytes(4, "little"), 4 * capacity
 
     def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-        a = automaton(shared.value)
+        encode = encoder(shared.value)
         rows, start, ids, total = [], [], [], []
         for row, text in enumerate(batch[text_col].to_pylist()):
-            whole = (a.encode(text) if text else b"") + end
+            whole = (encode(text) if text else b"") + end
             for at in range(0, len(whole), step):
                 rows.append(row)
                 start.append(at // 4)

@@ -28,6 +28,7 @@ def ids(text):
 def test_automaton_is_the_library(text):
     made = AUTOMATON.encode(text)
     assert np.frombuffer(made, "<u4").tolist() == ids(text)
+    assert packing.encoder(bpe.vocabulary(BPE))(text) == made
     assert AUTOMATON.decode(made) == LIBRARY.decode(ids(text), skip_special_tokens=False) == text
 
 

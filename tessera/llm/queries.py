@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, language, media, packing, quality, sql, token_counts
+from . import bpe, chat, language, lm, media, packing, quality, sql, token_counts
 from .common import remainder, table
 
 
@@ -76,5 +76,10 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_language, op3_packing, op4_bpe, op6_token_counts, op7_audio, op8_chat)}
+def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = lm.score(table(spark, sf_dir, "documents"), remainder("doc_id", 7) != 2)
+    return made.select("doc_id", (~F.col("learns")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_language, op3_packing, op4_bpe, op6_token_counts, op7_audio, op8_chat, op10_lm)}
 ORACLE_SQL: dict[str, str] = {"op1_quality": sql.OP1}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, language, lm, media, packing, quality, sql, token_counts
+from . import bpe, chat, jaccard, language, lm, media, packing, quality, sql, token_counts
 from .common import remainder, table
 
 
@@ -39,6 +39,10 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), ids_sha256, decoded_sha256)
 
 
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_classes(table(spark, sf_dir, "documents"), words=3, threshold=(90, 100))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary_path("piece_bpe_32k.model"))
     return counted.withColumn("over_limit", F.col("n_tokens") > 4096)
@@ -81,5 +85,5 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", (~F.col("learns")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_language, op3_packing, op4_bpe, op6_token_counts, op7_audio, op8_chat, op10_lm)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_language, op3_packing, op4_bpe, op5_jaccard, op6_token_counts, op7_audio, op8_chat, op10_lm)}
 ORACLE_SQL: dict[str, str] = {"op1_quality": sql.OP1}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, jaccard, language, lm, media, packing, quality, sql, token_counts
+from . import bpe, chat, jaccard, language, lm, media, packing, quality, sql, token_counts, warc
 from .common import remainder, table
 
 
@@ -80,10 +80,27 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def captures(pages: DataFrame) -> DataFrame:
+    """Each page as a full response at time 2 * page_id, and a not-modified answer to the request for its next version at 3 * page_id + 1."""
+    tag = F.md5(F.coalesce("html", F.lit("")))
+    header = lambda **more: F.create_map(*(x for k, v in more.items() for x in (F.lit(k.replace("_", "-")), v)))
+    date = lambda at: at.cast("string")
+    first, again = 2 * F.col("page_id"), 3 * F.col("page_id") + 1
+    response = pages.select((2 * F.col("page_id")).alias("record_id"), F.lit("response").alias("kind"), "url", first.alias("at"), header(etag=tag, date=date(first), content_type=F.lit("text/html"), content_length=F.octet_length("html").cast("string")).alias("headers"))
+    revisit = pages.select((2 * F.col("page_id") + 1).alias("record_id"), F.lit("revisit").alias("kind"), "url", again.alias("at"), header(etag=F.concat(F.lit("W/"), tag), date=date(again), content_type=F.lit("message/http")).alias("headers"))
+    return response.unionByName(revisit)
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = warc.resolve_revisits(captures(table(spark, sf_dir, "pages")))
+    lines = F.array_join(F.transform(F.array_sort(F.map_entries("headers")), lambda x: F.concat(x["key"], F.lit(": "), x["value"])), "\n")
+    return made.select("record_id", "kind", "canonical", "at", "status", "response_id", F.md5(lines).alias("headers_md5"))
+
+
 def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = lm.score(table(spark, sf_dir, "documents"), remainder("doc_id", 7) != 2)
     return made.select("doc_id", (~F.col("learns")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_language, op3_packing, op4_bpe, op5_jaccard, op6_token_counts, op7_audio, op8_chat, op10_lm)}
-ORACLE_SQL: dict[str, str] = {"op1_quality": sql.OP1}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_language, op3_packing, op4_bpe, op5_jaccard, op6_token_counts, op7_audio, op8_chat, op9_warc, op10_lm)}
+ORACLE_SQL: dict[str, str] = {"op1_quality": sql.OP1, "op9_warc": sql.OP9}

@@ -48,3 +48,24 @@ judged AS (SELECT f.*, NOT base_failed AND {" AND ".join(inside)} AS kept FROM f
 
 OP1 = f"""WITH {_quality()}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept FROM judged"""
+
+
+def _headers(*pairs: tuple[str, str]) -> str:
+    """The lines of a header, sorted by name; a null value gives no line."""
+    return "md5(concat_ws(chr(10), " + ", ".join(f"'{k}: ' || {v}" for k, v in sorted(pairs)) + "))"
+
+
+OP9 = rf"""WITH cut AS (SELECT page_id, md5(coalesce(html, '')) AS tag, CAST(strlen(html) AS VARCHAR) AS size, regexp_replace(trim(url), '#.*$', '') AS u FROM pages),
+parts AS (SELECT *, regexp_matches(u, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?]*)([^?]*)\??(.*)$') AS ok,
+  regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?]*)([^?]*)\??(.*)$', 1) AS h, regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?]*)([^?]*)\??(.*)$', 2) AS p,
+  array_to_string(list_sort(list_filter(string_split(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?]*)([^?]*)\??(.*)$', 3), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[^=]*|ref|fbclid|gclid)(=.*)?$'))), '&') AS q FROM cut),
+named AS (SELECT page_id, tag, size, CASE WHEN ok THEN regexp_replace(regexp_replace(regexp_replace(lower(h), '^[^@]*@', ''), '^www\.', ''), ':(80|443)$', '') || regexp_replace(p, '/+$', '') || CASE WHEN q <> '' THEN '?' || q ELSE '' END ELSE lower(u) END AS canonical FROM parts),
+full_ AS (SELECT page_id, canonical, 2 * page_id AS "at", tag, size FROM named),
+again AS (SELECT page_id, canonical, 3 * page_id + 1 AS "at", tag FROM named),
+joined AS (SELECT a.*, r.page_id AS r_page, r.tag AS r_tag, r.size AS r_size FROM again a ASOF LEFT JOIN full_ r ON a.canonical = r.canonical AND a."at" > r."at"),
+done AS (SELECT *, CASE WHEN r_page IS NULL THEN 'missing' WHEN tag = r_tag THEN 'resolved' ELSE 'changed' END AS status FROM joined)
+SELECT 2 * page_id AS record_id, 'response' AS kind, canonical, "at", NULL AS status, CAST(NULL AS BIGINT) AS response_id,
+  {_headers(("etag", "tag"), ("date", 'CAST("at" AS VARCHAR)'), ("content-type", "'text/html'"), ("content-length", "size"))} AS headers_md5 FROM full_
+UNION ALL SELECT 2 * page_id + 1, 'revisit', canonical, "at", status, CASE WHEN status = 'resolved' THEN 2 * r_page END,
+  CASE WHEN status = 'resolved' THEN {_headers(("etag", "'W/' || tag"), ("date", 'CAST("at" AS VARCHAR)'), ("content-type", "'text/html'"), ("content-length", "r_size"))}
+  ELSE {_headers(("etag", "'W/' || tag"), ("date", 'CAST("at" AS VARCHAR)'), ("content-type", "'message/http'"))} END FROM done"""

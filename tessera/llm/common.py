@@ -50,6 +50,12 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, size: int = SLICE_BYTES
                 yield batch.slice(a, b - a)
 
 
+def without(df: DataFrame, ids: DataFrame, column: str, broadcast: int = 1_000_000) -> DataFrame:
+    """The rows of df whose id (column) isn't among ids (one column of that name, no nulls). Null ids stay. The ids are broadcast if there are at most broadcast of them, and joined otherwise."""
+    ids = cut(ids.distinct())
+    return df.join(F.broadcast(ids) if ids.count() <= broadcast else ids, column, "left_anti")
+
+
 def map_text(df: DataFrame, keep: list[str], text: str, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, size: int = SLICE_BYTES) -> DataFrame:
     """Applies f to slices of the columns keep and text."""
 

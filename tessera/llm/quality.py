@@ -22,6 +22,8 @@ GROUP_DOCUMENTS = 200
 REACH = 3
 #: Copies of a threshold row: documents of one group join by a salt.
 SALTS = 32
+#: Groups whose fences are broadcast at most.
+BROADCAST = 50_000
 #: Measures as (name, SQL over the counts, allowance above, allowance below or None for no lower fence).
 MEASURES = (
     ("word_length", "1000 * word_chars div n_words", 3000, 1500),
@@ -66,10 +68,10 @@ def measure(df: DataFrame, text_col: str = "text") -> Column:
     return F.struct(windows.alias("w"), without(" \t\n\x0b\x0c\r").alias("word_chars"), (F.char_length(text) - without("#*$%&|<>")).alias("n_symbols"), lines.alias("l"))
 
 
-def features(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """id_col, lang, source, the counts, base_failed and the measures (null if base_failed) of every whole text."""
-    counted = df.select(F.col(id_col), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), measure(df, text_col).alias("c"))
-    counted = counted.select(id_col, "lang", "source", F.col("c.w.n").alias("n_words"), "c.word_chars", "c.n_symbols", F.col("c.l.n").alias("n_lines"), F.expr("c.l.n - c.l.d").alias("n_dup_lines"), F.col("c.w.r").alias("n_repeat_words"))
+def features(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", more: tuple[str, ...] = ()) -> DataFrame:
+    """id_col, lang, source, the columns more, the counts, base_failed and the measures (null if base_failed) of every whole text."""
+    counted = df.select(F.col(id_col), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), measure(df, text_col).alias("c"), *more)
+    counted = counted.select(id_col, "lang", "source", *more, F.col("c.w.n").alias("n_words"), "c.word_chars", "c.n_symbols", F.col("c.l.n").alias("n_lines"), F.expr("c.l.n - c.l.d").alias("n_dup_lines"), F.col("c.w.r").alias("n_repeat_words"))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return counted.withColumn("base_failed", failed).withColumns({f"m_{n}": F.expr(f"CASE WHEN NOT base_failed THEN {sql} END") for n, sql, _, _ in MEASURES})
 
@@ -116,14 +118,35 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     with the fences is salted, so that one group with a third of all rows spreads over SALTS tasks.
     """
     made = cut(features(df, id_col, text_col, lang_col, source_col))
-    fence = fences(sketches(made), group_documents).select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *(F.col(f"{p}_{m[0]}") for m in MEASURES for p in ("low", "high") if p == "high" or m[3] is not None))
-    fence = fence.withColumn("_salt", F.explode(F.array(*(F.lit(i) for i in range(SALTS)))))
+    return judged(made, fences(sketches(made), group_documents), id_col).select(id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def kept_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", group_documents: int = GROUP_DOCUMENTS, broadcast: int = BROADCAST) -> DataFrame:
+    """The rows of df that quality_rules keeps, with all their columns.
+
+    The features are computed a second time with the rows at hand, so that the texts needn't be shuffled to their verdicts.
+    The fences are broadcast if they are of at most broadcast groups.
+    """
+    narrow = cut(features(df, id_col, text_col, lang_col, source_col))
+    fence = cut(fences(sketches(narrow), group_documents))
+    names = df.columns
+    whole = df.select(F.struct(*names).alias("_whole"), *(F.col(c) for c in {id_col, text_col, lang_col, source_col}))
+    made = features(whole, id_col, text_col, lang_col, source_col, more=("_whole",))
+    return judged(made, fence, id_col, broadcast=fence.count() <= broadcast).filter("kept").select("_whole.*")
+
+
+def judged(made: DataFrame, fence: DataFrame, id_col: str, broadcast: bool = False) -> DataFrame:
+    """The features with kept. The join with the fences is salted unless they are broadcast."""
+    fence = fence.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *(F.col(f"{p}_{m[0]}") for m in MEASURES for p in ("low", "high") if p == "high" or m[3] is not None))
     inside = F.lit(True)
     for name, _, _, below in MEASURES:
         inside &= F.col(f"m_{name}") <= F.col(f"high_{name}")
         if below is not None:
             inside &= F.col(f"m_{name}") >= F.col(f"low_{name}")
-    salted = made.withColumn("_row_salt", F.pmod(F.xxhash64(id_col, "word_chars"), F.lit(SALTS)).cast("int"))
-    joined = salted.join(fence, (F.col("_row_salt") == F.col("_salt")) & F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
-    kept = ~F.col("base_failed") & F.coalesce(inside, F.lit(False))
-    return joined.select(id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"))
+    on = F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source"))
+    if broadcast:
+        joined = made.join(F.broadcast(fence), on, "left")
+    else:
+        salted = made.withColumn("_row_salt", F.pmod(F.xxhash64(id_col, "word_chars"), F.lit(SALTS)).cast("int"))
+        joined = salted.join(fence.withColumn("_salt", F.explode(F.array(*(F.lit(i) for i in range(SALTS))))), (F.col("_row_salt") == F.col("_salt")) & on, "left")
+    return joined.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False)))

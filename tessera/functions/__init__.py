@@ -1 +1 @@
-
+"""Scalar expressions on vectors and measurements."""

@@ -1 +1 @@
-
+"""Operators on DataFrames: clustering, statistics, joins, set operations, parity."""

@@ -1 +1,40 @@
+"""Choices about execution: session defaults, lineage, size limits of what tasks hold."""
 
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
+
+#: Rows of points that one task compares with as many others.
+BLOCK = 2048
+#: Constants in an expression plan; beyond, assignment runs on Arrow batches with matrix products.
+EXPRESSION_CONSTANTS = 2048
+
+SESSION = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.parquet.filterPushdown": "true",
+}
+
+
+def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
+    """Adds the settings that the operators are designed for to a session's builder."""
+    for key, value in SESSION.items():
+        builder = builder.config(key, value)
+    return builder
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Writes df to the shared checkpoint folder, which survives lost executors, and returns it without its lineage."""
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-checkpoint-"))
+    return df.checkpoint(eager=True)
+
+
+def uses_expressions(clusters: int, dimensions: int) -> bool:
+    """Whether assignment to so many centers is planned as JVM expressions rather than on Arrow batches."""
+    return clusters * dimensions <= EXPRESSION_CONSTANTS

@@ -31,8 +31,8 @@ from .shingles import shingled
 
 #: Production parameters: bits of a parity, counters of the shingle sketch and how far above their mean one counts as common.
 BITS, COUNTERS, COMMON = 1024, 1 << 20, 4
-#: Classes of a region, and bytes of sets of a component, that one task compares; ids that are broadcast at most.
-REGION, COMPONENT_BYTES, BROADCAST = 8192, 32 << 20, 1_000_000
+#: Classes of a region, and bytes of sets of a component, that one task compares; classes of possible links that are broadcast at most.
+REGION, COMPONENT_BYTES, BROADCAST = 8192, 32 << 20, 200_000
 TEXT_BYTES = 4 << 20
 _WORDS = BITS // 64
 
@@ -264,47 +264,65 @@ def _cut_by_windows(members: DataFrame, t: tuple[int, int], region: int, rounds:
 
 def candidate_links(classes: DataFrame, t: tuple[int, int], region: int = REGION) -> DataFrame:
     """Edges (a, b of cid) such that linked classes are connected. classes: cid, n, parity, regions."""
-    rows = classes.select("cid", "n", F.explode("regions").alias("key"))
+    rows = classes.select("cid", F.col("n").cast("int").alias("n"), F.explode("regions").alias("key"))
+    shared = rows.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
+    rows = cut(rows.join(shared, "key"))
     own = F.xxhash64("cid")
-    cells = rows.groupBy("key").agg(F.count("*").alias("members"), F.min("cid").alias("a"), F.max("cid").alias("b"), F.min("n").alias("least"), F.max("n").alias("most"), F.bit_xor(own).alias("h1"), F.sum(F.pmod(own, F.lit(1 << 40))).alias("h2"))
-    cells = cut(cells.filter("members > 1"))
-    pairs = cells.filter((F.col("members") == 2) & (F.lit(t[1]) * F.col("least") >= F.lit(t[0]) * F.col("most"))).select("a", "b").distinct()
+    fits = F.lit(t[1]) * F.min("n").cast("long") >= F.lit(t[0]) * F.max("n").cast("long")
+    cells = rows.groupBy("key").agg(F.count("*").alias("members"), F.min("cid").alias("a"), F.max("cid").alias("b"), fits.alias("fits"), F.bit_xor(own).alias("h1"), F.sum(F.pmod(own, F.lit(1 << 40))).alias("h2"))
     # regions with one and the same set of members need be searched once
-    larger = cells.filter("members > 2").groupBy("members", "a", "b", "h1", "h2").agg(F.min("key").alias("key")).select("key")
-    members = rows.join(larger, "key").join(classes.select("cid", "parity"), "cid").select("key", "cid", "n", "parity")
-    small, large = _cut_by_windows(cut(members), t, region)
+    cells = cut(cells.groupBy("members", "a", "b", "fits", "h1", "h2").agg(F.min("key").alias("key")))
+    pairs = cells.filter("members = 2 AND fits").select("a", "b")
+    parity = classes.select("cid", "parity")
+    members = rows.drop("members").join(cells.filter(F.col("members").between(3, region)).select("key"), "key").join(parity, "cid").select("key", "cid", "n", "parity")
 
     def pairs_of(group: pa.Table, left):
         parity = np.frombuffer(b"".join(group["parity"].to_pylist()), np.uint64).reshape(-1, _WORDS)
-        return possible_links(group["n"].to_numpy(), parity, t, left)
-
-    found = pairs.unionByName(_per_group(small, ["key"], pairs_of))
-    if not large.isEmpty():
-        counts = large.groupBy("key").agg(F.ceil(F.count("*") * 2 / region).cast("int").alias("blocks"))
-        found = found.unionByName(_per_group(_blocks(large.join(counts, "key"), "key", "blocks"), ["key", "i", "j"], pairs_of))
+        return possible_links(group["n"].to_numpy().astype(np.int64), parity, t, left)
+
+    found = pairs.unionByName(_per_group(members, ["key"], pairs_of))
+    hot = cells.filter(F.col("members") > region).select("key")
+    if not hot.isEmpty():
+        hot = rows.drop("members").join(hot, "key").join(parity, "cid").select("key", "cid", F.col("n").cast("long").alias("n"), "parity")
+        small, large = _cut_by_windows(cut(hot), t, region)
+        found = found.unionByName(_per_group(small, ["key"], pairs_of))
+        if not large.isEmpty():
+            counts = large.groupBy("key").agg(F.ceil(F.count("*") * 2 / region).cast("int").alias("blocks"))
+            found = found.unionByName(_per_group(_blocks(large.join(counts, "key"), "key", "blocks"), ["key", "i", "j"], pairs_of))
     return found.distinct()
 
 
 def sets_of(df: DataFrame, wanted: DataFrame, id_col: str, text_col: str, n: int, broadcast: int = BROADCAST) -> DataFrame:
-    """The rows of wanted (sig, doc, more) with shingles (binary), from the documents that stand for the classes. The ids go to the tasks if they are few, else by a join."""
-    ids = wanted.select(F.col("doc").alias("_doc")).distinct()
-    few = ids.limit(broadcast + 1).collect()
+    """The rows of wanted (sig, doc, cid, root, blocks) with shingles (binary), from the documents that stand for the classes.
+
+    If wanted has at most broadcast rows, tasks get it and look at its documents alone; otherwise texts and classes are joined.
+    A document that is there twice gives its row twice.
+    """
+    few = wanted.limit(broadcast + 1).collect()
     chosen = df.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text"))
-    if len(few) > broadcast:
-        chosen = chosen.join(ids, chosen["_doc"].eqNullSafe(ids["_doc"]), "left_semi")
-        shared = None
+    shared = None
+    if len(few) <= broadcast:
+        shared = df.sparkSession.sparkContext.broadcast(({r.doc for r in few}, {bytes(r.sig): (r.cid, r.root, r.blocks) for r in few}))
     else:
-        shared = df.sparkSession.sparkContext.broadcast({r[0] for r in few})
+        ids = wanted.select(F.col("doc").alias("_id")).distinct()
+        chosen = chosen.join(ids, F.col("_doc").eqNullSafe(F.col("_id")), "left_semi")
 
     def f(batch: pa.RecordBatch) -> pa.RecordBatch:
         if shared is not None:
-            batch = batch.filter(pa.array([x in shared.value for x in batch["_doc"].to_pylist()], pa.bool_()))
+            docs = shared.value[0]
+            batch = batch.filter(pa.array([x in docs for x in batch["_doc"].to_pylist()], pa.bool_()))
         sets = [own for own, _ in _sets(batch, "_text", n)] if batch.num_rows else []
-        sets = [s for s in sets if len(s)]
-        return pa.RecordBatch.from_arrays([pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["sig", "shingles"])
+        sigs = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+        known = shared.value[1] if shared is not None else {}
+        rows = [(sig, s.tobytes(), *known.get(sig, (None, None, None))) for s, sig in zip(sets, sigs) if len(s) and (shared is None or sig in known)]
+        columns = list(zip(*rows)) or [[]] * 5
+        kinds = [pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int32()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["sig", "shingles", "cid", "root", "blocks"])
 
-    made = map_text(chosen, ["_doc"], "_text", f, "sig binary, shingles binary", TEXT_BYTES)
-    return made.join(wanted, "sig").dropDuplicates(["cid"])
+    made = map_text(chosen, ["_doc"], "_text", f, "sig binary, shingles binary, cid long, root long, blocks int", TEXT_BYTES)
+    if shared is None:
+        made = made.select("sig", "shingles").join(wanted.select("sig", "cid", "root", "blocks"), "sig")
+    return made.select("cid", "root", "blocks", "shingles")
 
 
 def join_links(classes: DataFrame, df: DataFrame, id_col: str, text_col: str, n: int, t: tuple[int, int], region: int = REGION, component_bytes: int = COMPONENT_BYTES) -> DataFrame:
@@ -314,7 +332,7 @@ def join_links(classes: DataFrame, df: DataFrame, id_col: str, text_col: str, n:
     blocks = F.when(F.col("shingles") * 8 > component_bytes, F.ceil(F.col("shingles") * 16 / component_bytes)).otherwise(1).cast("int")
     sizes = coarse.groupBy("root").agg(F.sum("n").alias("shingles")).select("root", blocks.alias("blocks"))
     coarse = cut(coarse.join(sizes, "root").select("cid", "sig", "doc", "root", "blocks"))
-    members = sets_of(df, coarse, id_col, text_col, n).select("cid", "root", "blocks", "shingles")
+    members = sets_of(df, coarse, id_col, text_col, n)
 
     def pairs_of(group: pa.Table, left):
         return exact_links([np.frombuffer(s, np.uint64) for s in group["shingles"].to_pylist()], t, left)

@@ -16,6 +16,8 @@ from tessera.llm.queries import vocabulary_path
 
 #: Least calibrated probability of the predicted language.
 LEAST_SCORE = 0.4
+#: Ids that are broadcast at most.
+FEW = 200_000
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -41,7 +43,7 @@ def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     again = cut(ids.filter("stays AND rows > 1").select("doc_id"))
     if again.isEmpty():
         return kept
-    few = F.broadcast(again) if again.count() <= jaccard.BROADCAST else again
+    few = F.broadcast(again) if again.count() <= FEW else again
     return without(kept, again, "doc_id").unionByName(kept.join(few, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
 
 

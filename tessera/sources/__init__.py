@@ -1 +1 @@
-
+"""Readers and writers of samples, timing records, metrics and stage artifacts."""

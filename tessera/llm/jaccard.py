@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_text
+from .common import cut, map_text, slices
 from .components import components
 from .shingles import shingled
 
@@ -33,7 +33,7 @@ from .shingles import shingled
 BITS, COUNTERS, COMMON = 1024, 1 << 20, 4
 #: Classes of a region, and bytes of sets of a component, that one task compares; classes of possible links that are broadcast at most.
 REGION, COMPONENT_BYTES, BROADCAST = 8192, 32 << 20, 200_000
-TEXT_BYTES = 4 << 20
+TEXT_BYTES = 1 << 20
 _WORDS = BITS // 64
 
 
@@ -57,12 +57,11 @@ def sketch(df: DataFrame, text_col: str, n: int, counters: int = COUNTERS) -> np
 
     def count(batches):
         total = None
-        for batch in batches:
-            for a in range(0, batch.num_rows, 512):
-                hashes, _, _ = shingled(batch.slice(a, 512)[text_col], n)
-                if len(hashes):
-                    got = np.bincount((hashes >> np.uint64(40)).astype(np.int64) % counters, minlength=counters).astype(np.uint32)
-                    total = got if total is None else total + got
+        for batch in slices(batches, text_col, TEXT_BYTES):
+            hashes, _, _ = shingled(batch[text_col], n)
+            if len(hashes):
+                total = np.zeros(counters, np.uint32) if total is None else total
+                np.add.at(total, (hashes >> np.uint64(40)).astype(np.int64) % counters, np.uint32(1))
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array(range(pieces), pa.int32()), pa.array([total[k * side : (k + 1) * side].tobytes() for k in range(pieces)], pa.binary())], names=["k", "n"])
 

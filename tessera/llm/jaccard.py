@@ -6,8 +6,9 @@ Documents with one set of shingles form a class, and classes are joined by their
    others; of its nearest pivots the one that comes first in an order common to all (rare and long shingles first) is its
    region. Within the join's radius a partner holds all but n - ceil(t n) of the class's shingles, so the
    class is replicated to that many regions more, and any two linked classes meet in one.
-2. In a region, classes are points in the space of 1024-bit parities of their sets, whose Hamming distance is never more than
-   the symmetric difference of the sets. A region is searched from one pivot after another; only points in the window that the
+2. In a region, classes are points in a space of parities: bit i tells whether an odd number of the set's hashes end in i.
+   Two parities' Hamming distance is never more than the symmetric difference of the sets, and near it, as there are twice as
+   many bits as shingles or more; folding the longer one in half makes parities of two sizes comparable. A region is searched from one pivot after another; only points in the window that the
    triangle inequality leaves around the pivot's distance to an origin are compared. A large region is first cut by
    windows around such an origin, with the points at the borders in both windows, again and again while that helps, and
    then into blocks that are compared pair by pair. What comes out is a forest of possible links for each region.
@@ -29,12 +30,11 @@ from .common import cut, map_text, slices
 from .components import components
 from .shingles import shingled
 
-#: Production parameters: bits of a parity, counters of the shingle sketch and how far above their mean one counts as common.
-BITS, COUNTERS, COMMON = 1024, 1 << 20, 4
+#: Production parameters: bits of a parity at least and at most, counters of the shingle sketch and how far above their mean one counts as common.
+BITS, MOST_BITS, COUNTERS, COMMON = 256, 1 << 17, 1 << 20, 4
 #: Classes of a region, and bytes of sets of a component, that one task compares; classes of possible links that are broadcast at most.
 REGION, COMPONENT_BYTES, BROADCAST = 8192, 32 << 20, 200_000
 TEXT_BYTES = 1 << 20
-_WORDS = BITS // 64
 
 
 def least_shared(n: int | np.ndarray, t: tuple[int, int]):
@@ -79,30 +79,46 @@ def sketch(df: DataFrame, text_col: str, n: int, counters: int = COUNTERS) -> np
     return np.where(excess > 1, 1 + np.log2(np.maximum(excess, 1)), 0).astype(np.uint8)
 
 
+def parity_of(hashes: np.ndarray) -> bytes:
+    """The parity of a set: a power of 2 of bits, twice as many as hashes or more within BITS and MOST_BITS."""
+    bits = min(MOST_BITS, max(BITS, 1 << (2 * len(hashes) - 1).bit_length()))
+    return np.packbits((np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(bool)).tobytes()
+
+
+def folded(parity: np.ndarray, words: int) -> np.ndarray:
+    """Parities (rows of 64-bit words) of so many words, by adding halves."""
+    while parity.shape[1] > words:
+        half = parity.shape[1] // 2
+        parity = parity[:, :half] ^ parity[:, half:]
+    return parity
+
+
 def signatures(df: DataFrame, common: np.ndarray, id_col: str, text_col: str, n: int, t: tuple[int, int]) -> DataFrame:
-    """id_col, n (size of the set), sig (16 bytes that name the set; null if empty), parity (binary), regions (array of the shingles whose regions hold the class)."""
+    """id_col, n (size of the set), sig (16 bytes that name the set; null if empty), parity (binary), origin (the same folded to BITS), regions (array of the shingles whose regions hold the class)."""
     shared = df.sparkSession.sparkContext.broadcast(common)
 
     def f(batch: pa.RecordBatch) -> pa.RecordBatch:
         levels = shared.value
-        sizes, sigs, parities, regions = [], [], [], []
+        sizes, sigs, parities, origins, regions = [], [], [], [], []
         for own, size in _sets(batch, text_col, n):
             sizes.append(len(own))
             if not len(own):
                 sigs.append(None)
                 parities.append(None)
+                origins.append(None)
                 regions.append(None)
                 continue
             sigs.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
-            parities.append(np.packbits((np.bincount((own & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1).astype(bool)).tobytes())
+            parities.append(parity_of(own))
+            origins.append(folded(np.frombuffer(parities[-1], np.uint64)[None], BITS // 64).tobytes())
             order = np.lexsort((own, -size, levels[(own >> np.uint64(40)).astype(np.int64) % len(levels)]))
             regions.append(own[order[: len(own) - least_shared(len(own), t) + 1]].view(np.int64))
-        return pa.RecordBatch.from_arrays([batch[id_col], pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), pa.array(parities, pa.binary()), pa.array(regions, pa.list_(pa.int64()))], names=[id_col, "n", "sig", "parity", "regions"])
+        return pa.RecordBatch.from_arrays([batch[id_col], pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), pa.array(parities, pa.binary()), pa.array(origins, pa.binary()), pa.array(regions, pa.list_(pa.int64()))], names=[id_col, "n", "sig", "parity", "origin", "regions"])
 
-    return map_text(df, [id_col], text_col, f, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, n long, sig binary, parity binary, regions array<long>", TEXT_BYTES)
+    return map_text(df, [id_col], text_col, f, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, n long, sig binary, parity binary, origin binary, regions array<long>", TEXT_BYTES)
 
 
-def possible_links(sizes: np.ndarray, parity: np.ndarray, t: tuple[int, int], left: np.ndarray | None = None) -> list[tuple[int, int]]:
+def possible_links(sizes: np.ndarray, parities: list[bytes], t: tuple[int, int], left: np.ndarray | None = None) -> list[tuple[int, int]]:
     """A forest over the points whose sets may be linked: sizes compatible, and Hamming distance of the parities within the bound of the symmetric difference.
 
     left: True for the points of one block of two; links within a block aren't looked for then. Points are sorted by their
@@ -110,10 +126,32 @@ def possible_links(sizes: np.ndarray, parity: np.ndarray, t: tuple[int, int], le
     """
     p, q = t
     m = len(sizes)
-    from_pivot = np.bitwise_count(parity ^ parity[0]).sum(1, dtype=np.int64)
+    words = np.array([len(x) // 8 for x in parities])
+    least = int(words.min())
+    short = np.empty((m, least), np.uint64)
+    for w in np.unique(words):
+        at = np.flatnonzero(words == w)
+        short[at] = folded(np.frombuffer(b"".join(parities[i] for i in at), np.uint64).reshape(-1, w), least)
+    from_pivot = np.bitwise_count(short ^ short[0]).sum(1, dtype=np.int64)
     order = np.argsort(from_pivot, kind="stable")
-    sizes, parity, from_pivot = sizes[order], parity[order], from_pivot[order]
+    sizes, words, from_pivot = sizes[order], words[order], from_pivot[order]
     side = None if left is None else left[order]
+    place = np.empty(m, np.int64)
+    whole: dict[int, np.ndarray] = {}
+    for w in np.unique(words):
+        at = np.flatnonzero(words == w)
+        place[at] = np.arange(len(at))
+        whole[int(w)] = np.frombuffer(b"".join(parities[order[i]] for i in at), np.uint64).reshape(-1, w)
+
+    def apart(x: int, at: np.ndarray) -> np.ndarray:
+        out = np.empty(len(at), np.int64)
+        own = whole[int(words[x])][place[x]][None]
+        for w in np.unique(words[at]):
+            of = words[at] == w
+            common = int(min(w, words[x]))
+            out[of] = np.bitwise_count(folded(whole[int(w)][place[at[of]]], common) ^ folded(own, common)).sum(1, dtype=np.int64)
+        return out
+
     reach = (q - p) * 2 * int(sizes.max()) // (q + p)
     open_ = np.ones(m, bool)
     links = []
@@ -131,8 +169,7 @@ def possible_links(sizes: np.ndarray, parity: np.ndarray, t: tuple[int, int], le
             at = at[(q * np.minimum(sizes[at], sizes[x]) >= p * np.maximum(sizes[at], sizes[x]))]
             if not len(at):
                 continue
-            apart = np.bitwise_count(parity[at] ^ parity[x]).sum(1, dtype=np.int64)
-            at = at[(q + p) * apart <= (q - p) * (sizes[at] + sizes[x])]
+            at = at[(q + p) * apart(x, at) <= (q - p) * (sizes[at] + sizes[x])]
             open_[at] = False
             links += [(int(order[x]), int(order[y])) for y in at]
             queue += at.tolist()
@@ -236,7 +273,7 @@ def _blocks(df: DataFrame, key: str, blocks: str) -> DataFrame:
 
 
 def _cut_by_windows(members: DataFrame, t: tuple[int, int], region: int, rounds: int = 3) -> tuple[DataFrame, DataFrame]:
-    """Cuts the regions with more than region members by windows of size and of distance to an origin; (small ones, what stays large). Columns key, cid, n, parity."""
+    """Cuts the regions with more than region members by windows of size and of distance to an origin; (small ones, what stays large). Columns key, cid, n, parity, origin."""
     p, q = t
     done = None
     for turn in range(rounds):
@@ -250,11 +287,11 @@ def _cut_by_windows(members: DataFrame, t: tuple[int, int], region: int, rounds:
             # log base q/p of n: linked sizes differ by a factor of q/p at most, so that neighbouring windows overlap
             at = F.floor(F.log(F.col("n").cast("double")) / float(np.log(q / p)) + 1e-9).cast("long")
         else:
-            origin = large.groupBy("key").agg(F.min(F.struct(F.xxhash64("cid", F.lit(turn)).alias("h"), F.col("parity"))).alias("o"), F.max("n").alias("widest")).select("key", F.col("o.parity").alias("origin"), "widest")
+            origin = large.groupBy("key").agg(F.min(F.struct(F.xxhash64("cid", F.lit(turn)).alias("h"), F.col("origin"))).alias("o"), F.max("n").alias("widest")).select("key", F.col("o.origin").alias("_o"), "widest")
             large = large.join(origin, "key")
-            bits = sum(F.bit_count(F.conv(F.hex(F.substring("parity", 1 + 4 * k, 4)), 16, 10).cast("long").bitwiseXOR(F.conv(F.hex(F.substring("origin", 1 + 4 * k, 4)), 16, 10).cast("long"))) for k in range(BITS // 32))
+            bits = sum(F.bit_count(F.conv(F.hex(F.substring("origin", 1 + 4 * k, 4)), 16, 10).cast("long").bitwiseXOR(F.conv(F.hex(F.substring("_o", 1 + 4 * k, 4)), 16, 10).cast("long"))) for k in range(BITS // 32))
             at = F.floor(bits / F.greatest(F.lit(1), F.floor(F.lit((q - p) * 2) * F.col("widest") / F.lit(q + p)))).cast("long")
-        large = large.withColumn("_at", F.explode(F.array(at, at + 1))).withColumn("key", F.xxhash64("key", "_at", F.lit(turn))).select("key", "cid", "n", "parity")
+        large = large.withColumn("_at", F.explode(F.array(at, at + 1))).withColumn("key", F.xxhash64("key", "_at", F.lit(turn))).select("key", "cid", "n", "parity", "origin")
         members = cut(large)
     counts = members.groupBy("key").agg(F.count("*").alias("members"))
     members = members.join(counts, "key")
@@ -262,7 +299,7 @@ def _cut_by_windows(members: DataFrame, t: tuple[int, int], region: int, rounds:
 
 
 def candidate_links(classes: DataFrame, t: tuple[int, int], region: int = REGION) -> DataFrame:
-    """Edges (a, b of cid) such that linked classes are connected. classes: cid, n, parity, regions."""
+    """Edges (a, b of cid) such that linked classes are connected. classes: cid, n, parity, origin, regions."""
     rows = classes.select("cid", F.col("n").cast("int").alias("n"), F.explode("regions").alias("key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
     rows = cut(rows.join(shared, "key"))
@@ -271,18 +308,17 @@ def candidate_links(classes: DataFrame, t: tuple[int, int], region: int = REGION
     cells = rows.groupBy("key").agg(F.count("*").alias("members"), F.min("cid").alias("a"), F.max("cid").alias("b"), fits.alias("fits"), F.bit_xor(own).alias("h1"), F.sum(F.pmod(own, F.lit(1 << 40))).alias("h2"))
     # regions with one and the same set of members need be searched once
     cells = cut(cells.groupBy("members", "a", "b", "fits", "h1", "h2").agg(F.min("key").alias("key")))
-    pairs = cells.filter("members = 2 AND fits").select("a", "b")
     parity = classes.select("cid", "parity")
-    members = rows.drop("members").join(cells.filter(F.col("members").between(3, region)).select("key"), "key").join(parity, "cid").select("key", "cid", "n", "parity")
+    searched = cells.filter(F.col("members").between(2, region) & (F.col("fits") | (F.col("members") > 2))).select("key")
+    members = rows.drop("members").join(searched, "key").join(parity, "cid").select("key", "cid", "n", "parity")
 
     def pairs_of(group: pa.Table, left):
-        parity = np.frombuffer(b"".join(group["parity"].to_pylist()), np.uint64).reshape(-1, _WORDS)
-        return possible_links(group["n"].to_numpy().astype(np.int64), parity, t, left)
+        return possible_links(group["n"].to_numpy().astype(np.int64), group["parity"].to_pylist(), t, left)
 
-    found = pairs.unionByName(_per_group(members, ["key"], pairs_of))
+    found = _per_group(members, ["key"], pairs_of)
     hot = cells.filter(F.col("members") > region).select("key")
     if not hot.isEmpty():
-        hot = rows.drop("members").join(hot, "key").join(parity, "cid").select("key", "cid", F.col("n").cast("long").alias("n"), "parity")
+        hot = rows.drop("members").join(hot, "key").join(classes.select("cid", "parity", "origin"), "cid").select("key", "cid", F.col("n").cast("long").alias("n"), "parity", "origin")
         small, large = _cut_by_windows(cut(hot), t, region)
         found = found.unionByName(_per_group(small, ["key"], pairs_of))
         if not large.isEmpty():
@@ -325,7 +361,7 @@ def sets_of(df: DataFrame, wanted: DataFrame, id_col: str, text_col: str, n: int
 
 
 def join_links(classes: DataFrame, df: DataFrame, id_col: str, text_col: str, n: int, t: tuple[int, int], region: int = REGION, component_bytes: int = COMPONENT_BYTES) -> DataFrame:
-    """Edges (a, b of cid): a forest over the linked classes. classes: cid, sig, doc (a document that has the set), n, parity, regions."""
+    """Edges (a, b of cid): a forest over the linked classes. classes: cid, sig, doc (a document that has the set), n, parity, origin, regions."""
     coarse = cut(components(candidate_links(classes, t, region)))
     coarse = coarse.join(classes.select("cid", "sig", "doc", "n"), coarse["node"] == classes["cid"]).select("root", "cid", "sig", "doc", "n")
     blocks = F.when(F.col("shingles") * 8 > component_bytes, F.ceil(F.col("shingles") * 16 / component_bytes)).otherwise(1).cast("int")
@@ -351,7 +387,7 @@ def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     common = sketch(df, text_col, words)
     signed = cut(signatures(df, common, id_col, text_col, words, threshold).withColumnRenamed(id_col, "doc"))
-    classes = cut(signed.filter("sig IS NOT NULL").groupBy("sig").agg(F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("parity").alias("parity"), F.first("regions").alias("regions")))
+    classes = cut(signed.filter("sig IS NOT NULL").groupBy("sig").agg(F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("parity").alias("parity"), F.first("origin").alias("origin"), F.first("regions").alias("regions")))
     classes = classes.withColumn("cid", F.monotonically_increasing_id())  # of rows that are written, so that it can't change
     found = components(join_links(classes, df, id_col, text_col, words, threshold, region, component_bytes))
     found = found.join(classes.select(F.col("cid").alias("node"), "sig", "doc"), "node")

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.plans.shipping import shipped
+
 
 class Catalogue:
     """Queries by name, with their SQL."""
@@ -16,7 +18,7 @@ class Catalogue:
 
     def __call__(self, sql: str | None = None):
         def add(f):
-            self.queries[f.__name__] = f
+            self.queries[f.__name__] = shipped(f)
             if sql:
                 self.sql[f.__name__] = sql
             return f

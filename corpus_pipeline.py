@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tessera.llm import jaccard, language, packing, quality
 from tessera.llm.common import cut, without
 from tessera.llm.queries import vocabulary_path
+from tessera.plans.shipping import shipped
 
 #: Least calibrated probability of the predicted language.
 LEAST_SCORE = 0.4
@@ -21,6 +22,7 @@ FEW = 200_000
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+@shipped
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose language is known with LEAST_SCORE at least, and states it as their lang. It is learned from the labelled ones."""
     docs = docs.select(COLUMNS)
@@ -29,11 +31,13 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return made.filter(known).withColumnRenamed("lang_pred", "lang").select(COLUMNS)
 
 
+@shipped
 def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents within the fences of their language and source."""
     return quality.kept_rows(docs.select(COLUMNS))
 
 
+@shipped
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each group, linked by shared shingles of five words at a Jaccard similarity of 0.8, the document with the least id."""
     docs = docs.select(COLUMNS)
@@ -47,6 +51,7 @@ def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return without(kept, again, "doc_id").unionByName(kept.join(few, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
+@shipped
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents with their places in sequences: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     pieces = packing.tokenize_pieces(docs, vocabulary_path("byte_bpe_50k.json"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.plans.shipping import shipped
+
 from . import bpe, chat, jaccard, language, lm, media, packing, quality, sql, token_counts, warc
 from .common import remainder, table
 
@@ -102,5 +104,5 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", (~F.col("learns")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_language, op3_packing, op4_bpe, op5_jaccard, op6_token_counts, op7_audio, op8_chat, op9_warc, op10_lm)}
+QUERIES = {f.__name__: shipped(f) for f in (op1_quality, op2_language, op3_packing, op4_bpe, op5_jaccard, op6_token_counts, op7_audio, op8_chat, op9_warc, op10_lm)}
 ORACLE_SQL: dict[str, str] = {"op1_quality": sql.OP1, "op9_warc": sql.OP9}

@@ -34,31 +34,38 @@ def sq_distances(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
     return out
 
 
-def assign(points: DataFrame, centers: np.ndarray, expressions: bool | None = None) -> DataFrame:
-    """id, x, k, d2: the nearest center (ties to the lowest k) and its squared distance.
+def assign(points: DataFrame, centers: np.ndarray, expressions: bool | None = None, before: np.ndarray | None = None) -> DataFrame:
+    """id, x, k, d2: the nearest center (ties to the lowest k) and its squared distance; with before, changed as well: whether another of those centers was nearest.
 
     Small problems are planned as expressions inside the scan's stage, larger ones on Arrow batches.
     """
     centers = np.asarray(centers, float)
     if expressions if expressions is not None else uses_expressions(*centers.shape):
         found = points.select("id", "x", nearest(F.col("x"), centers).alias("n"))
-        return found.select("id", "x", F.col("n.k").alias("k"), F.col("n.d2").alias("d2"))
-    shared = points.sparkSession.sparkContext.broadcast(centers)
+        more = [] if before is None else [(nearest(F.col("x"), before)["k"] != F.col("n.k")).alias("changed")]
+        return found.select("id", "x", F.col("n.k").alias("k"), F.col("n.d2").alias("d2"), *more)
+    shared = points.sparkSession.sparkContext.broadcast((centers, before))
 
     def run(batches):
+        centers, before = shared.value
         for batch in batches:
-            d2 = sq_distances(matrix(batch), shared.value)
-            k = d2.argmin(1) if len(d2) else np.zeros(0, int)
-            yield pa.RecordBatch.from_arrays([batch["id"], batch["x"], pa.array(k.astype(np.int32)), pa.array(d2[np.arange(len(k)), k] if len(k) else np.zeros(0))], names=["id", "x", "k", "d2"])
+            x = matrix(batch) if batch.num_rows else np.zeros((0, centers.shape[1]))
+            d2 = sq_distances(x, centers)
+            k = d2.argmin(1)
+            columns = [batch["id"], batch["x"], pa.array(k.astype(np.int32)), pa.array(d2[np.arange(len(k)), k])]
+            if before is not None:
+                columns.append(pa.array(sq_distances(x, before).argmin(1) != k))
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "x", "k", "d2", "changed"][: len(columns)])
 
-    return points.select("id", "x").mapInArrow(run, "id long, x array<double>, k int, d2 double")
+    return points.select("id", "x").mapInArrow(run, "id long, x array<double>, k int, d2 double" + (", changed boolean" if before is not None else ""))
 
 
 def cluster_stats(assigned: DataFrame, dimensions: int) -> DataFrame:
-    """k, n, inertia, sums (array): the aggregates of each cluster that has points. Sums combine on the map side."""
+    """k, n, inertia, sums (array), and changed (a count, if assigned has it): the aggregates of each cluster that has points. Sums combine on the map side."""
     sums = [F.sum(F.get("x", F.lit(d))).alias(f"s{d}") for d in range(dimensions)]
-    made = assigned.groupBy("k").agg(F.count("*").alias("n"), F.sum("d2").alias("inertia"), *sums)
-    return made.select("k", "n", "inertia", F.array(*(f"s{d}" for d in range(dimensions))).alias("sums"))
+    more = [F.count_if("changed").alias("changed")] if "changed" in assigned.columns else []
+    made = assigned.groupBy("k").agg(F.count("*").alias("n"), F.sum("d2").alias("inertia"), *more, *sums)
+    return made.select("k", "n", "inertia", F.array(*(f"s{d}" for d in range(dimensions))).alias("sums"), *(["changed"] if more else []))
 
 
 def dimension_stats(points: DataFrame, dimensions: int) -> tuple[int, np.ndarray, np.ndarray]:
@@ -130,7 +137,7 @@ def lloyd(points: DataFrame, centers, max_iter: int = 300, tol: float = 1e-4) ->
 
     An iteration assigns, repairs empty clusters and moves the centers. It was the last one if no label changed and nothing
     was repaired, or if the centers' squared shifts add up to at most the scaled tolerance; after the latter labels are made once more.
-    The labels of the iteration before follow from its centers, so that none are stored.
+    The labels of the iteration before follow from its centers, so that none are stored, and an iteration is one pass.
     """
     centers = np.asarray(centers, float)
     _, dimensions = check_clusters(points, len(centers))
@@ -139,20 +146,12 @@ def lloyd(points: DataFrame, centers, max_iter: int = 300, tol: float = 1e-4) ->
         tolerance = scaled_tolerance(points, dimensions, tol)
         before, iterations, history, strict = None, 0, [], False
         while iterations < max_iter:
-            assigned = assign(points, centers)
-            stats = cluster_stats(assigned, dimensions)
-            if before is not None:
-                last = assign(points, before).select(F.col("id").alias("_id"), F.col("k").alias("_k")) if not uses_expressions(*centers.shape) else None
-                if last is None:
-                    changed = assigned.select(F.sum((nearest(F.col("x"), before)["k"] != F.col("k")).cast("long"))).first()[0]
-                else:
-                    changed = assigned.join(last, assigned["id"] == last["_id"]).select(F.sum((F.col("k") != F.col("_k")).cast("long"))).first()[0]
-            else:
-                changed = None
-            sums, counts, inertia = np.zeros_like(centers), np.zeros(len(centers), int), 0.0
-            for r in stats.collect():
+            assigned = assign(points, centers, before=before)
+            sums, counts, inertia, changed = np.zeros_like(centers), np.zeros(len(centers), int), 0.0, 0
+            for r in cluster_stats(assigned, dimensions).collect():
                 sums[r.k], counts[r.k] = r.sums, r.n
                 inertia += r.inertia
+                changed += r.changed if before is not None else r.n
             repaired = repair(sums, counts, assigned)
             moved = update(centers, sums, counts)
             shift = float(((moved - centers) ** 2).sum())

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.kmeans import assign, check_clusters, matrix
+from tessera.plans.reduce import sum_vectors
 
 COVARIANCES = ("spherical", "diag", "full")
 #: Added to each component's sum of responsibilities: ten times the distance from 1 to the next float32.
@@ -108,19 +109,14 @@ def expectation(points: DataFrame, mixture: Mixture) -> tuple[int, float, np.nda
                 first[i] += r[:, i] @ diff
                 second[i] += (diff * r[:, i : i + 1]).T @ diff if full else r[:, i] @ (diff * diff)
         if n:
-            rows = [np.concatenate([[weight[i]], first[i], second[i].ravel()]) for i in range(k)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(k), pa.int32()), pa.array([n] + [0] * (k - 1), pa.int64()), pa.array([likelihood] + [0.0] * (k - 1)), pa.array([r.tobytes() for r in rows])], names=["k", "n", "likelihood", "moments"])
+            rows = [np.concatenate([[n if i == 0 else 0, likelihood if i == 0 else 0, weight[i]], first[i], second[i].ravel()]) for i in range(k)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(k), pa.int64()), pa.array([r.tobytes() for r in rows], pa.binary())], names=["k", "v"])
 
-    def add(rows):
-        whole = np.sum([np.frombuffer(m) for m in rows["moments"]], axis=0)
-        return rows.iloc[:1].assign(n=rows["n"].sum(), likelihood=rows["likelihood"].sum(), moments=[whole.tobytes()])
-
-    schema = "k int, n long, likelihood double, moments binary"
-    made = sorted(points.select("x").mapInArrow(run, schema).groupBy("k").applyInPandas(add, schema).collect())
+    made = {r.k: np.frombuffer(r.v) for r in sum_vectors(points.select("x").mapInArrow(run, "k long, v binary")).collect()}
     k, d = mixture.means.shape
-    moments = np.array([np.frombuffer(r.moments) for r in made])
-    second = moments[:, 1 + d :]
-    return made[0].n, made[0].likelihood, moments[:, 0], moments[:, 1 : 1 + d], second.reshape(k, d, d) if full else second
+    moments = np.array([made[i] for i in range(k)])
+    second = moments[:, 3 + d :]
+    return int(moments[0, 0]), float(moments[0, 1]), moments[:, 2], moments[:, 3 : 3 + d], second.reshape(k, d, d) if full else second
 
 
 def maximisation(mixture: Mixture, weight: np.ndarray, first: np.ndarray, second: np.ndarray, reg: float) -> Mixture:
@@ -194,17 +190,13 @@ def start_from_centers(points: DataFrame, centers, covariance: str, reg: float =
                 diff = x[label == i] - shared.value[i] if len(x) else np.zeros((0, d))
                 count[i] += len(diff)
                 second[i] += diff.T @ diff if full else (diff * diff).sum(0)
-        yield pa.RecordBatch.from_arrays([pa.array(range(k), pa.int32()), pa.array(count), pa.array([s.tobytes() for s in second])], names=["k", "n", "second"])
-
-    def add(rows):
-        return rows.iloc[:1].assign(n=rows["n"].sum(), second=[np.sum([np.frombuffer(s) for s in rows["second"]], axis=0).tobytes()])
+        yield pa.RecordBatch.from_arrays([pa.array(range(k), pa.int64()), pa.array([np.append(c, s).tobytes() for c, s in zip(count, second)], pa.binary())], names=["k", "v"])
 
-    schema = "k int, n double, second binary"
-    made = sorted(assign(points, centers).select("x", "k").mapInArrow(run, schema).groupBy("k").applyInPandas(add, schema).collect())
-    n = np.array([r.n for r in made])
+    made = {r.k: np.frombuffer(r.v) for r in sum_vectors(assign(points, centers).select("x", "k").mapInArrow(run, "k long, v binary")).collect()}
+    moments = np.array([made[i] for i in range(k)])
+    n, second = moments[:, 0], moments[:, 1:]
     if (n == 0).any():
         raise ValueError("a center has no points")
-    second = np.array([np.frombuffer(r.second) for r in made])
     if full:
         covariances = second.reshape(k, d, d) / n[:, None, None] + reg * np.eye(d)
     else:

@@ -163,9 +163,9 @@ def lloyd(points: DataFrame, centers, max_iter: int = 300, tol: float = 1e-4) ->
                 break
             if shift <= tolerance:
                 break
-        final = assign(points, before if strict else centers).persist(StorageLevel.MEMORY_AND_DISK)
-        labels = final.select("id", "x", "k")
-        at_end = labels.withColumn("d2", F.element_at(F.transform(literal(centers), lambda c: sq_distance(F.col("x"), c)), F.col("k") + 1)) if uses_expressions(*centers.shape) else assign(points, centers)
+        at_end = assign(points, before if strict else centers)
+        if strict:  # labels are those of the last iteration, distances are to the centers that it made
+            at_end = at_end.withColumn("d2", F.element_at(F.transform(literal(centers), lambda c: sq_distance(F.col("x"), c)), F.col("k") + 1)) if uses_expressions(*centers.shape) else assign(points, centers)
         counts, own = np.zeros(len(centers), int), np.zeros(len(centers))
         for r in at_end.groupBy("k").agg(F.count("*").alias("n"), F.sum("d2").alias("inertia")).collect():
             counts[r.k], own[r.k] = r.n, r.inertia

@@ -21,11 +21,12 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.plans.reduce import sum_vectors
+
 from .common import cut, map_text, slices
 from .components import components
 from .shingles import shingled
@@ -35,6 +36,8 @@ BITS, MOST_BITS, COUNTERS, COMMON = 256, 1 << 17, 1 << 20, 4
 #: Classes of a region, and bytes of sets of a component, that one task compares; classes of possible links that are broadcast at most.
 REGION, COMPONENT_BYTES, BROADCAST = 8192, 32 << 20, 200_000
 TEXT_BYTES = 1 << 20
+#: A class's number ends in the class of its size, of so many, which grow by this factor.
+SIZE_CLASSES, SIZE_STEP = 256, 1.05
 
 
 def least_shared(n: int | np.ndarray, t: tuple[int, int]):
@@ -63,18 +66,11 @@ def sketch(df: DataFrame, text_col: str, n: int, counters: int = COUNTERS) -> np
                 total = np.zeros(counters, np.uint32) if total is None else total
                 np.add.at(total, (hashes >> np.uint64(40)).astype(np.int64) % counters, np.uint32(1))
         if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(range(pieces), pa.int32()), pa.array([total[k * side : (k + 1) * side].tobytes() for k in range(pieces)], pa.binary())], names=["k", "n"])
-
-    def add(rows: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(side, np.uint64)
-        for n in rows["n"]:
-            total += np.frombuffer(n, np.uint32)
-        return pd.DataFrame({"k": rows["k"][:1], "n": [np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()]})
-
-    parts = df.select(text_col).mapInArrow(count, "k int, n binary").groupBy("k").applyInPandas(add, "k int, n binary").collect()
-    counts = np.zeros(counters, np.uint32)
-    for r in parts:
-        counts[r.k * side : (r.k + 1) * side] = np.frombuffer(r.n, np.uint32)
+            yield pa.RecordBatch.from_arrays([pa.array(range(pieces), pa.int64()), pa.array([total[k * side : (k + 1) * side].tobytes() for k in range(pieces)], pa.binary())], names=["k", "v"])
+
+    counts = np.zeros(counters)
+    for r in sum_vectors(df.select(text_col).mapInArrow(count, "k long, v binary"), "<u4").collect():
+        counts[r.k * side : (r.k + 1) * side] = np.frombuffer(r.v)
     excess = counts / (64 + COMMON * counts.mean())
     return np.where(excess > 1, 1 + np.log2(np.maximum(excess, 1)), 0).astype(np.uint8)
 
@@ -93,8 +89,8 @@ def folded(parity: np.ndarray, words: int) -> np.ndarray:
     return parity
 
 
-def signatures(df: DataFrame, common: np.ndarray, id_col: str, text_col: str, n: int, t: tuple[int, int]) -> DataFrame:
-    """id_col, n (size of the set), sig (16 bytes that name the set; null if empty), parity (binary), origin (the same folded to BITS), regions (array of the shingles whose regions hold the class)."""
+def signatures(df: DataFrame, common: np.ndarray, id_col: str, text_col: str, n: int, t: tuple[int, int], whole: bool = True) -> DataFrame:
+    """id_col, n (size of the set), sig (16 bytes that name the set; null if empty), and if whole: parity (binary), origin (the same folded to BITS), regions (array of the shingles whose regions hold the class)."""
     shared = df.sparkSession.sparkContext.broadcast(common)
 
     def f(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -102,6 +98,9 @@ def signatures(df: DataFrame, common: np.ndarray, id_col: str, text_col: str, n:
         sizes, sigs, parities, origins, regions = [], [], [], [], []
         for own, size in _sets(batch, text_col, n):
             sizes.append(len(own))
+            if not whole:
+                sigs.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None)
+                continue
             if not len(own):
                 sigs.append(None)
                 parities.append(None)
@@ -113,9 +112,12 @@ def signatures(df: DataFrame, common: np.ndarray, id_col: str, text_col: str, n:
             origins.append(folded(np.frombuffer(parities[-1], np.uint64)[None], BITS // 64).tobytes())
             order = np.lexsort((own, -size, levels[(own >> np.uint64(40)).astype(np.int64) % len(levels)]))
             regions.append(own[order[: len(own) - least_shared(len(own), t) + 1]].view(np.int64))
+        if not whole:
+            return pa.RecordBatch.from_arrays([batch[id_col], pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary())], names=[id_col, "n", "sig"])
         return pa.RecordBatch.from_arrays([batch[id_col], pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), pa.array(parities, pa.binary()), pa.array(origins, pa.binary()), pa.array(regions, pa.list_(pa.int64()))], names=[id_col, "n", "sig", "parity", "origin", "regions"])
 
-    return map_text(df, [id_col], text_col, f, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, n long, sig binary, parity binary, origin binary, regions array<long>", TEXT_BYTES)
+    more = ", parity binary, origin binary, regions array<long>" if whole else ""
+    return map_text(df, [id_col], text_col, f, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, n long, sig binary{more}", TEXT_BYTES)
 
 
 def possible_links(sizes: np.ndarray, parities: list[bytes], t: tuple[int, int], left: np.ndarray | None = None) -> list[tuple[int, int]]:
@@ -300,16 +302,16 @@ def _cut_by_windows(members: DataFrame, t: tuple[int, int], region: int, rounds:
 
 def candidate_links(classes: DataFrame, t: tuple[int, int], region: int = REGION) -> DataFrame:
     """Edges (a, b of cid) such that linked classes are connected. classes: cid, n, parity, origin, regions."""
-    rows = classes.select("cid", F.col("n").cast("int").alias("n"), F.explode("regions").alias("key"))
+    rows = classes.select("cid", F.explode("regions").alias("key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
     rows = cut(rows.join(shared, "key"))
     own = F.xxhash64("cid")
-    fits = F.lit(t[1]) * F.min("n").cast("long") >= F.lit(t[0]) * F.max("n").cast("long")
-    cells = rows.groupBy("key").agg(F.count("*").alias("members"), F.min("cid").alias("a"), F.max("cid").alias("b"), fits.alias("fits"), F.bit_xor(own).alias("h1"), F.sum(F.pmod(own, F.lit(1 << 40))).alias("h2"))
-    # regions with one and the same set of members need be searched once
-    cells = cut(cells.groupBy("members", "a", "b", "fits", "h1", "h2").agg(F.min("key").alias("key")))
-    parity = classes.select("cid", "parity")
-    searched = cells.filter(F.col("members").between(2, region) & (F.col("fits") | (F.col("members") > 2))).select("key")
+    cells = rows.groupBy("key").agg(F.count("*").alias("members"), F.min("cid").alias("a"), F.max("cid").alias("b"), F.bit_xor(own).alias("h1"), F.sum(F.pmod(own, F.lit(1 << 40))).alias("h2"))
+    # regions with one and the same set of members need be searched once, and those of two members only if their sizes allow a link
+    cells = cut(cells.groupBy("members", "a", "b", "h1", "h2").agg(F.min("key").alias("key")))
+    fits = F.abs(F.col("a") % SIZE_CLASSES - F.col("b") % SIZE_CLASSES) <= int(np.log(t[1] / t[0]) / np.log(SIZE_STEP)) + 1
+    parity = classes.select("cid", F.col("n").cast("int").alias("n"), "parity")
+    searched = cells.filter(F.col("members").between(2, region) & (fits | (F.col("members") > 2))).select("key")
     members = rows.drop("members").join(searched, "key").join(parity, "cid").select("key", "cid", "n", "parity")
 
     def pairs_of(group: pa.Table, left):
@@ -318,7 +320,7 @@ def candidate_links(classes: DataFrame, t: tuple[int, int], region: int = REGION
     found = _per_group(members, ["key"], pairs_of)
     hot = cells.filter(F.col("members") > region).select("key")
     if not hot.isEmpty():
-        hot = rows.drop("members").join(hot, "key").join(classes.select("cid", "parity", "origin"), "cid").select("key", "cid", F.col("n").cast("long").alias("n"), "parity", "origin")
+        hot = rows.drop("members").join(hot, "key").join(classes.select("cid", "n", "parity", "origin"), "cid").select("key", "cid", "n", "parity", "origin")
         small, large = _cut_by_windows(cut(hot), t, region)
         found = found.unionByName(_per_group(small, ["key"], pairs_of))
         if not large.isEmpty():
@@ -386,14 +388,17 @@ def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     other. Shingles are held as 64-bit hashes.
     """
     common = sketch(df, text_col, words)
-    signed = cut(signatures(df, common, id_col, text_col, words, threshold).withColumnRenamed(id_col, "doc"))
+    signed = signatures(df, common, id_col, text_col, words, threshold).withColumnRenamed(id_col, "doc")
     classes = cut(signed.filter("sig IS NOT NULL").groupBy("sig").agg(F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("parity").alias("parity"), F.first("origin").alias("origin"), F.first("regions").alias("regions")))
-    classes = classes.withColumn("cid", F.monotonically_increasing_id())  # of rows that are written, so that it can't change
+    size_class = F.least(F.floor(F.log(F.col("n").cast("double")) / float(np.log(SIZE_STEP))), F.lit(SIZE_CLASSES - 1)).cast("long")
+    classes = classes.withColumn("cid", F.monotonically_increasing_id() * SIZE_CLASSES + size_class)  # of rows that are written, so that it can't change
     found = components(join_links(classes, df, id_col, text_col, words, threshold, region, component_bytes))
     found = found.join(classes.select(F.col("cid").alias("node"), "sig", "doc"), "node")
     least = found.groupBy("root").agg(F.min("doc").alias("component_id"))
     linked = found.join(least, "root").select("sig", "component_id")
     of = classes.select("sig", F.col("doc").alias("_own")).join(linked, "sig", "left").select("sig", F.coalesce("component_id", "_own").alias("component_id"))
+    # the documents' own rows are made again, without what only classes need, which is not worth the disk
+    signed = cut(signatures(df, common, id_col, text_col, words, threshold, whole=False).withColumnRenamed(id_col, "doc"))
     whole = signed.filter("sig IS NOT NULL").select("doc", "n", "sig").join(of, "sig").select("doc", "n", "component_id")
     whole = whole.unionByName(signed.filter("sig IS NULL").select("doc", "n", F.col("doc").alias("component_id")))
     return whole.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), "component_id")

@@ -18,11 +18,12 @@ from collections import Counter
 from dataclasses import dataclass, replace
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.plans.reduce import sum_vectors
+
 from .common import cut, slices
 from .quality import BIN, BIN_LOW
 
@@ -32,8 +33,8 @@ LEARNED, CLASSES, ENDINGS, UNITS = 1024, 32, 64, 16
 KNOWN = 1 << 18
 #: Of the fit: tokens of a window, windows of a run, windows for each run, runs of a batch, rounds, rate.
 WINDOW, RUN, EVERY, BATCH, ROUNDS, RATE = 24, 2, 24, 48, 3, 0.01
-#: Distinct words that a task counts before it hands them on, shards averaged by one task, tokens scored at a time.
-FLUSH, FAN, BLOCK = 300_000, 16, 32_768
+#: Distinct words that a task counts before it hands them on, parts in which weights are added up, tokens scored at a time.
+FLUSH, PARTS, BLOCK = 300_000, 16, 32_768
 END = b""
 
 
@@ -115,6 +116,13 @@ def vocabulary(counts: DataFrame, documents: int, known: int = KNOWN, learned: i
     return Vocabulary([w for _, w in own], c, first, mass, {w: -n for n, w in other}, int(total.n or 0) + documents, int(total.v) + (documents > 0))
 
 
+def _levelled(scores: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """scores less the greatest of each row, unless the weights bound them so that their exponentials are in range as they are (states lie between -1 and 1)."""
+    if np.abs(weights).sum(0).max() + np.abs(bias).max() > 60:
+        scores -= scores.max(1, keepdims=True)
+    return scores
+
+
 class Network:
     """The weights by name and what is computed with them. Input ids: learned tokens, then endings."""
 
@@ -160,11 +168,11 @@ class Network:
         """Natural log probability of each target after its state (for endings, of the class); with grad, adds gradients of the weighted sum's negative."""
         w = self.weights
         classes, rows = self.class_of[targets], np.arange(len(targets))
-        scores = h @ w["class"] + w["class_bias"]
-        scores -= scores.max(1, keepdims=True)
-        p = np.exp(scores)
-        total = p.sum(1)
-        found = scores[rows, classes] - np.log(total)
+        scores = _levelled(h @ w["class"] + w["class_bias"], w["class"], w["class_bias"])
+        found = scores[rows, classes].copy()
+        p = np.exp(scores, out=scores)
+        total = p @ np.ones(p.shape[1], p.dtype)
+        found -= np.log(total)
         dh = None
         if grad is not None:
             p /= total[:, None]
@@ -181,11 +189,11 @@ class Network:
             if not len(at) or b - a == 1:
                 continue
             hk, own = h[at], targets[at] - a
-            s = hk @ w["word"][a:b].T + w["word_bias"][a:b]
-            s -= s.max(1, keepdims=True)
-            q = np.exp(s)
-            total = q.sum(1)
-            found[at] += s[np.arange(len(at)), own] - np.log(total)
+            s = _levelled(hk @ w["word"][a:b].T + w["word_bias"][a:b], w["word"][a:b].T, w["word_bias"][a:b])
+            chosen = s[np.arange(len(at)), own].copy()
+            q = np.exp(s, out=s)
+            total = q @ np.ones(q.shape[1], q.dtype)
+            found[at] += chosen - np.log(total)
             if grad is not None:
                 q /= total[:, None]
                 q[np.arange(len(at)), own] -= 1
@@ -241,24 +249,35 @@ class Network:
         size = np.array([len(documents[i]) for i in order])
         starts = np.cumsum(size) - size
         ids = np.concatenate([documents[i] for i in order]).astype(np.int32) if len(order) else np.zeros(0, np.int32)
-        h, before, at = np.zeros((len(order), UNITS), np.float32), np.full(len(order), end, np.int32), 0
+        h, before, at, shorter = np.zeros((len(order), UNITS), np.float32), np.full(len(order), end, np.int32), 0, -size
+        given, state, both = self.weights["input"], self.weights["state"], 2 * UNITS
         while len(size) and at < size[0]:
-            live = int(np.searchsorted(-size, -at, "left"))
-            steps = max(1, min(64, BLOCK // live))
-            states, targets, rows = [], [], []
+            steps = max(1, min(64, BLOCK // max(1, int(np.searchsorted(shorter, -at, "left")))))
+            states, targets, lives = [], [], []
             for t in range(at, min(at + steps, int(size[0]))):
-                live = int(np.searchsorted(-size, -t, "left"))
-                h, before = h[:live], before[:live]
-                h, _ = self.step(before, h)
+                live = int(np.searchsorted(shorter, -t, "left"))
+                if live < len(h):
+                    h, before = h[:live], before[:live]
+                x, s = given[before], h @ state  # as in step, without what backpropagation needs
+                gates = x[:, :both] + s[:, :both]
+                np.negative(gates, out=gates)
+                np.exp(gates, out=gates)
+                gates += 1
+                new = s[:, both:]
+                new /= gates[:, UNITS:]
+                new += x[:, both:]
+                np.tanh(new, out=new)
+                h = new + (h - new) / gates[:, :UNITS]
                 before = ids[starts[:live] + t]
                 states.append(h)
                 targets.append(before)
-                rows.append(np.arange(live))
-            states, targets, rows = np.concatenate(states), np.concatenate(targets), np.concatenate(rows)
-            for a in range(0, len(rows), BLOCK):
-                found, _ = self.log_p(states[a : a + BLOCK], targets[a : a + BLOCK])
-                total += np.bincount(rows[a : a + BLOCK], found.astype(float), len(order))
-            at += steps
+                lives.append(live)
+            found, _ = self.log_p(np.concatenate(states), np.concatenate(targets))
+            done = 0
+            for live in lives:
+                total[:live] += found[done : done + live]
+                done += live
+            at += len(lives)
         out = np.empty(len(order))
         out[order] = total
         return out
@@ -331,16 +350,12 @@ def fit(made: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> Network:
             if runs:
                 net = Network(shared.value[0]).load(shared.value[1])
                 n = net.train(runs, turn)
-                yield pa.RecordBatch.from_arrays([pa.array([zlib.crc32(runs[0].tobytes()) % FAN], pa.int64()), pa.array([float(n)]), pa.array([net.flat().tobytes()], pa.binary())], names=["k", "n", "w"])
-
-        def average(copies: pd.DataFrame) -> pd.DataFrame:
-            n = copies["n"].sum()
-            mean = sum(x / n * np.frombuffer(w, np.float32) for x, w in zip(copies["n"], copies["w"]))
-            return pd.DataFrame({"n": [n], "w": [mean.astype(np.float32).tobytes()]})
+                parts = [np.append(n, x).astype("<f4").tobytes() for x in np.array_split(n * net.flat().astype(float), PARTS)]
+                yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int64()), pa.array(parts, pa.binary())], names=["k", "v"])
 
-        copies = made.select("ids", "learns").mapInArrow(train, "k long, n double, w binary").groupBy("k").applyInPandas(average, "n double, w binary").toPandas()
-        if len(copies):
-            net.load(np.frombuffer(average(copies)["w"][0], np.float32))
+        sums = {r.k: np.frombuffer(r.v) for r in sum_vectors(made.select("ids", "learns").mapInArrow(train, "k long, v binary"), "<f4").collect()}
+        if sums:
+            net.load((np.concatenate([sums[k][1:] for k in range(PARTS)]) / sums[0][0]).astype(np.float32))
     return net
 
 

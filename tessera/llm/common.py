@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -56,12 +59,22 @@ def without(df: DataFrame, ids: DataFrame, column: str, broadcast: int = 1_000_0
     return df.join(F.broadcast(ids) if ids.count() <= broadcast else ids, column, "left_anti")
 
 
+def tidy() -> None:
+    """Gives memory that a task has freed back to the system: workers stay for the next tasks and stages, beside the JVM's heap."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform.startswith("linux") else None
+    if trim is not None:
+        trim(0)
+
+
 def map_text(df: DataFrame, keep: list[str], text: str, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, size: int = SLICE_BYTES) -> DataFrame:
     """Applies f to slices of the columns keep and text."""
 
     def run(batches):
         for batch in slices(batches, text, size):
             yield f(batch)
+        tidy()
 
     return df.select(*keep, *([] if text in keep else [text])).mapInArrow(run, schema)
 

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tessera.plans.reduce import sum_vectors
 
-from .common import cut, map_text, slices
+from .common import cut, map_text, slices, tidy
 from .components import components
 from .shingles import shingled
 
@@ -35,7 +35,7 @@ from .shingles import shingled
 BITS, MOST_BITS, COUNTERS, COMMON = 256, 1 << 17, 1 << 20, 4
 #: Classes of a region, and bytes of sets of a component, that one task compares; classes of possible links that are broadcast at most.
 REGION, COMPONENT_BYTES, BROADCAST = 8192, 32 << 20, 200_000
-TEXT_BYTES = 1 << 20
+TEXT_BYTES = 1 << 18
 #: A class's number ends in the class of its size, of so many, which grow by this factor.
 SIZE_CLASSES, SIZE_STEP = 256, 1.05
 
@@ -67,6 +67,7 @@ def sketch(df: DataFrame, text_col: str, n: int, counters: int = COUNTERS) -> np
                 np.add.at(total, (hashes >> np.uint64(40)).astype(np.int64) % counters, np.uint32(1))
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array(range(pieces), pa.int64()), pa.array([total[k * side : (k + 1) * side].tobytes() for k in range(pieces)], pa.binary())], names=["k", "v"])
+        tidy()
 
     counts = np.zeros(counters)
     for r in sum_vectors(df.select(text_col).mapInArrow(count, "k long, v binary"), "<u4").collect():
@@ -262,6 +263,7 @@ def _per_group(df: DataFrame, keys: list[str], pairs_of) -> DataFrame:
                 yield _edge_batch(made)
                 made = []
         yield _edge_batch(made)
+        tidy()
 
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, _EDGES)
 

@@ -25,7 +25,7 @@ SAMPLE_PER_LANGUAGE = 800
 #: Of the fit: passes, learning rate and its offset, penalties; features are term frequencies times SCALE.
 EPOCHS, ALPHA, BETA, L1, L2, SCALE = 3, 0.3, 1.0, 0.002, 0.001, 32.0
 UNKNOWN = "und"
-TEXT_BYTES = 2 << 20
+TEXT_BYTES = 1 << 18
 
 
 @lru_cache(maxsize=1)

@@ -12,8 +12,14 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 
+#: Bytes of an Arrow batch between the JVM and Python, where the session has Spark's default of 64 MB: batches stand in both at once, for each core.
+BATCH, DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8m"
+
+
 def ship(spark: SparkSession) -> None:
-    """Hands the package's modules to the tasks of the session's context, once. Spark copies them to each executor, so that none need be installed there."""
+    """Hands the package's modules to the tasks of the session's context, once. Spark copies them to each executor, so that none need be installed there. Bounds the session's Arrow batches."""
+    if spark.conf.get(BATCH, DEFAULT) == DEFAULT:
+        spark.conf.set(BATCH, BATCH_BYTES)
     context = spark.sparkContext
     if getattr(context, "_tessera_shipped", False):
         return

@@ -5,14 +5,15 @@ LEARNED tokens lie in classes of about equal mass and have weights of their own;
 ENDINGS classes by its last two characters and has the share (c + 1) / (sum of c + 1 in its class, plus 1) of it, where c is
 its count, so that all words, seen or not, share a probability of 1. Counts cover all training documents.
 
-The network is fitted in numpy by truncated backpropagation: every training document gives runs of consecutive windows
-(RUN of every EVERY windows, one run at least), through which the state is carried while gradients stop at a window's
+The network is fitted in numpy by truncated backpropagation on every window of every training document, in one epoch that
+is split over the rounds by documents: the state is carried through the whole document while gradients stop at a window's
 start. Tasks train copies on their shards and the copies are averaged after each round. Scoring carries the state from
-window to window through the whole document.
+window to window through the whole document, too.
 """
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from collections import Counter
 from dataclasses import dataclass, replace
@@ -31,8 +32,8 @@ from .quality import BIN, BIN_LOW
 LEARNED, CLASSES, ENDINGS, UNITS = 1024, 32, 64, 16
 #: Words (with their counts) that a task holds at most; the counts of the others come by a join.
 KNOWN = 1 << 18
-#: Of the fit: tokens of a window, windows of a run, windows for each run, runs of a batch, rounds, rate.
-WINDOW, RUN, EVERY, BATCH, ROUNDS, RATE = 24, 2, 24, 48, 3, 0.01
+#: Of the fit: tokens of a window, windows of a run and windows that each run stands for (the same: none is left out), documents side by side, rounds, rate.
+WINDOW, RUN, EVERY, BATCH, ROUNDS, RATE = 24, 24, 24, 48, 3, 0.01
 #: Distinct words that a task counts before it hands them on, parts in which weights are added up, tokens scored at a time.
 FLUSH, PARTS, BLOCK = 300_000, 16, 32_768
 END = b""
@@ -153,16 +154,34 @@ class Network:
         new = np.tanh(x[:, 2 * UNITS :] + reset * s[:, 2 * UNITS :])
         return new + update * (h - new), (ids, h, update, reset, new, s[:, 2 * UNITS :])
 
-    def back(self, kept: tuple, dh: np.ndarray, grad: dict[str, np.ndarray]) -> np.ndarray:
-        """Adds a step's gradients; the gradient of the state before."""
-        ids, h, update, reset, new, s = kept
+    def _back(self, kept: tuple, dh: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The gradients of a step's inputs, of what its state gives to the gates, and of the state before."""
+        _, h, update, reset, new, s = kept
         d_update = dh * (h - new) * update * (1 - update)
         d_new = dh * (1 - update) * (1 - new * new)
         d_reset = d_new * s * reset * (1 - reset)
         d_state = np.concatenate([d_update, d_reset, d_new * reset], 1)
-        np.add.at(grad["input"], ids, np.concatenate([d_update, d_reset, d_new], 1))
-        grad["state"] += h.T @ d_state
-        return dh * update + d_state @ self.weights["state"].T
+        return np.concatenate([d_update, d_reset, d_new], 1), d_state, dh * update + d_state @ self.weights["state"].T
+
+    def back(self, kept: tuple, dh: np.ndarray, grad: dict[str, np.ndarray]) -> np.ndarray:
+        """Adds a step's gradients; the gradient of the state before."""
+        d_input, d_state, before = self._back(kept, dh)
+        np.add.at(grad["input"], kept[0], d_input)
+        grad["state"] += kept[1].T @ d_state
+        return before
+
+    def back_through(self, kept: list[tuple], of: np.ndarray, grad: dict[str, np.ndarray]) -> None:
+        """Adds the gradients of consecutive steps, given those of the states after each: as back does step by step, summed at once."""
+        dh, found = np.zeros_like(of[0]), []
+        for k, d in zip(reversed(kept), of[::-1]):
+            d_input, d_state, dh = self._back(k, dh + d)
+            found.append((k[0], k[1], d_input, d_state))
+        ids, states, d_input, d_state = (np.concatenate(x) for x in zip(*found))
+        order = np.argsort(ids, kind="stable")
+        ids = ids[order]
+        first = np.flatnonzero(np.diff(ids, prepend=-1))
+        grad["input"][ids[first]] += np.add.reduceat(d_input[order], first)
+        grad["state"] += states.T @ d_state
 
     def log_p(self, h: np.ndarray, targets: np.ndarray, grad: dict[str, np.ndarray] | None = None, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log probability of each target after its state (for endings, of the class); with grad, adds gradients of the weighted sum's negative."""
@@ -203,43 +222,64 @@ class Network:
                 dh[at] += q @ w["word"][a:b]
         return found, dh
 
-    def train(self, runs: list[np.ndarray], seed: int) -> int:
-        """One pass over runs (the id before, then the ids), by Adam; the number of tokens."""
-        order = np.random.default_rng(seed).permutation(len(runs))
-        names = list(self.weights)
-        one, two, time, tokens = {n: 0.0 for n in names}, {n: 0.0 for n in names}, 0, 0
-        for at in range(0, len(order), BATCH):
-            batch = [runs[i] for i in order[at : at + BATCH]]
-            size = np.array([len(r) - 1 for r in batch])
-            ids = np.zeros((RUN * WINDOW + 1, len(batch)), np.int32)
-            for j, r in enumerate(batch):
-                ids[: len(r), j] = r
-            tokens += int(size.sum())
-            h = np.zeros((len(batch), UNITS), np.float32)
-            for start in range(0, RUN * WINDOW, WINDOW):
-                live = (np.arange(start, start + WINDOW)[:, None] < size).astype(np.float32)
-                if not live.any():
+    def train(self, documents: list[np.ndarray], seed: int, end: int) -> int:
+        """One pass over every window of the documents, BATCH of them side by side, by Adam; the number of tokens.
+
+        Each lane has documents of about the same length in all, in an order drawn by seed, so that lanes end together. A
+        step's rate is in proportion to its tokens, so that the rest of a long document counts no more than other text."""
+        draw, names = np.random.default_rng(seed), list(self.weights)
+        held: list[list[int]] = [[] for _ in range(min(BATCH, len(documents)))]
+        loads = [(0, j) for j in range(len(held))]
+        for i in sorted(range(len(documents)), key=lambda i: -len(documents[i])):
+            load, j = loads[0]
+            held[j].append(i)
+            heapq.heapreplace(loads, (load - -len(documents[i]) // WINDOW, j))
+        lanes = [windows_of([documents[i] for i in draw.permutation(x)], end) for x in held]
+        one, two, time, tokens = {n: np.zeros_like(w) for n, w in self.weights.items()}, {n: np.zeros_like(w) for n, w in self.weights.items()}, 0, 0
+        h = np.zeros((len(lanes), UNITS), np.float32)
+        while lanes:
+            taken = [next(x, None) for x in lanes]
+            if None in taken:
+                stay = [j for j, x in enumerate(taken) if x is not None]
+                lanes, taken, h = [lanes[j] for j in stay], [taken[j] for j in stay], h[stay]
+                if not lanes:
                     break
-                kept, states = [], []
-                for t in range(start, start + WINDOW):
-                    h, k = self.step(ids[t], h)
-                    kept.append(k)
-                    states.append(h)
-                grad = {n: np.zeros_like(x) for n, x in self.weights.items()}
-                inside = live.ravel() > 0
-                _, d = self.log_p(np.concatenate(states)[inside], ids[start + 1 : start + WINDOW + 1].ravel()[inside], grad, live.ravel()[inside] / live.sum())
-                of = np.zeros((WINDOW * len(batch), UNITS), np.float32)
-                of[inside] = d
-                of, dh = of.reshape(WINDOW, len(batch), UNITS), np.zeros_like(h)
-                for t in reversed(range(WINDOW)):
-                    dh = self.back(kept[t], dh + of[t], grad)
-                time += 1
-                norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
-                for n in names:
-                    g = grad[n] / max(1.0, norm)
-                    one[n] = 0.9 * one[n] + 0.1 * g
-                    two[n] = 0.99 * two[n] + 0.01 * g * g
-                    self.weights[n] -= RATE * (one[n] / (1 - 0.9**time)) / (np.sqrt(two[n] / (1 - 0.99**time)) + 1e-6)
+            size = np.array([len(w) - 1 for w, _ in taken])
+            steps = int(size.max())
+            ids = np.zeros((steps + 1, len(taken)), np.int32)
+            for j, (w, _) in enumerate(taken):
+                ids[: len(w), j] = w
+            tokens += int(size.sum())
+            h = h * np.array([[not fresh] for _, fresh in taken], np.float32)
+            kept, states = [], []
+            for t in range(steps):
+                h, k = self.step(ids[t], h)
+                kept.append(k)
+                states.append(h)
+            grad = {n: np.zeros_like(x) for n, x in self.weights.items()}
+            inside = (np.arange(steps)[:, None] < size).ravel()
+            weight = np.full(int(size.sum()), 1 / size.sum(), np.float32)
+            _, d = self.log_p(np.concatenate(states)[inside], ids[1:].ravel()[inside], grad, weight)
+            of = np.zeros((steps * len(taken), UNITS), np.float32)
+            of[inside] = d
+            self.back_through(kept, of.reshape(steps, len(taken), UNITS), grad)
+            time += 1
+            norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
+            for n in names:
+                g = grad[n]
+                g /= max(1.0, norm)
+                one[n] *= 0.9
+                one[n] += 0.1 * g
+                two[n] *= 0.99
+                g *= g
+                g *= 0.01
+                two[n] += g
+                np.multiply(two[n], 1 / (1 - 0.99**time), out=g)
+                np.sqrt(g, out=g)
+                g += 1e-6
+                np.divide(one[n], g, out=g)
+                g *= RATE * min(1.0, size.sum() / (BATCH * WINDOW)) / (1 - 0.9**time)
+                self.weights[n] -= g
         return tokens
 
     def score(self, documents: list[np.ndarray], end: int) -> np.ndarray:
@@ -321,35 +361,38 @@ def tokenized(df: DataFrame, v: Vocabulary, id_col: str, text_col: str, learns:
 
 
 def runs_of(ids: np.ndarray, end: int) -> list[np.ndarray]:
-    """Of every EVERY windows, RUN in a row at a place that a hash of the ids names; each with the id before."""
-    found, padded, segment = [], np.append(end, ids), EVERY * WINDOW
-    for k, a in enumerate(range(0, len(ids), segment)):
-        spare = max(0, min(len(ids), a + segment) - a - RUN * WINDOW) // WINDOW
-        at = a + WINDOW * (zlib.crc32(ids[a : a + segment].tobytes(), k) % (spare + 1))
-        found.append(padded[at : at + RUN * WINDOW + 1])
-    return found
+    """A document's runs of RUN windows of every EVERY, that is all of it; each with the id before."""
+    padded = np.append(end, ids)
+    return [padded[a : a + RUN * WINDOW + 1] for a in range(0, len(ids), EVERY * WINDOW)]
+
+
+def windows_of(documents: list[np.ndarray], end: int):
+    """The windows of one document after another, each with the id before, and whether a document starts there."""
+    for ids in documents:
+        for k, run in enumerate(runs_of(ids, end)):
+            for a in range(0, len(run) - 1, WINDOW):
+                yield run[a : a + WINDOW + 1], k == a == 0
 
 
 def fit(made: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> Network:
-    """Fits the network on the rows of tokenized() that learn. Each round trains on its share of the runs, a copy for each partition, and averages the copies by their tokens."""
+    """Fits the network on the rows of tokenized() that learn. Each round trains on its share of the documents, a copy for each partition, and averages the copies by their tokens."""
     net, spark, v = Network(v), made.sparkSession, replace(v, known={})
     end = v.learned.index(END)
     for turn in range(rounds):
         shared = spark.sparkContext.broadcast((v, net.flat()))
 
         def train(batches, turn=turn, shared=shared):
-            runs: list[np.ndarray] = []
+            documents: list[np.ndarray] = []
             number = 0
             for batch in batches:
                 for ids, learns in zip(batch["ids"].to_pylist(), batch["learns"].to_pylist()):
                     if learns:
-                        for r in runs_of(np.frombuffer(ids, "<u2"), end):
-                            number += 1
-                            if number % rounds == turn:
-                                runs.append(r)
-            if runs:
+                        number += 1
+                        if number % rounds == turn:
+                            documents.append(np.frombuffer(ids, "<u2"))
+            if documents:
                 net = Network(shared.value[0]).load(shared.value[1])
-                n = net.train(runs, turn)
+                n = net.train(documents, turn, end)
                 parts = [np.append(n, x).astype("<f4").tobytes() for x in np.array_split(n * net.flat().astype(float), PARTS)]
                 yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int64()), pa.array(parts, pa.binary())], names=["k", "v"])
 

@@ -133,3 +133,37 @@ def test_runs_cover_each_document():
         runs = lm.runs_of(ids, 9)
         assert len(runs) == -(-n // (lm.EVERY * lm.WINDOW)) and all(2 <= len(r) <= lm.RUN * lm.WINDOW + 1 for r in runs)
         assert all((np.diff(r[1:].astype(int)) == 1).all() for r in runs)
+
+
+def test_every_token_is_trained_on_once():
+    documents = [np.random.default_rng(n).integers(0, 20, n).astype("<u2") for n in (1, 24, 25, 600, 5000)]
+    windows = list(lm.windows_of(documents, 0))
+    assert [x for w, _ in windows for x in w[1:]] == [x for d in documents for x in d]
+    assert sum(fresh for _, fresh in windows) == len(documents)
+    assert lm.Network(vocabulary()).train(documents, 0, 0) == sum(map(len, documents))
+
+
+def test_training_carries_the_state(monkeypatch):
+    monkeypatch.setattr(lm, "RATE", 0.0)
+    net, seen = lm.Network(vocabulary()), []
+    step = net.step
+    net.step = lambda ids, h: (out := step(ids, h), seen.append((h, out[0])))[0]
+    net.train([np.random.default_rng(5).integers(0, 20, 1300).astype("<u2")], 0, 0)
+    assert len(seen) == 1300 and not seen[0][0].any()
+    assert all(np.array_equal(after, h) for (_, after), (h, _) in zip(seen, seen[1:]))
+
+
+def test_gradients_of_a_window_are_those_of_its_steps():
+    net = lm.Network(vocabulary())
+    draw = np.random.default_rng(3)
+    net.weights = {n: 0.5 * draw.standard_normal(w.shape) for n, w in net.weights.items()}
+    h, kept, of = np.zeros((3, lm.UNITS)), [], draw.standard_normal((6, 3, lm.UNITS))
+    for ids in draw.integers(0, 20, (6, 3)):
+        h, k = net.step(ids, h)
+        kept.append(k)
+    one, whole = ({n: np.zeros_like(w) for n, w in net.weights.items()} for _ in range(2))
+    dh = np.zeros_like(h)
+    for k, d in zip(reversed(kept), of[::-1]):
+        dh = net.back(k, dh + d, one)
+    net.back_through(kept, of, whole)
+    assert all(np.allclose(one[n], whole[n]) for n in one)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import scalars
 from tessera.operators import joins, parity, predicates, regression, sets
-from tessera.operators.rectangles import cover
+from tessera.operators.rectangles import MOST_POINTS, cover
 from tessera.queries.analytics import rounded
 from tessera.queries.catalogue import Catalogue, table
 from tessera.sources import datasets, records
@@ -182,7 +182,8 @@ def missing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def rectangle_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sizes = table(spark, sf_dir, "part").filter("p_size < 20").select("p_brand", "p_size", "p_type").distinct().limit(5000).collect()
+    # one point beyond the bound is enough for cover to raise
+    sizes = table(spark, sf_dir, "part").select("p_brand", "p_size", "p_type").distinct().limit(MOST_POINTS + 1).collect()
     boxes = cover([tuple(r) for r in sizes], ["p_brand", "p_size", "p_type"])
     return spark.createDataFrame([(i, ",".join(map(str, b.values["p_brand"])), ",".join(map(str, b.values["p_size"])), ",".join(b.values["p_type"]), b.points) for i, b in enumerate(boxes)], "box int, p_brand string, p_size string, p_type string, points int")
 

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import gc
 import sys
-import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera import plans
+
 #: Java and Python regular expressions for a run of anything but ASCII white space, and for the white space itself.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -24,12 +27,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The shared checkpoint folder of the session. Where none is given, a temporary one is made if the master is local; a cluster must name one."""
+    return plans.checkpoint_folder(spark)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Writes df to the shared checkpoint folder of the session and returns it without its lineage."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-checkpoint-"))
-    return df.checkpoint(eager=True)
+    return plans.cut_lineage(df)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession, name: str) -> Iterator[str]:
+    """A path in the shared checkpoint folder for a table, which is removed at the end."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    try:
+        yield path
+    finally:
+        of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        of.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(of, True)
 
 
 def remainder(id_col: str, divisor: int) -> Column:

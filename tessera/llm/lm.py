@@ -1,19 +1,21 @@
 """Document log-likelihoods by a gated recurrent language model with a class-factored output.
 
 Tokens are words (runs of anything but ASCII white space, A-Z lower-cased) and one end for each document. The most frequent
-LEARNED tokens lie in classes of about equal mass and have weights of their own; every other word belongs to one of
-ENDINGS classes by its last two characters and has the share (c + 1) / (sum of c + 1 in its class, plus 1) of it, where c is
-its count, so that all words, seen or not, share a probability of 1. Counts cover all training documents.
-
-The network is fitted in numpy by truncated backpropagation on every window of every training document, in one epoch that
-is split over the rounds by documents: the state is carried through the whole document while gradients stop at a window's
-start. Tasks train copies on their shards and the copies are averaged after each round. Scoring carries the state from
-window to window through the whole document, too.
+LEARNED tokens have weights of their own; every other word belongs to one of ENDINGS groups by its last two characters
+and has the share (c + 1) / (sum of c + 1 in its group, plus 1) of it, where c is its count, so that all words, seen or not,
+share a probability of 1. Tokens and groups lie in CLASSES classes of about equal mass. Counts cover all training documents.
+
+The network is fitted in numpy by truncated backpropagation on every token of every training document, once. A hash of a
+document's id and content deals it to one of 2^R - 1 shards of at most about SHARD tokens, and the shards to R rounds: one
+shard in the first, twice as many in each that follows. A round's shards all start from the weights that the rounds before
+have given; each is trained by itself, in an order by hash, and the round's weights are the mean of the copies by their
+tokens, added up as integers. The sequential part thus grows with the logarithm of the corpus, a copy's work doesn't depend on its
+size, and the result is the same, bit for bit, however the rows are partitioned. Scoring carries the state from window to
+window through the whole document.
 """
 
 from __future__ import annotations
 
-import heapq
 import zlib
 from collections import Counter
 from dataclasses import dataclass, replace
@@ -25,15 +27,19 @@ from pyspark.sql import functions as F
 
 from tessera.plans.reduce import sum_vectors
 
-from .common import cut, slices
+from .common import cut, scratch, slices, tidy
 from .quality import BIN, BIN_LOW
 
-#: Production parameters: tokens with weights of their own and their classes, classes of the other words, units of state.
-LEARNED, CLASSES, ENDINGS, UNITS = 1024, 32, 64, 16
+#: Production parameters: tokens with weights of their own, groups of the other words, classes, units of state.
+LEARNED, ENDINGS, CLASSES, UNITS = 1024, 64, 32, 16
 #: Words (with their counts) that a task holds at most; the counts of the others come by a join.
 KNOWN = 1 << 18
-#: Of the fit: tokens of a window, windows of a run and windows that each run stands for (the same: none is left out), documents side by side, rounds, rate.
-WINDOW, RUN, EVERY, BATCH, ROUNDS, RATE = 24, 24, 24, 48, 3, 0.01
+#: Of the fit: tokens of a shard at most (about), tokens of a window, steps that a shard takes, first rate.
+SHARD, WINDOW, STEPS, RATE = 1 << 20, 24, 256, 0.02
+#: Tokens of a document that stay together in a shard, so that long ones spread; shards that a core trains one after another in a round, at least.
+SEGMENT, EACH = 1 << 16, 4
+#: Weights are added up as multiples of 2^-FRACTION, weighed by their tokens in units of UNIT.
+FRACTION, UNIT = 20, 1024
 #: Distinct words that a task counts before it hands them on, parts in which weights are added up, tokens scored at a time.
 FLUSH, PARTS, BLOCK = 300_000, 16, 32_768
 END = b""
@@ -71,21 +77,15 @@ def word_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
 
 @dataclass
 class Vocabulary:
-    """learned: tokens with weights (END among them), most frequent first; counts: theirs; first: where each class starts in
-    learned, and len(learned); mass: the sum of c + 1 (plus 1) of each ending's class; known: the other words held, with counts."""
+    """learned: tokens with weights (END among them), most frequent first; counts: theirs; mass: the sum of c + 1 (plus 1) of each ending's class; known: the other words held, with counts."""
 
     learned: list[bytes]
     counts: np.ndarray
-    first: np.ndarray
     mass: np.ndarray
     known: dict[bytes, int]
     tokens: int
     distinct: int
 
-    @property
-    def classes(self) -> int:
-        return len(self.first) - 1
-
 
 def vocabulary(counts: DataFrame, documents: int, known: int = KNOWN, learned: int = LEARNED) -> Vocabulary:
     """From word_counts of the training documents and their number. At most known words come to the driver: those from the least count that at most known words reach."""
@@ -104,9 +104,6 @@ def vocabulary(counts: DataFrame, documents: int, known: int = KNOWN, learned: i
         other = [own[-1], *(x for x in other if x[1] != END)]
         own = [*own[:-1], (-documents, END)]
     c = np.array([-n for n, _ in own], float)
-    share = np.cumsum(c + 1) / np.sum(c + 1)
-    number = np.minimum((share - share[0] / 2) * CLASSES, CLASSES - 1).astype(int)
-    first = np.append(np.flatnonzero(np.diff(number, prepend=-1)), len(own))
     ending = (F.crc32(F.encode(F.expr("right(word, 2)"), "UTF-8")) % ENDINGS).cast("int")
     mass = np.ones(ENDINGS)
     for e, m in counts.groupBy(ending.alias("e")).agg(F.sum(F.col("c") + 1).alias("m")).collect():
@@ -114,27 +111,43 @@ def vocabulary(counts: DataFrame, documents: int, known: int = KNOWN, learned: i
     for n, w in own:
         if w != END:
             mass[ending_of(w)] -= -n + 1
-    return Vocabulary([w for _, w in own], c, first, mass, {w: -n for n, w in other}, int(total.n or 0) + documents, int(total.v) + (documents > 0))
+    return Vocabulary([w for _, w in own], c, mass, {w: -n for n, w in other}, int(total.n or 0) + documents, int(total.v) + (documents > 0))
 
 
-def _levelled(scores: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
-    """scores less the greatest of each row, unless the weights bound them so that their exponentials are in range as they are (states lie between -1 and 1)."""
-    if np.abs(weights).sum(0).max() + np.abs(bias).max() > 60:
+def _exp(scores: np.ndarray, wide: bool, rows: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The exponentials of scores (in place; less each row's greatest if wide), their sums by row, and the log share of the chosen ones."""
+    if wide:
         scores -= scores.max(1, keepdims=True)
-    return scores
+    found = scores[rows, chosen]
+    np.exp(scores, out=scores)
+    total = scores @ np.ones(scores.shape[1], scores.dtype)
+    return scores, total, found - np.log(total)
+
+
+def _wide(weights: np.ndarray, bias: np.ndarray) -> bool:
+    """Whether scores can leave the range of exponentials, given a row of weights for each output (states lie between -1 and 1)."""
+    return bool(np.abs(weights).sum(1).max() + np.abs(bias).max() > 60)
 
 
 class Network:
-    """The weights by name and what is computed with them. Input ids: learned tokens, then endings."""
+    """The weights by name and what is computed with them. Ids: learned tokens, then endings.
+
+    Outputs are factored: the ids, ordered by mass, are cut into CLASSES of about equal mass, so that a class and a place in it cost as little as can be."""
 
     def __init__(self, v: Vocabulary) -> None:
-        draw, tokens, outputs = np.random.default_rng(4), len(v.learned), v.classes + ENDINGS
+        draw, mass = np.random.default_rng(4), np.append(v.counts + 1, v.mass)
+        order = np.argsort(-mass, kind="stable")
+        upto = np.cumsum(mass[order]) / mass.sum()
+        number = np.minimum((upto - upto[0] / 2) * CLASSES, CLASSES - 1).astype(int)
+        self.first = np.append(np.flatnonzero(np.diff(number, prepend=-1)), len(mass))
+        sizes = np.diff(self.first)
+        self.place = np.empty(len(mass), np.int32)
+        self.place[order] = np.arange(len(mass))
+        self.class_of = np.repeat(np.arange(len(sizes)), sizes).astype(np.int16)[self.place]
+        shares = np.add.reduceat(mass[order], self.first[:-1]) / mass.sum()
         normal = lambda *shape: (0.1 * draw.standard_normal(shape)).astype(np.float32)
-        mass = np.append(np.add.reduceat(v.counts + 1, v.first[:-1]), v.mass)
-        self.first = v.first
-        self.weights = {"input": normal(tokens + ENDINGS, 3 * UNITS), "state": normal(UNITS, 3 * UNITS), "class": np.zeros((UNITS, outputs), np.float32), "class_bias": np.log(mass / mass.sum()).astype(np.float32)}
-        self.weights |= {"word": np.zeros((tokens, UNITS), np.float32), "word_bias": np.log(v.counts + 1).astype(np.float32)}
-        self.class_of = np.append(np.repeat(np.arange(v.classes), np.diff(v.first)), v.classes + np.arange(ENDINGS)).astype(np.int32)
+        self.weights = {"input": normal(len(mass), 3 * UNITS), "state": normal(UNITS, 3 * UNITS), "class": np.zeros((UNITS, len(sizes)), np.float32), "class_bias": np.log(shares).astype(np.float32)}
+        self.weights |= {"word": np.zeros((len(mass), UNITS), np.float32), "word_bias": np.log(mass[order]).astype(np.float32)}
 
     def flat(self) -> np.ndarray:
         return np.concatenate([w.ravel() for w in self.weights.values()])
@@ -146,141 +159,136 @@ class Network:
             at += w.size
         return self
 
-    def step(self, ids: np.ndarray, h: np.ndarray) -> tuple:
-        """The next state, and what backpropagation needs."""
-        x, s = self.weights["input"][ids], h @ self.weights["state"]
-        gates = 1 / (1 + np.exp(-(x[:, : 2 * UNITS] + s[:, : 2 * UNITS])))
-        update, reset = gates[:, :UNITS], gates[:, UNITS:]
-        new = np.tanh(x[:, 2 * UNITS :] + reset * s[:, 2 * UNITS :])
-        return new + update * (h - new), (ids, h, update, reset, new, s[:, 2 * UNITS :])
-
-    def _back(self, kept: tuple, dh: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The gradients of a step's inputs, of what its state gives to the gates, and of the state before."""
-        _, h, update, reset, new, s = kept
-        d_update = dh * (h - new) * update * (1 - update)
-        d_new = dh * (1 - update) * (1 - new * new)
-        d_reset = d_new * s * reset * (1 - reset)
-        d_state = np.concatenate([d_update, d_reset, d_new * reset], 1)
-        return np.concatenate([d_update, d_reset, d_new], 1), d_state, dh * update + d_state @ self.weights["state"].T
-
-    def back(self, kept: tuple, dh: np.ndarray, grad: dict[str, np.ndarray]) -> np.ndarray:
-        """Adds a step's gradients; the gradient of the state before."""
-        d_input, d_state, before = self._back(kept, dh)
-        np.add.at(grad["input"], kept[0], d_input)
-        grad["state"] += kept[1].T @ d_state
-        return before
-
-    def back_through(self, kept: list[tuple], of: np.ndarray, grad: dict[str, np.ndarray]) -> None:
-        """Adds the gradients of consecutive steps, given those of the states after each: as back does step by step, summed at once."""
-        dh, found = np.zeros_like(of[0]), []
-        for k, d in zip(reversed(kept), of[::-1]):
-            d_input, d_state, dh = self._back(k, dh + d)
-            found.append((k[0], k[1], d_input, d_state))
-        ids, states, d_input, d_state = (np.concatenate(x) for x in zip(*found))
+    def window(self, ids: np.ndarray, h: np.ndarray, fresh: np.ndarray) -> tuple[np.ndarray, tuple]:
+        """The states after each step (a row of ids), and what back_through needs. Where fresh, a state starts at zero."""
+        w, steps, lanes = self.weights, len(ids), len(h)
+        x = w["input"][ids]
+        states, reset_of = np.empty((steps + 1, lanes, UNITS), x.dtype), np.empty((steps, lanes, UNITS), x.dtype)
+        states[0] = h
+        half, both, resets = x[:, :, : 2 * UNITS], 2 * UNITS, fresh.any(1)
+        half *= 0.5
+        for t in range(steps):
+            h = states[t]
+            if resets[t]:
+                h = np.where(fresh[t][:, None], h.dtype.type(0), h)
+            s = h @ w["state"]
+            gates, new = half[t], x[t, :, both:]
+            s[:, :both] *= 0.5
+            gates += s[:, :both]
+            np.tanh(gates, out=gates)
+            gates *= 0.5
+            gates += 0.5
+            reset_of[t] = s[:, both:]
+            new += gates[:, UNITS:] * s[:, both:]
+            np.tanh(new, out=new)
+            np.subtract(h, new, out=states[t + 1])
+            states[t + 1] *= gates[:, :UNITS]
+            states[t + 1] += new
+        before = states[:-1].copy()
+        before[fresh] = 0
+        return states[1:], (ids, before, x, reset_of, fresh)
+
+    def back_through(self, kept: tuple, of: np.ndarray, grad: dict[str, np.ndarray]) -> None:
+        """Adds the gradients of a window's steps, given those of the states after each; none flow to the window before."""
+        ids, before, x, reset_of, fresh = kept
+        update, reset, new = x[:, :, :UNITS], x[:, :, UNITS : 2 * UNITS], x[:, :, 2 * UNITS :]
+        to_update = (before - new) * update * (1 - update)
+        to_new = (1 - update) * (1 - new * new)
+        to_reset = reset_of * reset * (1 - reset)
+        d_state, back = np.empty_like(x), np.ascontiguousarray(self.weights["state"].T)
+        dh = np.zeros_like(of[0])
+        for t in range(len(ids) - 1, -1, -1):
+            dh += of[t]
+            d = d_state[t]
+            np.multiply(dh, to_update[t], out=d[:, :UNITS])
+            d_new = to_new[t]
+            d_new *= dh
+            np.multiply(d_new, to_reset[t], out=d[:, UNITS : 2 * UNITS])
+            np.multiply(d_new, reset[t], out=d[:, 2 * UNITS :])
+            dh *= update[t]
+            dh += d @ back
+            dh[fresh[t]] = 0
+        d_state = d_state.reshape(-1, 3 * UNITS)
+        grad["state"] += before.reshape(-1, UNITS).T @ d_state
+        d_state[:, 2 * UNITS :] = to_new.reshape(-1, UNITS)
+        ids = ids.ravel().astype(np.uint16)
         order = np.argsort(ids, kind="stable")
         ids = ids[order]
-        first = np.flatnonzero(np.diff(ids, prepend=-1))
-        grad["input"][ids[first]] += np.add.reduceat(d_input[order], first)
-        grad["state"] += states.T @ d_state
+        first = np.flatnonzero(np.diff(ids, prepend=np.uint16(ids[0] + 1)))
+        grad["input"][ids[first]] += np.add.reduceat(d_state[order], first)
 
-    def log_p(self, h: np.ndarray, targets: np.ndarray, grad: dict[str, np.ndarray] | None = None, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-        """Natural log probability of each target after its state (for endings, of the class); with grad, adds gradients of the weighted sum's negative."""
+    def log_p(self, h: np.ndarray, targets: np.ndarray, grad: dict[str, np.ndarray] | None = None, weight: float = 1.0) -> tuple[np.ndarray, np.ndarray | None]:
+        """Natural log probability of each target after its state (for endings, of the class); with grad, adds gradients of the negative sum times weight."""
         w = self.weights
-        classes, rows = self.class_of[targets], np.arange(len(targets))
-        scores = _levelled(h @ w["class"] + w["class_bias"], w["class"], w["class_bias"])
-        found = scores[rows, classes].copy()
-        p = np.exp(scores, out=scores)
-        total = p @ np.ones(p.shape[1], p.dtype)
-        found -= np.log(total)
+        classes, place, rows = self.class_of[targets], self.place[targets], np.arange(len(targets))
+        scores = h @ w["class"]
+        scores += w["class_bias"]
+        p, total, found = _exp(scores, _wide(w["class"].T, w["class_bias"]), rows, classes)
         dh = None
         if grad is not None:
-            p /= total[:, None]
-            p[rows, classes] -= 1
-            p *= weight[:, None]
+            p *= (weight / total)[:, None]
+            p[rows, classes] -= weight
             grad["class"] += h.T @ p
-            grad["class_bias"] += p.sum(0)
+            grad["class_bias"] += np.ones(len(p), p.dtype) @ p
             dh = p @ w["class"].T
         order = np.argsort(classes, kind="stable")
         bounds = np.searchsorted(classes[order], np.arange(len(self.first)))
+        h, place, inside = h[order], place[order], np.zeros(len(order), h.dtype)
+        d_inside, wide = np.zeros_like(h) if grad is not None else None, _wide(w["word"], w["word_bias"])
         for k in range(len(self.first) - 1):
             a, b = self.first[k], self.first[k + 1]
-            at = order[bounds[k] : bounds[k + 1]]
-            if not len(at) or b - a == 1:
+            at = slice(bounds[k], bounds[k + 1])
+            if at.start == at.stop or b - a == 1:
                 continue
-            hk, own = h[at], targets[at] - a
-            s = _levelled(hk @ w["word"][a:b].T + w["word_bias"][a:b], w["word"][a:b].T, w["word_bias"][a:b])
-            chosen = s[np.arange(len(at)), own].copy()
-            q = np.exp(s, out=s)
-            total = q @ np.ones(q.shape[1], q.dtype)
-            found[at] += chosen - np.log(total)
+            hk, own, rows = h[at], place[at] - a, np.arange(at.stop - at.start)
+            scores = hk @ w["word"][a:b].T
+            scores += w["word_bias"][a:b]
+            q, total, inside[at] = _exp(scores, wide, rows, own)
             if grad is not None:
-                q /= total[:, None]
-                q[np.arange(len(at)), own] -= 1
-                q *= weight[at][:, None]
+                q *= (weight / total)[:, None]
+                q[rows, own] -= weight
                 grad["word"][a:b] += q.T @ hk
-                grad["word_bias"][a:b] += q.sum(0)
-                dh[at] += q @ w["word"][a:b]
+                grad["word_bias"][a:b] += np.ones(len(q), q.dtype) @ q
+                np.matmul(q, w["word"][a:b], out=d_inside[at])
+        found[order] += inside
+        if grad is not None:
+            dh[order] += d_inside
         return found, dh
 
-    def train(self, documents: list[np.ndarray], seed: int, end: int) -> int:
-        """One pass over every window of the documents, BATCH of them side by side, by Adam; the number of tokens.
-
-        Each lane has documents of about the same length in all, in an order drawn by seed, so that lanes end together. A
-        step's rate is in proportion to its tokens, so that the rest of a long document counts no more than other text."""
-        draw, names = np.random.default_rng(seed), list(self.weights)
-        held: list[list[int]] = [[] for _ in range(min(BATCH, len(documents)))]
-        loads = [(0, j) for j in range(len(held))]
-        for i in sorted(range(len(documents)), key=lambda i: -len(documents[i])):
-            load, j = loads[0]
-            held[j].append(i)
-            heapq.heapreplace(loads, (load - -len(documents[i]) // WINDOW, j))
-        lanes = [windows_of([documents[i] for i in draw.permutation(x)], end) for x in held]
-        one, two, time, tokens = {n: np.zeros_like(w) for n, w in self.weights.items()}, {n: np.zeros_like(w) for n, w in self.weights.items()}, 0, 0
-        h = np.zeros((len(lanes), UNITS), np.float32)
-        while lanes:
-            taken = [next(x, None) for x in lanes]
-            if None in taken:
-                stay = [j for j, x in enumerate(taken) if x is not None]
-                lanes, taken, h = [lanes[j] for j in stay], [taken[j] for j in stay], h[stay]
-                if not lanes:
-                    break
-            size = np.array([len(w) - 1 for w, _ in taken])
-            steps = int(size.max())
-            ids = np.zeros((steps + 1, len(taken)), np.int32)
-            for j, (w, _) in enumerate(taken):
-                ids[: len(w), j] = w
-            tokens += int(size.sum())
-            h = h * np.array([[not fresh] for _, fresh in taken], np.float32)
-            kept, states = [], []
-            for t in range(steps):
-                h, k = self.step(ids[t], h)
-                kept.append(k)
-                states.append(h)
+    def train(self, documents: list[np.ndarray], end: int, rate: float) -> int:
+        """One pass over every token of the documents, in their order, by Adam; the number of tokens.
+
+        The documents stand one behind the other in a stream, which is cut into lanes of equal length so that about STEPS
+        windows of each cover all of it. A lane carries its state from window to window and forgets it where a document
+        starts; gradients stop at a window's start. The moments of Adam are weights like the others."""
+        stream = np.concatenate(documents)
+        fresh = np.zeros(len(stream), bool)
+        fresh[np.cumsum([0, *map(len, documents[:-1])])] = True
+        lanes = max(1, len(stream) // (WINDOW * STEPS))
+        size = -(-len(stream) // lanes)
+        given = np.where(fresh, stream.dtype.type(end), np.roll(stream, 1))
+        pad = lambda x: np.concatenate([x, np.zeros(lanes * size - len(x), x.dtype)]).reshape(lanes, size).T
+        given, wanted, fresh, real = pad(given), pad(stream), pad(fresh), pad(np.ones(len(stream), bool))
+        one, two = ({n: np.zeros_like(w) for n, w in self.weights.items()} for _ in range(2))
+        h = np.zeros((lanes, UNITS), np.float32)
+        for time, a in enumerate(range(0, size, WINDOW), 1):
+            at = slice(a, a + WINDOW)
+            inside = real[at].ravel()
+            count = int(inside.sum())
+            states, kept = self.window(given[at], h, fresh[at])
+            h = states[-1]
             grad = {n: np.zeros_like(x) for n, x in self.weights.items()}
-            inside = (np.arange(steps)[:, None] < size).ravel()
-            weight = np.full(int(size.sum()), 1 / size.sum(), np.float32)
-            _, d = self.log_p(np.concatenate(states)[inside], ids[1:].ravel()[inside], grad, weight)
-            of = np.zeros((steps * len(taken), UNITS), np.float32)
-            of[inside] = d
-            self.back_through(kept, of.reshape(steps, len(taken), UNITS), grad)
-            time += 1
-            norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
-            for n in names:
-                g = grad[n]
-                g /= max(1.0, norm)
-                one[n] *= 0.9
-                one[n] += 0.1 * g
-                two[n] *= 0.99
-                g *= g
-                g *= 0.01
-                two[n] += g
-                np.multiply(two[n], 1 / (1 - 0.99**time), out=g)
-                np.sqrt(g, out=g)
-                g += 1e-6
-                np.divide(one[n], g, out=g)
-                g *= RATE * min(1.0, size.sum() / (BATCH * WINDOW)) / (1 - 0.9**time)
-                self.weights[n] -= g
-        return tokens
+            of = np.zeros((len(inside), UNITS), np.float32)
+            _, of[inside] = self.log_p(states.reshape(-1, UNITS)[inside], wanted[at].ravel()[inside], grad, np.float32(1 / count))
+            self.back_through(kept, of.reshape(states.shape), grad)
+            norm = max(1.0, np.sqrt(sum(float(np.vdot(g, g)) for g in grad.values())))
+            step = rate * count / (WINDOW * lanes)
+            for n, g in grad.items():
+                g /= norm
+                one[n] += 0.1 * (g - one[n])
+                two[n] += 0.01 * (g * g - two[n])
+                self.weights[n] -= (step / (1 - 0.9**time)) * one[n] / (np.sqrt(two[n] * (1 / (1 - 0.99**time))) + 1e-6)
+        return len(stream)
 
     def score(self, documents: list[np.ndarray], end: int) -> np.ndarray:
         """Natural log probability of the ids (classes, for endings) of each document; the state is carried through all of it."""
@@ -360,45 +368,66 @@ def tokenized(df: DataFrame, v: Vocabulary, id_col: str, text_col: str, learns:
     return df.select(id_col, learns.alias("learns"), text_col).mapInArrow(run, schema)
 
 
-def runs_of(ids: np.ndarray, end: int) -> list[np.ndarray]:
-    """A document's runs of RUN windows of every EVERY, that is all of it; each with the id before."""
-    padded = np.append(end, ids)
-    return [padded[a : a + RUN * WINDOW + 1] for a in range(0, len(ids), EVERY * WINDOW)]
+def rounds_of(tokens: int) -> int:
+    """The least R with 2^R - 1 shards of SHARD tokens for all of them."""
+    return max(1, int(np.ceil(np.log2(tokens / SHARD + 1))))
 
 
-def windows_of(documents: list[np.ndarray], end: int):
-    """The windows of one document after another, each with the id before, and whether a document starts there."""
-    for ids in documents:
-        for k, run in enumerate(runs_of(ids, end)):
-            for a in range(0, len(run) - 1, WINDOW):
-                yield run[a : a + WINDOW + 1], k == a == 0
+def dealt(made: DataFrame, rounds: int, id_col: str) -> DataFrame:
+    """ids, fresh order (h), shard and round of each segment of the rows that learn."""
+    size = 2 * SEGMENT
+    learning = made.filter("learns").select(F.col(id_col).alias("id"), F.posexplode(F.expr(f"transform(sequence(0, (octet_length(ids) - 1) div {size}), i -> substring(ids, i * {size} + 1, {size}))")).alias("segment", "ids"))
+    h = learning.select("ids", F.xxhash64("id", "segment", "ids").alias("h"))
+    placed = h.withColumn("shard", F.pmod("h", F.lit(2**rounds - 1)).cast("int"))
+    return placed.withColumn("round", F.length(F.bin(F.col("shard") + 1)) - 1)
 
 
-def fit(made: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> Network:
-    """Fits the network on the rows of tokenized() that learn. Each round trains on its share of the documents, a copy for each partition, and averages the copies by their tokens."""
+def fit(made: DataFrame, v: Vocabulary, id_col: str = "doc_id") -> Network:
+    """Fits the network on the rows of tokenized() that learn.
+
+    Their segments are written once, by round, to the shared checkpoint folder, and removed when the fit has ended. A
+    shard is trained by one task, which holds its ids; identical rows with identical ids belong to one shard, and one
+    of several times SHARD tokens is trained in portions of twice SHARD."""
     net, spark, v = Network(v), made.sparkSession, replace(v, known={})
-    end = v.learned.index(END)
-    for turn in range(rounds):
-        shared = spark.sparkContext.broadcast((v, net.flat()))
-
-        def train(batches, turn=turn, shared=shared):
-            documents: list[np.ndarray] = []
-            number = 0
-            for batch in batches:
-                for ids, learns in zip(batch["ids"].to_pylist(), batch["learns"].to_pylist()):
-                    if learns:
-                        number += 1
-                        if number % rounds == turn:
-                            documents.append(np.frombuffer(ids, "<u2"))
-            if documents:
-                net = Network(shared.value[0]).load(shared.value[1])
-                n = net.train(documents, turn, end)
-                parts = [np.append(n, x).astype("<f4").tobytes() for x in np.array_split(n * net.flat().astype(float), PARTS)]
-                yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int64()), pa.array(parts, pa.binary())], names=["k", "v"])
-
-        sums = {r.k: np.frombuffer(r.v) for r in sum_vectors(made.select("ids", "learns").mapInArrow(train, "k long, v binary"), "<f4").collect()}
-        if sums:
-            net.load((np.concatenate([sums[k][1:] for k in range(PARTS)]) / sums[0][0]).astype(np.float32))
+    end, rounds = v.learned.index(END), rounds_of(v.tokens)
+    with scratch(spark, "lm") as path:
+        dealt(made, rounds, id_col).write.partitionBy("round").parquet(path)
+        rows = spark.read.schema("ids binary, h long, shard int, round int").parquet(path)
+        for turn in range(rounds):
+            shared = spark.sparkContext.broadcast((v, net.flat()))
+
+            def train(batches, turn=turn, shared=shared):
+                v, start = shared.value
+                total = np.zeros(len(start) + 1, np.int64)
+
+                def learn(documents):
+                    net = Network(v).load(start)
+                    n = -(-net.train(documents, end, RATE / (1 + turn / 2)) // UNIT)
+                    total[0] += n
+                    total[1:] += np.rint(net.flat() * (1 << FRACTION)).astype(np.int64) * n
+
+                documents, size, last = [], 0, None
+                for batch in batches:
+                    for ids, shard in zip(batch["ids"], batch["shard"].to_pylist()):
+                        if documents and (shard != last or size > 2 * SHARD):
+                            learn(documents)
+                            documents, size = [], 0
+                        documents.append(np.frombuffer(ids.as_py(), "<u2"))
+                        size, last = size + len(documents[-1]), shard
+                if documents:
+                    learn(documents)
+                if total[0]:
+                    parts = [x.tobytes() for x in np.array_split(total, PARTS)]
+                    yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int64()), pa.array(parts, pa.binary())], names=["k", "v"])
+                tidy()
+
+            tasks = min(1 << turn, EACH * spark.sparkContext.defaultParallelism)
+            ordered = rows.filter(F.col("round") == turn).repartitionById(tasks, F.col("shard") % tasks).sortWithinPartitions("shard", "h")
+            sums = {r.k: np.frombuffer(r.v, "<i8") for r in sum_vectors(ordered.select("ids", "shard").mapInArrow(train, "k long, v binary"), "<i8", "<i8").collect()}
+            if sums:
+                total = np.concatenate([sums[k] for k in range(PARTS)])
+                net.load((total[1:] / (total[0] * float(1 << FRACTION))).astype(np.float32))
+            shared.unpersist()
     return net
 
 
@@ -416,7 +445,7 @@ def score(df: DataFrame, learns: Column, id_col: str = "doc_id", text_col: str =
     counts = cut(word_counts(training, text_col))
     v = vocabulary(counts, training.count(), known, learned)
     made = cut(tokenized(df, v, id_col, text_col, F.col("_learns"))).withColumn("_row", F.monotonically_increasing_id())
-    net = fit(made, v)
+    net = fit(made, v, id_col)
     shared = spark.sparkContext.broadcast((replace(v, known={}), net.flat()))
     end = v.learned.index(END)
 

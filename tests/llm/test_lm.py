@@ -59,7 +59,7 @@ def vocabulary(learned=12):
     for w in words[learned:]:
         mass[lm.ending_of(w)] += 3 + 1
     own = [lm.END, *words[: learned - 1]]
-    return lm.Vocabulary(own, c, np.array([0, 1, 4, learned]), mass, {w: 3 for w in words[learned:]}, 1000, 41)
+    return lm.Vocabulary(own, c, mass, {w: 3 for w in words[learned:]}, 1000, 41)
 
 
 def test_probabilities_sum_to_one():
@@ -74,26 +74,21 @@ def test_probabilities_sum_to_one():
     assert np.exp(found).sum() == pytest.approx(1, abs=1e-5)
 
 
-def test_gradients_are_the_differences():
+def test_gradients_are_the_differences(monkeypatch):
+    monkeypatch.setattr(lm, "CLASSES", 5)
     net = lm.Network(vocabulary())
     draw = np.random.default_rng(1)
     net.weights = {n: 0.5 * draw.standard_normal(w.shape) for n, w in net.weights.items()}
-    ids = draw.integers(0, 20, (6, 3))
+    ids, fresh = draw.integers(0, 20, (6, 3)), np.zeros((5, 3), bool)
+    fresh[0, 1] = fresh[3, 2] = True
+    before = draw.standard_normal((3, lm.UNITS))
 
     def loss(grad=None):
-        h, kept, total = np.zeros((3, lm.UNITS)), [], 0.0
-        given = []
-        for t in range(5):
-            h, k = net.step(ids[t], h)
-            kept.append(k)
-            found, d = net.log_p(h, ids[t + 1], grad, np.ones(3))
-            total -= found.sum()
-            given.append(d)
+        states, kept = net.window(ids[:-1], before, fresh)
+        found, d = net.log_p(states.reshape(-1, lm.UNITS), ids[1:].ravel(), grad)
         if grad is not None:
-            dh = np.zeros_like(h)
-            for t in reversed(range(5)):
-                dh = net.back(kept[t], dh + given[t], grad)
-        return total
+            net.back_through(kept, d.reshape(states.shape), grad)
+        return -found.sum()
 
     grad = {n: np.zeros_like(w) for n, w in net.weights.items()}
     loss(grad)
@@ -109,61 +104,81 @@ def test_gradients_are_the_differences():
             assert grad[name][at] == pytest.approx((up - down) / 2e-5, abs=1e-4), name
 
 
+def plain(net, documents, end):
+    """Step by step, in doubles: the natural log probability of each document."""
+    w, sigmoid = {n: x.astype(float) for n, x in net.weights.items()}, lambda x: 1 / (1 + np.exp(-x))
+    u, found = lm.UNITS, []
+    for d in documents:
+        h, before, total = np.zeros(u), end, 0.0
+        for x in map(int, d):
+            a, s = w["input"][before], h @ w["state"]
+            update, reset = sigmoid(a[:u] + s[:u]), sigmoid(a[u : 2 * u] + s[u : 2 * u])
+            new = np.tanh(a[2 * u :] + reset * s[2 * u :])
+            h = update * h + (1 - update) * new
+            k, place = net.class_of[x], net.place[x]
+            scores = h @ w["class"] + w["class_bias"]
+            inside = slice(net.first[k], net.first[k + 1])
+            words = w["word"][inside] @ h + w["word_bias"][inside]
+            total += scores[k] - np.log(np.exp(scores).sum()) + words[place - net.first[k]] - np.log(np.exp(words).sum())
+            before = x
+        found.append(total)
+    return found
+
+
 def test_score_carries_the_state():
     v = vocabulary()
     net = lm.Network(v)
     draw = np.random.default_rng(2)
     net.weights = {n: (w + 0.3 * draw.standard_normal(w.shape)).astype(np.float32) for n, w in net.weights.items()}
     documents = [draw.integers(0, 20, n).astype("<u2") for n in (1, 150, 0, 7, 150, 333)]
-    want = []
-    for d in documents:
-        h, before, total = np.zeros((1, lm.UNITS), np.float32), 0, 0.0
-        for x in d:
-            h, _ = net.step(np.array([before]), h)
-            total += net.log_p(h, np.array([int(x)]))[0][0]
-            before = int(x)
-        want.append(total)
+    want = plain(net, documents, 0)
     assert np.allclose(net.score(documents, 0), want, rtol=1e-4, atol=1e-4)
     assert len(net.score([], 0)) == 0
 
 
-def test_runs_cover_each_document():
-    for n in (1, 30, 48, 600, 5000):
-        ids = np.arange(n).astype("<u2")
-        runs = lm.runs_of(ids, 9)
-        assert len(runs) == -(-n // (lm.EVERY * lm.WINDOW)) and all(2 <= len(r) <= lm.RUN * lm.WINDOW + 1 for r in runs)
-        assert all((np.diff(r[1:].astype(int)) == 1).all() for r in runs)
-
-
-def test_every_token_is_trained_on_once():
+def test_training_uses_every_token_once_and_carries_the_state(monkeypatch):
+    monkeypatch.setattr(lm, "STEPS", 7)
     documents = [np.random.default_rng(n).integers(0, 20, n).astype("<u2") for n in (1, 24, 25, 600, 5000)]
-    windows = list(lm.windows_of(documents, 0))
-    assert [x for w, _ in windows for x in w[1:]] == [x for d in documents for x in d]
-    assert sum(fresh for _, fresh in windows) == len(documents)
-    assert lm.Network(vocabulary()).train(documents, 0, 0) == sum(map(len, documents))
-
-
-def test_training_carries_the_state(monkeypatch):
-    monkeypatch.setattr(lm, "RATE", 0.0)
-    net, seen = lm.Network(vocabulary()), []
-    step = net.step
-    net.step = lambda ids, h: (out := step(ids, h), seen.append((h, out[0])))[0]
-    net.train([np.random.default_rng(5).integers(0, 20, 1300).astype("<u2")], 0, 0)
-    assert len(seen) == 1300 and not seen[0][0].any()
-    assert all(np.array_equal(after, h) for (_, after), (h, _) in zip(seen, seen[1:]))
-
-
-def test_gradients_of_a_window_are_those_of_its_steps():
+    net, seen, wanted = lm.Network(vocabulary()), [], []
+    window, log_p = net.window, net.log_p
+    net.window = lambda ids, h, fresh: (out := window(ids, h, fresh), seen.append((h.copy(), fresh, out[0][-1].copy(), ids)))[0]
+    net.log_p = lambda h, targets, *more: (wanted.append(targets), log_p(h, targets, *more))[1]
+    assert net.train(documents, 0, 0.0) == 5650
+    assert np.array_equal(np.bincount(np.concatenate(wanted)), np.bincount(np.concatenate(documents)))
+    lanes = 5650 // (7 * lm.WINDOW)
+    assert all(len(h) == lanes for h, _, _, _ in seen) and not seen[0][0].any()
+    for (_, _, after, _), (h, _, _, _) in zip(seen, seen[1:]):
+        assert np.array_equal(after, h)
+    given = np.concatenate([ids for _, _, _, ids in seen]).T
+    fresh = np.concatenate([f for _, f, _, _ in seen]).T
+    assert fresh.sum() == len(documents) and (given[fresh] == 0).all()
+
+
+def test_training_lowers_the_loss():
+    draw = np.random.default_rng(7)
+    documents = [np.tile(np.arange(8), 40 + n).astype("<u2") for n in draw.permutation(30)]
     net = lm.Network(vocabulary())
-    draw = np.random.default_rng(3)
-    net.weights = {n: 0.5 * draw.standard_normal(w.shape) for n, w in net.weights.items()}
-    h, kept, of = np.zeros((3, lm.UNITS)), [], draw.standard_normal((6, 3, lm.UNITS))
-    for ids in draw.integers(0, 20, (6, 3)):
-        h, k = net.step(ids, h)
-        kept.append(k)
-    one, whole = ({n: np.zeros_like(w) for n, w in net.weights.items()} for _ in range(2))
-    dh = np.zeros_like(h)
-    for k, d in zip(reversed(kept), of[::-1]):
-        dh = net.back(k, dh + d, one)
-    net.back_through(kept, of, whole)
-    assert all(np.allclose(one[n], whole[n]) for n in one)
+    before = net.score(documents, 0).sum()
+    net.train(documents, 0, 0.02)
+    assert net.score(documents, 0).sum() > 0.8 * before
+
+
+def test_scores_do_not_depend_on_the_layout(spark, monkeypatch):
+    monkeypatch.setattr(lm, "SHARD", 10_000)
+    documents = table(spark, SF, "documents").select("doc_id", "text")
+    extra = spark.createDataFrame([(None, "the same words"), (None, "the same words"), (3, "x " * 70_000), (3, None)], documents.schema)
+    documents, learns = documents.unionByName(extra), remainder("doc_id", 7) != 2
+    made = [sorted((str(r.doc_id), r.n_tokens, r.base_score, r.score) for r in lm.score(documents.repartition(n, F.xxhash64("text", F.lit(n))), learns).collect()) for n in (1, 5, 16)]
+    for other in made[1:]:
+        assert [x[:2] for x in made[0]] == [x[:2] for x in other]
+        assert np.allclose([x[2:] for x in made[0]], [x[2:] for x in other], rtol=1e-6)
+    assert lm.rounds_of(0) == lm.rounds_of(lm.SHARD) == 1 and lm.rounds_of(lm.SHARD + 1) == 2 and lm.rounds_of(7 * lm.SHARD) == 3
+
+
+def test_every_learning_segment_is_dealt_once(spark, monkeypatch):
+    monkeypatch.setattr(lm, "SEGMENT", 10)
+    rows = [(i % 5, bytes(2 * (i % 37 + 1)), i % 3 > 0) for i in range(300)]
+    made = spark.createDataFrame(rows, "doc_id long, ids binary, learns boolean")
+    found = lm.dealt(made, 3, "doc_id").collect()
+    assert sum(len(r.ids) for r in found) == sum(len(x) for _, x, learns in rows if learns) and max(len(r.ids) for r in found) == 20
+    assert {(r.shard, r.round) for r in found} == {(0, 0), (1, 1), (2, 1), *((k, 2) for k in range(3, 7))}

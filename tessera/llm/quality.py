@@ -2,9 +2,10 @@
 
 Every document gets integer measures. A mergeable quantile sketch holds the distribution of a measure among the documents
 of a language and source that pass the fixed base rules: counts by bins whose width is a 32nd of their value or less, which
-add up in any order and partition to the same sketch. The fence of a measure is its upper quartile plus three times the
-distance between the quartiles, plus an allowance; a document outside a fence of its group isn't kept. Sketches of a
-language's small groups are merged, and those of small languages likewise.
+add up in any order and partition to the same sketch. A fence lies beyond an upper quantile of the group, by a multiple of the
+distance from a lower quantile to it: everything that decides comes from the group's own sketch. Shares of rare things are
+add-one rates, (count + 1) / (size + a constant), which have a spread even where most documents have none of them; a document
+without any is never outside. Sketches of a language's small groups are merged, and those of small languages likewise.
 """
 
 from __future__ import annotations
@@ -18,18 +19,17 @@ from .common import SPACE, cut, let
 #: Production parameters: words of a repeated window; documents that a sketch needs to be used by itself.
 WINDOW = 8
 GROUP_DOCUMENTS = 200
-#: Multiples of the distance between the quartiles.
-REACH = 3
 #: Copies of a threshold row: documents of one group join by a salt.
 SALTS = 32
 #: Groups whose fences are broadcast at most.
 BROADCAST = 50_000
-#: Measures as (name, SQL over the counts, allowance above, allowance below or None for no lower fence).
+#: Measures as (name, SQL over the counts, percent of the lower and of the upper quantile, multiple of their distance, count that must be
+#: above 0 for a document to be outside, or None for fences on both sides). Repetition is common in clean text, so that its fences lie beyond its tail.
 MEASURES = (
-    ("word_length", "1000 * word_chars div n_words", 3000, 1500),
-    ("symbols", "1000 * n_symbols div n_words", 100, None),
-    ("dup_lines", "1000 * n_dup_lines div greatest(n_lines, 1)", 300, None),
-    ("repeats", "1000 * n_repeat_words div n_words", 250, None),
+    ("word_length", "1000 * word_chars div n_words", 25, 75, 5, None),
+    ("symbols", "100000 * (n_symbols + 1) div (n_words + 100)", 25, 75, 3, "n_symbols"),
+    ("dup_lines", "100000 * (n_dup_lines + 1) div (n_lines + 10)", 50, 99, 3, "n_dup_lines"),
+    ("repeats", "100000 * (n_repeat_words + 1) div (n_words + 100)", 50, 99, 3, "n_repeat_words"),
 )
 
 #: The number of the bin of a value v >= 0, and the least and greatest value of bin b, in SQL (integers only).
@@ -73,7 +73,7 @@ def features(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     counted = df.select(F.col(id_col), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), measure(df, text_col).alias("c"), *more)
     counted = counted.select(id_col, "lang", "source", *more, F.col("c.w.n").alias("n_words"), "c.word_chars", "c.n_symbols", F.col("c.l.n").alias("n_lines"), F.expr("c.l.n - c.l.d").alias("n_dup_lines"), F.col("c.w.r").alias("n_repeat_words"))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    return counted.withColumn("base_failed", failed).withColumns({f"m_{n}": F.expr(f"CASE WHEN NOT base_failed THEN {sql} END") for n, sql, _, _ in MEASURES})
+    return counted.withColumn("base_failed", failed).withColumns({f"m_{n}": F.expr(f"CASE WHEN NOT base_failed THEN {sql} END") for n, sql, *_ in MEASURES})
 
 
 def sketches(made: DataFrame) -> DataFrame:
@@ -91,14 +91,15 @@ def fences(sketch: DataFrame, group_documents: int = GROUP_DOCUMENTS) -> DataFra
         group = Window.partitionBy(*keys, "measure")
         upto = group.orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
         level = level.withColumns({"upto": F.sum("n").over(upto), "total": F.sum("n").over(group)})
-        quartile = lambda q, edge: F.min(F.when(F.expr(f"4 * upto >= {q} * total"), F.expr(edge)))  # noqa: E731, B023
-        of = level.groupBy(*keys, "measure").agg(F.first("total").alias("total"), quartile(1, BIN_LOW).alias("q1"), quartile(3, BIN_HIGH).alias("q3"))
+        lower, upper = (F.element_at(F.array(*(F.lit(m[k]) for m in MEASURES)), F.col("measure") + 1) for k in (2, 3))
+        least = lambda percent, edge: F.min(F.when(100 * F.col("upto") >= percent * F.col("total"), F.expr(edge)))
+        of = level.groupBy(*keys, "measure").agg(F.first("total").alias("total"), least(lower, BIN_LOW).alias("lower"), least(upper, BIN_HIGH).alias("upper"))
         wide = []
-        for i, (name, _, above, below) in enumerate(MEASURES):
+        for i, (name, _, _, _, reach, count) in enumerate(MEASURES):
             pick = lambda sql: F.max(F.when(F.col("measure") == i, F.expr(sql)))  # noqa: E731, B023
-            wide.append(pick(f"q3 + {REACH} * (q3 - q1) + {above}").alias(f"high_{name}"))
-            if below is not None:
-                wide.append(pick(f"q1 - {REACH} * (q3 - q1) - {below}").alias(f"low_{name}"))
+            wide.append(pick(f"upper + {reach} * (upper - lower)").alias(f"high_{name}"))
+            if count is None:
+                wide.append(pick(f"lower - {reach} * (upper - lower)").alias(f"low_{name}"))
         found.append(of.groupBy(*keys).agg(F.max("total").alias("total"), *wide))
     names = [c for c in found[0].columns if c.startswith(("high_", "low_"))]
     source, language, whole = found
@@ -137,12 +138,12 @@ def kept_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
 def judged(made: DataFrame, fence: DataFrame, id_col: str, broadcast: bool = False) -> DataFrame:
     """The features with kept. The join with the fences is salted unless they are broadcast."""
-    fence = fence.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *(F.col(f"{p}_{m[0]}") for m in MEASURES for p in ("low", "high") if p == "high" or m[3] is not None))
+    names = [c for c in fence.columns if c.startswith(("high_", "low_"))]
+    fence = fence.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *names)
     inside = F.lit(True)
-    for name, _, _, below in MEASURES:
-        inside &= F.col(f"m_{name}") <= F.col(f"high_{name}")
-        if below is not None:
-            inside &= F.col(f"m_{name}") >= F.col(f"low_{name}")
+    for name, _, _, _, _, count in MEASURES:
+        below = F.col(f"m_{name}") <= F.col(f"high_{name}")
+        inside &= below & (F.col(f"m_{name}") >= F.col(f"low_{name}")) if count is None else below | (F.col(count) == 0)
     on = F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source"))
     if broadcast:
         joined = made.join(F.broadcast(fence), on, "left")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .quality import GROUP_DOCUMENTS, MEASURES, REACH
+from .quality import GROUP_DOCUMENTS, MEASURES
 
 #: The bins of quality.BIN in DuckDB's words.
 _BIN = "CASE WHEN v < 64 THEN v ELSE length(bin(v)) * 64 + (v >> (length(bin(v)) - 6)) END"
@@ -12,18 +12,20 @@ _HIGH = "CASE WHEN b < 64 THEN b ELSE ((b % 64 + 1) << CAST(b // 64 - 6 AS INT))
 
 def _quality(source: str = "documents") -> str:
     """CTEs ending in judged: all columns of source, the counts, base_failed, kept."""
-    measures = ", ".join(f"{sql.replace(' div ', ' // ')} AS m_{name}" for name, sql, _, _ in MEASURES)
+    measures = ", ".join(f"{sql.replace(' div ', ' // ')} AS m_{name}" for name, sql, *_ in MEASURES)
     values = " UNION ALL ".join(f"SELECT lang, source, {i} AS measure, m_{m[0]} AS v FROM f WHERE NOT base_failed" for i, m in enumerate(MEASURES))
+    least = lambda k, edge: f"min(CASE WHEN 100 * upto >= (CASE measure {' '.join(f'WHEN {i} THEN {m[k]}' for i, m in enumerate(MEASURES))} END) * total THEN {edge} END)"
     level = lambda keys, name: f"""{name}_c AS (SELECT {keys}measure, b, sum(n) AS n FROM sketch GROUP BY {keys}measure, b),
 {name}_u AS (SELECT *, sum(n) OVER (PARTITION BY {keys}measure ORDER BY b) AS upto, sum(n) OVER (PARTITION BY {keys}measure) AS total FROM {name}_c),
-{name}_q AS (SELECT {keys}measure, max(total) AS total, min(CASE WHEN 4 * upto >= total THEN {_LOW} END) AS q1, min(CASE WHEN 4 * upto >= 3 * total THEN {_HIGH} END) AS q3 FROM {name}_u GROUP BY {keys}measure)"""
+{name}_q AS (SELECT {keys}measure, max(total) AS total, {least(2, _LOW)} AS q1, {least(3, _HIGH)} AS q3 FROM {name}_u GROUP BY {keys}measure)"""
     fence = f"""fence AS (SELECT p.lang, p.source, p.measure,
   CASE WHEN p.total >= {GROUP_DOCUMENTS} THEN p.q1 WHEN l.total >= {GROUP_DOCUMENTS} THEN l.q1 ELSE a.q1 END AS q1,
   CASE WHEN p.total >= {GROUP_DOCUMENTS} THEN p.q3 WHEN l.total >= {GROUP_DOCUMENTS} THEN l.q3 ELSE a.q3 END AS q3
   FROM source_q p JOIN lang_q l ON p.measure = l.measure AND p.lang IS NOT DISTINCT FROM l.lang JOIN all_q a ON p.measure = a.measure)"""
     inside = []
-    for i, (name, _, above, below) in enumerate(MEASURES):
-        test = f"f.m_{name} <= q3 + {REACH} * (q3 - q1) + {above}" + (f" AND f.m_{name} >= q1 - {REACH} * (q3 - q1) - {below}" if below is not None else "")
+    for i, (name, _, _, _, reach, count) in enumerate(MEASURES):
+        test = f"f.m_{name} <= q3 + {reach} * (q3 - q1)"
+        test = f"({test} AND f.m_{name} >= q1 - {reach} * (q3 - q1))" if count is None else f"({test} OR f.{count} = 0)"
         inside.append(f"EXISTS (SELECT 1 FROM fence x WHERE x.measure = {i} AND x.lang IS NOT DISTINCT FROM f.lang AND x.source IS NOT DISTINCT FROM f.source AND {test})")
     return rf"""texts AS (SELECT *, row_number() OVER () AS r_, coalesce(text, '') AS t_ FROM {source}),
 split AS (SELECT r_, list_filter(regexp_split_to_array(t_, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,

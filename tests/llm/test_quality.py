@@ -56,7 +56,7 @@ def test_junk_goes_and_prose_stays_as_in_sql(spark):
     kept = {r.doc_id: r.kept for r in made.collect()}
     assert all(kept[i] for i in range(900)) and not any(kept[1000 + i] for i in range(20))
     documents = df.toPandas()  # noqa: F841
-    want = duckdb.sql(sql.OP1.replace("documents", "documents")).fetchall()
+    want = duckdb.sql(sql.OP1).fetchall()
     assert sorted(map(tuple, made.collect())) == sorted(want)
 
 
@@ -67,3 +67,35 @@ def test_sketches_merge(spark):
     halves = quality.sketches(quality.features(df.filter("doc_id % 2 = 0"))).unionByName(quality.sketches(quality.features(df.filter("doc_id % 2 = 1"))))
     merged = halves.groupBy("lang", "source", "measure", "b").agg({"n": "sum"})
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, merged.collect()))
+
+
+def test_fences_follow_the_source(spark):
+    """The same texts stay where such symbols are usual and go where they are not."""
+    words = lambda i: [f"word{(i * 31 + k * k * 7) % 997}" for k in range(60 + i % 40)]
+    rows = []
+    for i in range(600):
+        plain, marked = words(i), words(i)
+        marked[:: 9 + i % 5] = [w + "#" for w in marked[:: 9 + i % 5]]
+        rows += [(i, " ".join(plain), "en", "plain"), (1000 + i, " ".join(marked), "en", "marked")]
+    rows += [(5000 + i, " ".join(w + "#" * (k % 10 == 0) for k, w in enumerate(words(i))), "en", source) for i, source in enumerate(["plain", "marked"] * 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    made = quality.features(df)
+    fence = {r.source: r for r in quality.fences(quality.sketches(made)).collect()}
+    assert fence["marked"].high_symbols > 5 * fence["plain"].high_symbols
+    kept = {r.doc_id: r.kept for r in quality.quality_rules(df).collect()}
+    assert all(kept[i] for i in kept if i < 5000)
+    assert [kept[5000 + i] for i in range(10)] == [False, True] * 5
+
+
+def test_no_constant_decides(spark):
+    """Twice the symbols in every document of a group: the same documents are outside."""
+    rows = []
+    for times in (1, 4):
+        for i in range(400):
+            words = [f"w{(i * 31 + k * k * 7) % 997}" for k in range(400)]
+            marks = (3 + i % 7 if i % 40 else 60) * times
+            words[:marks] = [w + "#" for w in words[:marks]]
+            rows.append((1000 * times + i, " ".join(words), "en", f"s{times}"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    out = {r.doc_id for r in quality.quality_rules(df).collect() if not r.kept}
+    assert {i - 1000 for i in out if i < 2000} == {i - 4000 for i in out if i >= 4000} == set(range(0, 400, 40))

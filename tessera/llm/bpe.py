@@ -8,8 +8,10 @@ with a label lead to one state, so that target[label] and, for each state, the s
 The sets are kept persistent (parent state, removed label, time of birth), 12 bytes a state: a label older than the state
 is inherited from the parent, a younger one uv is there if u is.
 
-A pre-token is encoded by running over its bytes. Each prefix has one path at most, so that a position is left for good
-once no arc leads on from it, and the work is linear in the length of the pre-token.
+A pre-token is encoded by two tables: bytes lead from node to node of the trie of all labels, which names the arcs that can
+be read from a place, and (state, label) leads to the next state or nowhere. Each prefix has one path at most, so that a place
+is left for good once no arc leads on from it, and the work is linear in the length of the pre-token. The label of a merge that
+can't occur in any path isn't built in and is in neither table.
 """
 
 from __future__ import annotations
@@ -27,8 +29,8 @@ from .common import map_text
 #: Fixed value: the public pre-tokenizer pattern of this vocabulary. White space is the Unicode property White_Space.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 
-#: Entries that a worker keeps of pre-tokens and of table lookups before it starts anew.
-CACHE = 600_000
+#: Entries that a worker keeps of pre-tokens (of KEPT characters at most) and of table lookups before it starts anew.
+CACHE, KEPT = 600_000, 64
 
 
 def byte_letters() -> dict[str, int]:
@@ -58,16 +60,27 @@ class Automaton:
         self.special = special
         self.split_special = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(special, key=len, reverse=True)) + ")") if special else None
         self.pattern = regex.compile(PRE_TOKEN)
-        self.longest = max(map(len, self.ids))
         self.target = [0] * size
         self.left = [-1] * size
         self.made = [0] * size
         self.parent, self.removed, self.born = [0], [-1], [0]
+        missing: set[int] = set()
         for time, merge in enumerate(model["merges"], 1):
             a, b = merge.split(" ") if isinstance(merge, str) else merge
             u, v, uv = self.ids[as_bytes[a]], self.ids[as_bytes[b]], self.ids[as_bytes[a] + as_bytes[b]]
-            if self.allows(self.target[u], v):
+            if {u, v}.isdisjoint(missing) and self.allows(self.target[u], v):
                 self._build_in(u, v, uv, time)
+            else:
+                missing.add(uv)
+        for i in missing:
+            del self.ids[self.labels[i]]
+        self.next: dict[int, int] = {}
+        self.label_at: dict[int, int] = {}
+        for word, i in self.ids.items():
+            node = 0
+            for byte in word:
+                node = self.next.setdefault(node << 8 | byte, len(self.next) + 1)
+            self.label_at[node] = i
         self.known: dict[str, bytes] = {}
         self.looked: dict[int, bool] = {}
 
@@ -91,11 +104,10 @@ class Automaton:
         return True
 
     def run(self, word: bytes) -> list[int]:
-        """The path of one pre-token: the longest allowed arc first; a prefix that can't be carried on is never tried again."""
-        ids = self.ids
-        if (whole := ids.get(word)) is not None:
+        """The path of one pre-token: the longest allowed arc first; a prefix that can't be carried on is never tried again. A label is the path of its own string, since no string has two."""
+        if (whole := self.ids.get(word)) is not None:
             return [whole]
-        target, looked, size, longest = self.target, self.looked, len(word), self.longest
+        target, looked, follow, label_at, size = self.target, self.looked, self.next.get, self.label_at, len(word)
         if len(looked) > CACHE:
             looked.clear()
         path: list[int] = []
@@ -103,8 +115,13 @@ class Automaton:
         dead: set[int] = set()
         at = state = 0
         while at < size:
-            for end in range(min(size, at + longest), at, -1):
-                if (label := ids.get(word[at:end])) is None or end in dead:
+            arcs, node, end = [], 0, at
+            while end < size and (node := follow(node << 8 | word[end])) is not None:
+                end += 1
+                if node in label_at:
+                    arcs.append((end, label_at[node]))
+            for end, label in reversed(arcs):
+                if end in dead:
                     continue
                 if at:
                     key = state << 20 | label
@@ -124,10 +141,12 @@ class Automaton:
         return path
 
     def _piece(self, word: str) -> bytes:
-        if len(self.known) >= CACHE:
-            self.known.clear()
         packed = self.packed
-        made = self.known[word] = b"".join([packed[i] for i in self.run(word.encode())])
+        made = b"".join([packed[i] for i in self.run(word.encode())])
+        if len(word) <= KEPT:
+            if len(self.known) >= CACHE:
+                self.known.clear()
+            self.known[word] = made
         return made
 
     def encode(self, text: str, special: bool = True) -> bytes:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,9 +24,11 @@ SEED = 20
 def encoder(content: bytes):
     """A function from texts to ids (little-endian unsigned 32-bit), by the tiktoken library with the vocabulary of a file of the tokenizers library.
 
-    In such a file ids are ranks: bytes first, then the result of each merge in turn, else it raises.
+    In such a file ids are ranks: bytes first, then the result of each merge in turn, else it raises. Where tiktoken's
+    regular expressions give up (runs of about a million white-space characters), the tokenizers library encodes the text.
     """
     import tiktoken
+    from tokenizers import Tokenizer
 
     spec, letters = json.loads(content), byte_letters()
     special = {x["content"]: x["id"] for x in spec["added_tokens"]}
@@ -34,7 +37,17 @@ def encoder(content: bytes):
     if [ranks[bytes(letters[c] for c in a + b)] for a, b in parts] != list(range(256, 256 + len(parts))):
         raise ValueError("the ids of this vocabulary aren't the ranks of its merges")
     made = tiktoken.Encoding("file", pat_str=PRE_TOKEN.replace(r"^\p{White_Space}", r"^\s").replace(r"\P{White_Space}", r"\S").replace(r"\p{White_Space}", r"\s"), mergeable_ranks=ranks, special_tokens=special)
-    return lambda text: made.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False).tobytes()
+    library = Tokenizer.from_buffer(content)
+    library.no_truncation()
+    library.no_padding()
+
+    def encode(text: str) -> bytes:
+        try:
+            return made.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False).tobytes()
+        except ValueError:
+            return np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    return encode
 
 
 class CapacityTree:
@@ -100,13 +113,15 @@ def tokenize_pieces(df: DataFrame, path: str, id_col: str = "doc_id", text_col:
 def pack(pieces: DataFrame, documents: int, id_col: str = "doc_id", capacity: int = SEQUENCE_TOKENS, group_documents: int = GROUP_DOCUMENTS, seed: int = SEED) -> DataFrame:
     """Gives each piece (id_col, start, length, more) its sequence_id and its offset there, gapless from 0.
 
-    documents: how many there are, for the number of groups. A document belongs to the group that a seeded hash of its id
-    names, and each group is packed for itself; a group holds group_documents documents on average, whatever the size of
-    the corpus. Pieces are placed by length descending, then id and start, so that a rerun gives the same sequences; rows
-    that agree in all of it may swap places. sequence_id is the group's number times 2^32 plus the bin's number.
-    An empty table gives an empty one. The pieces must not be longer than capacity.
+    documents: how many there are, for the number of groups. A piece belongs to the group that a seeded hash of its whole
+    row names, so that neither null or repeated ids nor one very long document fill a group, and each group is packed for
+    itself; a group holds the pieces of group_documents documents on average, whatever the size of the corpus. Pieces are
+    placed by length descending, then by their other columns, so that a rerun gives the same sequences; rows that agree in
+    all of it may swap places. sequence_id is the group's number times 2^32 plus the bin's number. Columns of those names,
+    or named _group, are replaced. An empty table gives an empty one. The pieces must not be longer than capacity.
     """
     groups = max(1, -(-documents // group_documents))
+    pieces = pieces.drop("sequence_id", "offset", "_group")
     names = pieces.columns
 
     def f(group: pd.DataFrame) -> pd.DataFrame:
@@ -118,5 +133,5 @@ def pack(pieces: DataFrame, documents: int, id_col: str = "doc_id", capacity: in
         group["offset"] = offsets
         return group.drop(columns="_group")
 
-    grouped = pieces.withColumn("_group", F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(groups)))
+    grouped = pieces.withColumn("_group", F.pmod(F.xxhash64(*names, F.lit(seed)), F.lit(groups)))
     return grouped.groupBy("_group").applyInPandas(f, ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in pieces.schema) + ", sequence_id long, offset long")

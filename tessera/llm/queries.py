@@ -52,7 +52,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = media.audio_columns(table(spark, sf_dir, "documents"))
-    payload = F.substring("media", media.HEADER.size + 1, 1 << 30)
+    payload = F.expr(f"substring(media, {media.HEADER.size + 1})")
     return made.withColumn("payload", payload).select(
         "doc_id",
         "n_bytes",

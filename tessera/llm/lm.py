@@ -51,7 +51,7 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def ending_of(word: bytes) -> int:
-    return zlib.crc32(word.decode()[-2:].encode()) % ENDINGS
+    return zlib.crc32(word[-2:] if word.isascii() else word.decode()[-2:].encode()) % ENDINGS
 
 
 def word_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -331,38 +331,47 @@ class Network:
         return out
 
 
+class Numbers(dict):
+    """-1 for what isn't held."""
+
+    def __missing__(self, key: bytes) -> int:
+        return -1
+
+
 def tokenized(df: DataFrame, v: Vocabulary, id_col: str, text_col: str, learns: Column) -> DataFrame:
     """Each document as ids (binary, little-endian unsigned 16-bit) with the sums over the words held, and the words not held with their frequencies."""
     shared = df.sparkSession.sparkContext.broadcast(v)
-    tail = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())]))
 
     def run(batches):
         v = shared.value
-        number = {w: i for i, w in enumerate(v.learned)}
-        end = number[END]
         extra = list(v.known)
-        number |= {w: len(v.learned) + i for i, w in enumerate(extra)}
+        number = Numbers({w: i for i, w in enumerate([*v.learned, *extra])})
+        end = number[END]
         id_of = np.concatenate([np.arange(len(v.learned)), len(v.learned) + np.array([ending_of(w) for w in extra], int)]).astype("<u2")
         log_c = np.log10(np.concatenate([v.counts, np.fromiter(v.known.values(), float, len(extra))]) + 1)
         seen = np.concatenate([v.counts > 0, np.ones(len(extra), bool)])
         log_mass = np.log10(v.mass)
         for batch in slices(batches, text_col):
-            rows = []
+            rows, tail_words, tail_n, tail_ends = [], [], [], [0]
             for text in batch[text_col].to_pylist():
                 words = words_of(text)
-                at = np.array([number.get(w, -1) for w in words] + [end], np.int64)
+                at = np.array([*map(number.__getitem__, words), end], np.int64)
                 held = at >= 0
-                ids = np.zeros(len(at), "<u2")
-                ids[held] = id_of[at[held]]
-                left = np.flatnonzero(~held)
+                ids = id_of[at]
+                left = np.flatnonzero(~held).tolist()
                 ids[left] = [len(v.learned) + ending_of(words[i]) for i in left]
                 other = ids[ids >= len(v.learned)].astype(int) - len(v.learned)
                 base = log_c[at[held]]
-                found = Counter(words[i].decode() for i in left)
-                rows.append((ids.tobytes(), len(at), int(seen[at[held]].sum()), float(base.sum()), float(base[at[held] >= len(v.learned)].sum() - log_mass[other].sum()), [{"word": w, "n": n} for w, n in found.items()]))
+                found = Counter([words[i] for i in left])
+                tail_words += found.keys()
+                tail_n += found.values()
+                tail_ends.append(len(tail_n))
+                rows.append((ids.tobytes(), len(at), int(seen[at[held]].sum()), float(base.sum()), float(base[at[held] >= len(v.learned)].sum() - log_mass[other].sum())))
             columns = list(zip(*rows))
-            kinds = [pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), tail]
-            yield pa.RecordBatch.from_arrays([batch[id_col], batch["learns"], *(pa.array(c, k) for c, k in zip(columns, kinds))], names=[id_col, "learns", "ids", "n_tokens", "n_held", "base", "fixed", "tail"])
+            kinds = [pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+            tail = pa.StructArray.from_arrays([pa.array(tail_words, pa.binary()).cast(pa.string()), pa.array(tail_n, pa.int64())], names=["word", "n"])
+            tail = pa.ListArray.from_arrays(pa.array(tail_ends, pa.int32()), tail)
+            yield pa.RecordBatch.from_arrays([batch[id_col], batch["learns"], *(pa.array(c, k) for c, k in zip(columns, kinds)), tail], names=[id_col, "learns", "ids", "n_tokens", "n_held", "base", "fixed", "tail"])
 
     schema = f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, learns boolean, ids binary, n_tokens long, n_held long, base double, fixed double, tail array<struct<word string, n long>>"
     return df.select(id_col, learns.alias("learns"), text_col).mapInArrow(run, schema)
@@ -440,7 +449,7 @@ def score(df: DataFrame, learns: Column, id_col: str = "doc_id", text_col: str =
     come by a join on the word, pre-aggregated by document; no such word is frequent.
     """
     spark = df.sparkSession
-    df = df.withColumn("_learns", F.coalesce(learns, F.lit(False)))
+    df = df.select(id_col, text_col, F.coalesce(learns, F.lit(False)).alias("_learns"))
     training = df.filter("_learns")
     counts = cut(word_counts(training, text_col))
     v = vocabulary(counts, training.count(), known, learned)

@@ -4,6 +4,7 @@ import json
 import random
 import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -18,7 +19,7 @@ from tessera.llm import bpe, chat, packing, token_counts
 
 BPE, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 LIBRARY, MODEL = Tokenizer.from_file(BPE), sentencepiece.SentencePieceProcessor(model_file=PIECES)
-AUTOMATON, COUNTS = bpe.Automaton(bpe.vocabulary(BPE)), token_counts.Counts(bpe.vocabulary(PIECES))
+AUTOMATON, COUNTS = bpe.Automaton(bpe.vocabulary(BPE)), token_counts.Pieces(bpe.vocabulary(PIECES))
 LETTERS = st.text(alphabet=st.one_of(st.sampled_from("ab thein' \n\t▁<|>é中1"), st.characters(exclude_categories=["Cs"])), max_size=60)
 
 
@@ -40,10 +41,22 @@ def test_every_code_point():
     assert all(np.frombuffer(AUTOMATON.encode(t), "<u4").tolist() == x.ids for t, x in zip(tests, LIBRARY.encode_batch(tests, add_special_tokens=False)))
 
 
+def counted(text):
+    return sum(sum(COUNTS.count(keys)) + lines for keys, lines in token_counts.pre_tokens(text))
+
+
+@settings(max_examples=100, deadline=None)
+@given(LETTERS, st.integers(1, 9))
+def test_parts_of_long_texts(text, size):
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(token_counts, "CHUNK", size)
+        assert "".join(token_counts.chunks(text)) == text and counted(text) == len(MODEL.encode(text))
+
+
 @settings(max_examples=300, deadline=None)
 @given(LETTERS)
 def test_counts_are_the_library(text):
-    assert COUNTS.count([text]) == [len(MODEL.encode(text))]
+    assert counted(text) == len(MODEL.encode(text))
 
 
 LONG = [" " * 3_000_000, "\n" * 1_200_000, "ab" * 1_000_000, "a b\n" * 300_000 + "<|endoftext|>" + "é中" * 200_000]
@@ -56,7 +69,7 @@ def test_very_long_texts(text):
     started = time.process_time()
     assert AUTOMATON.encode(text) == want
     assert time.process_time() - started < 30
-    assert COUNTS.count([text]) == [len(MODEL.encode(text))]
+    assert counted(text) == len(MODEL.encode(text))
 
 
 def test_every_label_is_its_own_path():
@@ -73,10 +86,8 @@ def test_merges_that_cannot_occur_are_not_built_in():
 
 
 def test_small_caches(monkeypatch):
-    monkeypatch.setattr(token_counts, "CACHE", 3)
     monkeypatch.setattr(bpe, "CACHE", 3)
     text = "some words to be counted again and again, some words"
-    assert COUNTS.count([text, text]) == 2 * [len(MODEL.encode(text))]
     assert np.frombuffer(AUTOMATON.encode(text), "<u4").tolist() == ids(text)
 
 
@@ -87,11 +98,18 @@ def test_encode_decode(documents, none):
     assert bpe.encode_decode(none, BPE).count() == 0
 
 
-def test_token_counts(documents, none):
-    rows = token_counts.token_counts(documents, PIECES).collect()
+@pytest.mark.parametrize("known", [token_counts.KNOWN, 3, 0])
+def test_token_counts(documents, none, known):
+    rows = token_counts.token_counts(documents, PIECES, known=known).collect()
     want = sorted((r.doc_id, len((r.text or "").encode()), len(MODEL.encode(r.text or ""))) for r in documents.collect())
     assert sorted(map(tuple, rows)) == want
-    assert token_counts.token_counts(none, PIECES).count() == 0
+    assert token_counts.token_counts(none, PIECES, known=known).count() == 0
+
+
+def test_each_pre_token_is_counted_once(documents):
+    made = token_counts.counted(token_counts.distinct_pre_tokens(documents), PIECES).collect()
+    found = Counter(token_counts.name_of(k) for r in documents.collect() for keys, _ in token_counts.pre_tokens(r.text) for k in keys)
+    assert {r.name: r.c for r in made} == found and len(made) == len(found) and max(len(r.name.encode()) for r in made) <= token_counts.NAME + 2
 
 
 def first_fit(sizes, capacity):

@@ -19,6 +19,9 @@ from tessera import plans
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
+#: A key is hot in a join if more than one in so many rows has it.
+HOT = 10_000
+
 #: Bytes of text that an Arrow operator handles at a time; longer single texts are handled alone.
 SLICE_BYTES = 8 << 20
 
@@ -75,6 +78,17 @@ def without(df: DataFrame, ids: DataFrame, column: str, broadcast: int = 1_000_0
     return df.join(F.broadcast(ids) if ids.count() <= broadcast else ids, column, "left_anti")
 
 
+def join_hot(left: DataFrame, right: DataFrame, key: str, total: int, share: int = HOT) -> DataFrame:
+    """The inner join of left with right, whose keys are unique and whose column rows says how many rows of left have the key, of total in all.
+
+    Keys with more than one of share rows are joined by a broadcast: there are less than share of them. The others are joined
+    by a shuffle, in which none is hot. The column rows goes.
+    """
+    hot = F.broadcast(right.filter(F.col("rows") * share > total).drop("rows"))
+    rest = right.filter(F.col("rows") * share <= total).drop("rows")
+    return left.join(hot, key).unionByName(left.join(hot.select(key), key, "left_anti").join(rest, key))
+
+
 def tidy() -> None:
     """Gives memory that a task has freed back to the system: workers stay for the next tasks and stages, beside the JVM's heap."""
     gc.collect()

@@ -11,9 +11,10 @@ Documents with one set of shingles form a class, and classes are joined by their
    many bits as shingles or more; folding the longer one in half makes parities of two sizes comparable. A region is searched from one pivot after another; only points in the window that the
    triangle inequality leaves around the pivot's distance to an origin are compared. A large region is first cut by
    windows around such an origin, with the points at the borders in both windows, again and again while that helps, and
-   then into blocks that are compared pair by pair. What comes out is a forest of possible links for each region.
-3. The components of these forests hold all links between their members and few others. Each is joined exactly, set by set;
-   large ones in blocks. The components of the exact links are the result.
+   then into blocks: each is compared with one representative, and what that has no link to is compared block by block. What
+   comes out is a forest of possible links for each region.
+3. The components of these forests hold all links between their members and few others. Each is joined exactly, set by set,
+   large ones by a representative and in blocks, too. The components of the exact links are the result.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tessera.plans.reduce import sum_vectors
 
-from .common import cut, map_text, slices, tidy
+from .common import cut, join_hot, map_text, slices, tidy
 from .components import components
 from .shingles import shingled
 
@@ -179,19 +180,33 @@ def possible_links(sizes: np.ndarray, parities: list[bytes], t: tuple[int, int],
     return links
 
 
+def near_first(sizes: np.ndarray, parities: list[bytes], t: tuple[int, int]) -> np.ndarray:
+    """Which points may be linked to the first one, as in possible_links."""
+    p, q = t
+    words, own = np.array([len(x) // 8 for x in parities]), np.frombuffer(parities[0], np.uint64)[None]
+    apart = np.empty(len(sizes), np.int64)
+    for w in np.unique(words):
+        at, common = np.flatnonzero(words == w), min(int(w), own.shape[1])
+        of = np.frombuffer(b"".join(parities[i] for i in at), np.uint64).reshape(-1, w)
+        apart[at] = np.bitwise_count(folded(of, common) ^ folded(own, common)).sum(1, dtype=np.int64)
+    return (q * np.minimum(sizes, sizes[0]) >= p * np.maximum(sizes, sizes[0])) & ((q + p) * apart <= (q - p) * (sizes + sizes[0]))
+
+
+def linked(a: np.ndarray, b: np.ndarray, t: tuple[int, int]) -> bool:
+    """Whether two sets are linked: t[1] * intersection >= t[0] * union."""
+    if t[1] * min(len(a), len(b)) < t[0] * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return t[1] * both >= t[0] * (len(a) + len(b) - both)
+
+
 def exact_links(sets: list[np.ndarray], t: tuple[int, int], left: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """A forest over the sets that are linked (t[1] * intersection >= t[0] * union). left as above.
+    """A forest over the sets that are linked. left as above.
 
-    Exact counts within the group order the shingles, rarest first; two linked sets share one of the first
-    n - ceil(t n) + 1 of either. Pairs that are connected already aren't compared.
+    First all are compared with one of them, the representative; those linked to it are one component already. Only the others
+    are compared with everything: exact counts within the group order the shingles, rarest first, and two linked sets share one
+    of the first n - ceil(t n) + 1 of either, so that an index of the others by these finds all their partners.
     """
-    p, q = t
-    every = np.concatenate(sets)
-    ids, place, often = np.unique(every, return_inverse=True, return_counts=True)
-    rank = np.empty(len(ids), np.int64)
-    rank[np.lexsort((ids, often))] = np.arange(len(ids))
-    bounds = np.concatenate(([0], np.cumsum([len(s) for s in sets])))
-    ranked = [np.sort(rank[place[a:b]]) for a, b in zip(bounds, bounds[1:])]
     parent = list(range(len(sets)))
 
     def find(x):
@@ -199,25 +214,33 @@ def exact_links(sets: list[np.ndarray], t: tuple[int, int], left: np.ndarray | N
             parent[x] = x = parent[parent[x]]
         return x
 
+    links: list[tuple[int, int]] = []
+    others = list(range(len(sets))) if left is None else np.flatnonzero(left).tolist()
+    if left is None and len(sets) > 2:
+        one = sorted(others, key=lambda i: len(sets[i]))[len(sets) // 2]
+        links = [(one, x) for x in others if x != one and linked(sets[one], sets[x], t)]
+        for _, x in links:
+            parent[x] = one
+        others = [x for x in others if parent[x] != one]
+    if not others:
+        return links
+    every = np.concatenate(sets)
+    ids, place, often = np.unique(every, return_inverse=True, return_counts=True)
+    rank = np.empty(len(ids), np.int64)
+    rank[np.lexsort((ids, often))] = np.arange(len(ids))
+    bounds = np.concatenate(([0], np.cumsum([len(s) for s in sets])))
+    first = [np.sort(rank[place[a:b]])[: b - a - least_shared(b - a, t) + 1].tolist() for a, b in zip(bounds, bounds[1:])]
     holders: dict[int, list[int]] = {}
-    links = []
-    for y in sorted(range(len(sets)), key=lambda i: len(sets[i])):
-        own = ranked[y]
-        n, first = len(own), own[: len(own) - least_shared(len(own), t) + 1].tolist()
-        tried: set[int] = set()
-        for s in first:
-            for x in holders.get(s, ()):
-                if x in tried or (left is not None and left[x] == left[y]):
-                    continue
-                tried.add(x)
-                if q * len(sets[x]) < p * n or find(x) == find(y):
-                    continue
-                both = len(sets[x]) + n - len(np.union1d(sets[x], sets[y]))
-                if q * both >= p * (len(sets[x]) + n - both):
-                    parent[find(x)] = find(y)
-                    links.append((x, y))
-        for s in first:
-            holders.setdefault(s, []).append(y)
+    for x in others:
+        for s in first[x]:
+            holders.setdefault(s, []).append(x)
+    for y in range(len(sets)):
+        if left is not None and left[y]:
+            continue
+        for x in sorted({x for s in first[y] for x in holders.get(s, ())}):
+            if find(x) != find(y) and linked(sets[x], sets[y], t):
+                parent[find(x)] = find(y)
+                links.append((x, y))
     return links
 
 
@@ -249,7 +272,7 @@ def _edge_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def _per_group(df: DataFrame, keys: list[str], pairs_of) -> DataFrame:
-    """Edges from pairs_of(table) for each group of df, streamed; df is dealt out by keys. Column left, if there, tells the blocks apart."""
+    """Edges from pairs_of(table, left) for each group of df, streamed; df is dealt out by keys. Column left, if there, tells the blocks apart."""
 
     def run(batches):
         made: list[tuple[int, int]] = []
@@ -276,6 +299,42 @@ def _blocks(df: DataFrame, key: str, blocks: str) -> DataFrame:
     return df.withColumns({"i": F.least("_own", "_other"), "j": F.greatest("_own", "_other"), "left": F.col("_own") <= F.col("_other")}).drop("_own", "_other")
 
 
+def _compared(df: DataFrame, key: str, blocks: str, columns: list[str], near, pairs_of) -> DataFrame:
+    """Edges that connect whatever is linked among the members of each group, for groups of several blocks (columns key, cid, columns, and blocks, their number).
+
+    Every member is compared with its group's representative, which each block gets. Near copies of one text are one component
+    then, at a cost in proportion to their number. The members that the representative has no link to are compared with each other
+    and with all the rest, in pairs of blocks. near(group) tells which rows of a table are linked to its first row.
+    """
+    df = df.select(key, "cid", blocks, *columns)
+    one = df.groupBy(key).agg(F.min(F.struct(F.xxhash64("cid").alias("h"), "cid", blocks, *columns)).alias("one")).select(key, "one.*")
+    places = F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+    block = F.pmod(F.xxhash64("cid"), F.col(blocks)).cast("int")
+    dealt = df.withColumns({"i": block, "member": F.lit(1)}).unionByName(one.drop("h").withColumns({"i": places, "member": F.lit(0)}))
+
+    def run(batches):
+        for group in _groups(batches, [key, "i"]):
+            cid = group["cid"].to_pylist()
+            yes = near(group)
+            yield pa.RecordBatch.from_arrays([group[key].combine_chunks(), group["cid"].combine_chunks(), pa.array([cid[0] if x else None for x in yes], pa.int64())], names=[key, "a", "b"])
+        tidy()
+
+    kind = df.schema[key].dataType.simpleString()
+    star = cut(dealt.repartition(key, "i").sortWithinPartitions(key, "i", "member").mapInArrow(run, f"{key} {kind}, a long, b long"))
+    edges, others = star.filter("a <> b").select("a", "b"), cut(star.filter("b IS NULL").select(key, F.col("a").alias("cid")))
+    if others.isEmpty():
+        return edges
+    counts = others.groupBy(key).agg(F.count("*").alias("n_others"))
+    sizes = df.groupBy(key).agg(F.count("*").alias("n_all")).join(counts, key)
+    marked = cut(df.join(counts, key).join(others.withColumn("other", F.lit(True)), [key, "cid"], "left").withColumn("other", F.coalesce("other", F.lit(False))).join(sizes.select(key, "n_all"), key))
+    marked = marked.withColumn("other_blocks", F.greatest(F.lit(1), F.ceil(F.col(blocks) * F.col("n_others") / F.col("n_all"))).cast("int"))
+    apart = marked.filter("other")
+    own = F.pmod(F.xxhash64("cid"), F.col("other_blocks")).cast("int")
+    across = apart.withColumns({"i": own, "j": places, "left": F.lit(True)}).unionByName(marked.filter("NOT other").withColumns({"j": block, "left": F.lit(False)}).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("other_blocks") - 1))))
+    edges = edges.unionByName(_per_group(across.select(key, "cid", *columns, "i", "j", "left"), [key, "i", "j"], pairs_of))
+    return edges.unionByName(_per_group(_blocks(apart.select(key, "cid", "other_blocks", *columns), key, "other_blocks"), [key, "i", "j"], pairs_of))
+
+
 def _cut_by_windows(members: DataFrame, t: tuple[int, int], region: int, rounds: int = 3) -> tuple[DataFrame, DataFrame]:
     """Cuts the regions with more than region members by windows of size and of distance to an origin; (small ones, what stays large). Columns key, cid, n, parity, origin."""
     p, q = t
@@ -327,7 +386,8 @@ def candidate_links(classes: DataFrame, t: tuple[int, int], region: int = REGION
         found = found.unionByName(_per_group(small, ["key"], pairs_of))
         if not large.isEmpty():
             counts = large.groupBy("key").agg(F.ceil(F.count("*") * 2 / region).cast("int").alias("blocks"))
-            found = found.unionByName(_per_group(_blocks(large.join(counts, "key"), "key", "blocks"), ["key", "i", "j"], pairs_of))
+            near = lambda group: near_first(group["n"].to_numpy().astype(np.int64), group["parity"].to_pylist(), t)
+            found = found.unionByName(_compared(large.join(counts, "key"), "key", "blocks", ["n", "parity"], near, pairs_of))
     return found.distinct()
 
 
@@ -376,7 +436,14 @@ def join_links(classes: DataFrame, df: DataFrame, id_col: str, text_col: str, n:
     def pairs_of(group: pa.Table, left):
         return exact_links([np.frombuffer(s, np.uint64) for s in group["shingles"].to_pylist()], t, left)
 
-    return _per_group(_blocks(members, "root", "blocks"), ["root", "i", "j"], pairs_of)
+    def near(group: pa.Table) -> list[bool]:
+        sets = [np.frombuffer(s, np.uint64) for s in group["shingles"].to_pylist()]
+        return [linked(sets[0], s, t) for s in sets]
+
+    found = _per_group(members.filter("blocks = 1"), ["root"], pairs_of)
+    if coarse.filter("blocks > 1").isEmpty():
+        return found
+    return found.unionByName(_compared(cut(members.filter("blocks > 1")), "root", "blocks", ["shingles"], near, pairs_of))
 
 
 def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: tuple[int, int] = (80, 100), region: int = REGION, component_bytes: int = COMPONENT_BYTES) -> DataFrame:
@@ -391,16 +458,18 @@ def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     common = sketch(df, text_col, words)
     signed = signatures(df, common, id_col, text_col, words, threshold).withColumnRenamed(id_col, "doc")
-    classes = cut(signed.filter("sig IS NOT NULL").groupBy("sig").agg(F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("parity").alias("parity"), F.first("origin").alias("origin"), F.first("regions").alias("regions")))
+    classes = cut(signed.filter("sig IS NOT NULL").groupBy("sig").agg(F.min("doc").alias("doc"), F.count("*").alias("rows"), F.first("n").alias("n"), F.first("parity").alias("parity"), F.first("origin").alias("origin"), F.first("regions").alias("regions")))
     size_class = F.least(F.floor(F.log(F.col("n").cast("double")) / float(np.log(SIZE_STEP))), F.lit(SIZE_CLASSES - 1)).cast("long")
     classes = classes.withColumn("cid", F.monotonically_increasing_id() * SIZE_CLASSES + size_class)  # of rows that are written, so that it can't change
     found = components(join_links(classes, df, id_col, text_col, words, threshold, region, component_bytes))
     found = found.join(classes.select(F.col("cid").alias("node"), "sig", "doc"), "node")
-    least = found.groupBy("root").agg(F.min("doc").alias("component_id"))
-    linked = found.join(least, "root").select("sig", "component_id")
-    of = classes.select("sig", F.col("doc").alias("_own")).join(linked, "sig", "left").select("sig", F.coalesce("component_id", "_own").alias("component_id"))
+    found = cut(found)
+    least = found.groupBy("root").agg(F.min("doc").alias("component_id"), F.count("*").alias("rows"))
+    joined = join_hot(found, least, "root", found.count()).select("sig", "component_id")
+    of = classes.select("sig", "rows", F.col("doc").alias("_own")).join(joined, "sig", "left").select("sig", "rows", F.coalesce("component_id", "_own").alias("component_id"))
     # the documents' own rows are made again, without what only classes need, which is not worth the disk
     signed = cut(signatures(df, common, id_col, text_col, words, threshold, whole=False).withColumnRenamed(id_col, "doc"))
-    whole = signed.filter("sig IS NOT NULL").select("doc", "n", "sig").join(of, "sig").select("doc", "n", "component_id")
+    named = signed.filter("sig IS NOT NULL").select("doc", "n", "sig")
+    whole = join_hot(named, of, "sig", named.count()).select("doc", "n", "component_id")
     whole = whole.unionByName(signed.filter("sig IS NULL").select("doc", "n", F.col("doc").alias("component_id")))
     return whole.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), "component_id")

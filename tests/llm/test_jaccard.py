@@ -70,6 +70,43 @@ def test_all_pairs(spark, n, t, region, size):
     assert sorted(map(tuple, made.collect())) == brute(rows, n, t)
 
 
+@pytest.mark.parametrize(("region", "size"), [(40, 1 << 20), (jaccard.REGION, 4000), (40, 4000)])
+def test_many_near_copies(spark, region, size):
+    """Two crowds of near copies and texts at their rims: by representatives, in regions and in components."""
+    draw = random.Random(8)
+    rows = []
+    for crowd in range(2):
+        base = [f"c{crowd}w{draw.randrange(400)}" for _ in range(60)]
+        for i in range(220):
+            edited = list(base)
+            for _ in range(draw.choice([0, 1, 2] if i % 9 else [4, 6, 9, 12])):
+                edited[draw.randrange(60)] = f"e{draw.randrange(30)}"
+            rows.append((len(rows), " ".join(edited)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    made = jaccard.jaccard_classes(df, words=2, threshold=(80, 100), region=region, component_bytes=size)
+    assert sorted(map(tuple, made.collect())) == brute(rows, 2, (80, 100))
+
+
+def test_exact_links_connect_what_is_linked():
+    draw = random.Random(4)
+    for t in ((1, 2), (4, 5)):
+        for size in (1, 2, 3, 40):
+            sets = [np.array(sorted(draw.sample(range(14), draw.randint(1, 12))), np.uint64) for _ in range(size)]
+            for left in (None, np.array([draw.random() < 0.5 for _ in sets])):
+                want = {(i, j) for i in range(size) for j in range(i) if (left is None or left[i] != left[j]) and jaccard.linked(sets[i], sets[j], t)}
+                got = {(max(x), min(x)) for x in jaccard.exact_links(sets, t, left)}
+                assert got <= want and len(got) == len({frozenset(x) for x in got})
+                assert groups(size, got) == groups(size, want)
+
+
+def groups(size, edges):
+    of = list(range(size))
+    for a, b in edges:
+        x, y = of[a], of[b]
+        of = [y if z == x else z for z in of]
+    return {tuple(i for i in range(size) if of[i] == k) for k in of}
+
+
 def test_small_table(spark):
     documents = table(spark, "/root/testdata/sf0.001", "documents")
     rows = [(r.doc_id, r.text) for r in documents.collect()]

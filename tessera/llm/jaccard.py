@@ -9,10 +9,10 @@ Documents with one set of shingles form a class, and classes are joined by their
 2. In a region, classes are points in a space of parities: bit i tells whether an odd number of the set's hashes end in i.
    Two parities' Hamming distance is never more than the symmetric difference of the sets, and near it, as there are twice as
    many bits as shingles or more; folding the longer one in half makes parities of two sizes comparable. A region is searched from one pivot after another; only points in the window that the
-   triangle inequality leaves around the pivot's distance to an origin are compared. A large region is first cut by
-   windows around such an origin, with the points at the borders in both windows, again and again while that helps, and
-   then into blocks: each is compared with one representative, and what that has no link to is compared block by block. What
-   comes out is a forest of possible links for each region.
+   triangle inequality leaves around the pivot's distance to an origin are compared. In a large region all are first compared
+   with one representative, so that a crowd of near copies is one component at once, and only what that has no link to with
+   everything. Where much is left, the region is cut by windows around such an origin, with the points at the borders in both
+   windows, again and again while that helps, and then into blocks. What comes out is a forest of possible links for each region.
 3. The components of these forests hold all links between their members and few others. Each is joined exactly, set by set,
    large ones by a representative and in blocks, too. The components of the exact links are the result.
 """
@@ -37,6 +37,8 @@ BITS, MOST_BITS, COUNTERS, COMMON = 256, 1 << 17, 1 << 20, 4
 #: Classes of a region, and bytes of sets of a component, that one task compares; classes of possible links that are broadcast at most.
 REGION, COMPONENT_BYTES, BROADCAST = 8192, 32 << 20, 200_000
 TEXT_BYTES = 1 << 18
+#: Members from which a representative is chosen.
+CENTRAL = 16
 #: A class's number ends in the class of its size, of so many, which grow by this factor.
 SIZE_CLASSES, SIZE_STEP = 256, 1.05
 
@@ -299,40 +301,50 @@ def _blocks(df: DataFrame, key: str, blocks: str) -> DataFrame:
     return df.withColumns({"i": F.least("_own", "_other"), "j": F.greatest("_own", "_other"), "left": F.col("_own") <= F.col("_other")}).drop("_own", "_other")
 
 
-def _compared(df: DataFrame, key: str, blocks: str, columns: list[str], near, pairs_of) -> DataFrame:
-    """Edges that connect whatever is linked among the members of each group, for groups of several blocks (columns key, cid, columns, and blocks, their number).
+def _star(df: DataFrame, key: str, blocks: str, columns: list[str], near) -> tuple[DataFrame, DataFrame]:
+    """Compares every member of each group (columns key, cid, columns, and blocks, their number) with the group's representative, which each block gets: of CENTRAL members by hash the one with links to most of them.
 
-    Every member is compared with its group's representative, which each block gets. Near copies of one text are one component
-    then, at a cost in proportion to their number. The members that the representative has no link to are compared with each other
-    and with all the rest, in pairs of blocks. near(group) tells which rows of a table are linked to its first row.
+    Edges to the representative, and key, cid of the members that it has no link to. Near copies of one text are one component
+    then, at a cost in proportion to their number. near(group) tells which rows of a table are linked to its first row.
     """
     df = df.select(key, "cid", blocks, *columns)
-    one = df.groupBy(key).agg(F.min(F.struct(F.xxhash64("cid").alias("h"), "cid", blocks, *columns)).alias("one")).select(key, "one.*")
-    places = F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+    some = df.groupBy(key, F.pmod(F.xxhash64("cid", F.lit(1)), F.lit(CENTRAL))).agg(F.min(F.struct(F.xxhash64("cid").alias("h"), "cid", blocks, *columns)).alias("one")).select(key, "one.*")
+
+    def central(batches):
+        for group in _groups(batches, [key]):
+            rows = range(len(group))
+            best = max(rows, key=lambda k: int(np.sum(near(group.take([k, *(i for i in rows if i != k)])))))
+            yield from group.slice(best, 1).to_batches()
+
+    one = some.repartition(key).sortWithinPartitions(key, "h").mapInArrow(central, some.schema)
     block = F.pmod(F.xxhash64("cid"), F.col(blocks)).cast("int")
+    places = F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
     dealt = df.withColumns({"i": block, "member": F.lit(1)}).unionByName(one.drop("h").withColumns({"i": places, "member": F.lit(0)}))
 
     def run(batches):
         for group in _groups(batches, [key, "i"]):
             cid = group["cid"].to_pylist()
-            yes = near(group)
-            yield pa.RecordBatch.from_arrays([group[key].combine_chunks(), group["cid"].combine_chunks(), pa.array([cid[0] if x else None for x in yes], pa.int64())], names=[key, "a", "b"])
+            found = pa.array([cid[0] if x else None for x in near(group)], pa.int64())
+            yield pa.RecordBatch.from_arrays([group[key].combine_chunks(), group["cid"].combine_chunks(), found], names=[key, "a", "b"])
         tidy()
 
     kind = df.schema[key].dataType.simpleString()
     star = cut(dealt.repartition(key, "i").sortWithinPartitions(key, "i", "member").mapInArrow(run, f"{key} {kind}, a long, b long"))
-    edges, others = star.filter("a <> b").select("a", "b"), cut(star.filter("b IS NULL").select(key, F.col("a").alias("cid")))
-    if others.isEmpty():
-        return edges
+    return star.filter("a <> b").select("a", "b"), star.filter("b IS NULL").select(key, F.col("a").alias("cid"))
+
+
+def _others(df: DataFrame, others: DataFrame, key: str, blocks: str, columns: list[str], pairs_of) -> DataFrame:
+    """Edges among the others of each group, and between them and the rest, in pairs of blocks: as many rows as others and rest, if the others fit into one block."""
     counts = others.groupBy(key).agg(F.count("*").alias("n_others"))
     sizes = df.groupBy(key).agg(F.count("*").alias("n_all")).join(counts, key)
-    marked = cut(df.join(counts, key).join(others.withColumn("other", F.lit(True)), [key, "cid"], "left").withColumn("other", F.coalesce("other", F.lit(False))).join(sizes.select(key, "n_all"), key))
-    marked = marked.withColumn("other_blocks", F.greatest(F.lit(1), F.ceil(F.col(blocks) * F.col("n_others") / F.col("n_all"))).cast("int"))
-    apart = marked.filter("other")
-    own = F.pmod(F.xxhash64("cid"), F.col("other_blocks")).cast("int")
-    across = apart.withColumns({"i": own, "j": places, "left": F.lit(True)}).unionByName(marked.filter("NOT other").withColumns({"j": block, "left": F.lit(False)}).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("other_blocks") - 1))))
-    edges = edges.unionByName(_per_group(across.select(key, "cid", *columns, "i", "j", "left"), [key, "i", "j"], pairs_of))
-    return edges.unionByName(_per_group(_blocks(apart.select(key, "cid", "other_blocks", *columns), key, "other_blocks"), [key, "i", "j"], pairs_of))
+    marked = df.join(sizes, key).join(others.withColumn("other", F.lit(True)), [key, "cid"], "left").withColumn("other", F.coalesce("other", F.lit(False)))
+    marked = cut(marked.withColumn("other_blocks", F.greatest(F.lit(1), F.ceil(F.col(blocks) * F.col("n_others") / F.col("n_all"))).cast("int")))
+    apart, block = marked.filter("other"), lambda b: F.pmod(F.xxhash64("cid"), F.col(b)).cast("int")
+    every = lambda b: F.explode(F.sequence(F.lit(0), F.col(b) - 1))
+    first = apart.withColumns({"i": block("other_blocks"), "left": F.lit(True)}).withColumn("j", every(blocks))
+    second = marked.filter("NOT other").withColumns({"j": block(blocks), "left": F.lit(False)}).withColumn("i", every("other_blocks"))
+    across = first.unionByName(second).select(key, "cid", *columns, "i", "j", "left")
+    return _per_group(across, [key, "i", "j"], pairs_of).unionByName(_per_group(_blocks(apart.select(key, "cid", "other_blocks", *columns), key, "other_blocks"), [key, "i", "j"], pairs_of))
 
 
 def _cut_by_windows(members: DataFrame, t: tuple[int, int], region: int, rounds: int = 3) -> tuple[DataFrame, DataFrame]:
@@ -379,15 +391,25 @@ def candidate_links(classes: DataFrame, t: tuple[int, int], region: int = REGION
         return possible_links(group["n"].to_numpy().astype(np.int64), group["parity"].to_pylist(), t, left)
 
     found = _per_group(members, ["key"], pairs_of)
-    hot = cells.filter(F.col("members") > region).select("key")
-    if not hot.isEmpty():
-        hot = rows.drop("members").join(hot, "key").join(classes.select("cid", "n", "parity", "origin"), "cid").select("key", "cid", "n", "parity", "origin")
-        small, large = _cut_by_windows(cut(hot), t, region)
+    hot = cells.filter(F.col("members") > region).select("key", F.ceil(F.col("members") * 2 / region).cast("int").alias("blocks"))
+    if hot.isEmpty():
+        return found.distinct()
+    near = lambda group: near_first(group["n"].to_numpy().astype(np.int64), group["parity"].to_pylist(), t)
+    columns = ["n", "parity"]
+    hot = cut(rows.drop("members").join(hot, "key").join(classes.select("cid", F.col("n").cast("int").alias("n"), "parity", "origin"), "cid").select("key", "cid", "blocks", "n", "parity", "origin"))
+    edges, others = _star(hot, "key", "blocks", columns, near)
+    found = found.unionByName(edges)
+    left = cut(others.groupBy("key").agg(F.count("*").alias("n")))
+    few, many = left.filter(F.col("n") <= region).select("key"), left.filter(F.col("n") > region).select("key")
+    found = found.unionByName(_others(hot.join(few, "key").drop("origin"), others.join(few, "key"), "key", "blocks", columns, pairs_of))
+    if not many.isEmpty():
+        small, large = _cut_by_windows(cut(hot.join(many, "key").drop("blocks")), t, region)
         found = found.unionByName(_per_group(small, ["key"], pairs_of))
         if not large.isEmpty():
             counts = large.groupBy("key").agg(F.ceil(F.count("*") * 2 / region).cast("int").alias("blocks"))
-            near = lambda group: near_first(group["n"].to_numpy().astype(np.int64), group["parity"].to_pylist(), t)
-            found = found.unionByName(_compared(large.join(counts, "key"), "key", "blocks", ["n", "parity"], near, pairs_of))
+            large = cut(large.join(counts, "key"))
+            edges, others = _star(large, "key", "blocks", columns, near)
+            found = found.unionByName(edges).unionByName(_others(large, others, "key", "blocks", columns, pairs_of))
     return found.distinct()
 
 
@@ -443,7 +465,10 @@ def join_links(classes: DataFrame, df: DataFrame, id_col: str, text_col: str, n:
     found = _per_group(members.filter("blocks = 1"), ["root"], pairs_of)
     if coarse.filter("blocks > 1").isEmpty():
         return found
-    return found.unionByName(_compared(cut(members.filter("blocks > 1")), "root", "blocks", ["shingles"], near, pairs_of))
+    members = cut(members.filter("blocks > 1"))
+    edges, others = _star(members, "root", "blocks", ["shingles"], near)
+    found = found.unionByName(edges)
+    return found if others.isEmpty() else found.unionByName(_others(members, others, "root", "blocks", ["shingles"], pairs_of))
 
 
 def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: tuple[int, int] = (80, 100), region: int = REGION, component_bytes: int = COMPONENT_BYTES) -> DataFrame:

@@ -42,9 +42,84 @@ def test_ngrams_stay_in_their_text():
         assert a.tolist() == b.tolist() and np.allclose(x, y)
 
 
+def plain_frequencies(sets):
+    often = np.zeros(language.BUCKETS)
+    for ids in sets:
+        for i in set(ids.tolist()):
+            often[i] += 1
+    return often, len(sets)
+
+
+HOSTILE = ["ab cd " * 40, "abc" * 100, "é.1 \n" * 50, "x" * 64 + " " * 200 + "y", "", None, "... 12", "word. another, 3 words! " * 13]
+
+
+@pytest.mark.parametrize("size", [7, 64])
+def test_long_texts_in_parts(monkeypatch, size):
+    want = language.counts(HOSTILE)
+    model = language.fit([("p", *want[0]), ("q", *want[1]), ("p", *want[7]), ("q", *want[2])], *plain_frequencies([x for x, _ in want]))
+    scores = model.predict(HOSTILE)
+    monkeypatch.setattr(language, "PART", size)
+    assert any(len(list(language.parts(t or ""))) > 3 for t in HOSTILE)
+    for (a, x), (b, y) in zip(want, language.counts(HOSTILE)):
+        assert a.tolist() == b.tolist() and np.allclose(x, y)
+    again = model.predict(HOSTILE)
+    assert scores[0] == again[0] and np.allclose(scores[1], again[1])
+
+
+@pytest.mark.parametrize("size", [16, language.PART])
+def test_frequencies_cover_all_texts(spark, monkeypatch, size):
+    monkeypatch.setattr(language, "PART", size)
+    df = spark.createDataFrame([(t,) for t in HOSTILE * 3], "text string").repartition(4)
+    often, n = language.frequencies(df, "text")
+    want, m = plain_frequencies([x for t, (x, _) in zip(HOSTILE, language.counts(HOSTILE)) if t is not None] * 3)
+    assert n == m and np.array_equal(often, want)
+
+
+def test_fit_is_follow_the_regularised_leader(monkeypatch):
+    """Coordinate by coordinate, with dictionaries."""
+    texts = [("p", "abab ba"), ("q", "cdcd dc"), ("r", "xyx yx"), ("p", "ab ab"), ("q", "dcd cd"), ("r", "yxy"), ("p", "ba b")] * 3
+    rows = [(x, *language.counts([t])[0]) for x, t in texts]
+    often, n_docs = plain_frequencies([ids for _, ids, _ in rows])
+    model = language.fit(rows, often, n_docs)
+    seen, names, z, n = [r for i, r in enumerate(rows) if i % 5 != 4], ["p", "q", "r"], {}, {}
+
+    def weight(key):
+        if abs(z.get(key, 0.0)) <= language.L1:
+            return 0.0
+        return -(z[key] - np.sign(z[key]) * language.L1) / ((language.BETA + n.get(key, 0.0) ** 0.5) / language.ALPHA + language.L2)
+
+    idf = {i: np.log((1 + n_docs) / (1 + often[i])) + 1 for _, ids, _ in rows for i in ids.tolist()}
+    order = np.random.default_rng(1)
+    for _ in range(language.EPOCHS):
+        for at in order.permutation(len(seen)):
+            language_, ids, tf = seen[at]
+            x = {int(i): language.SCALE * f * idf[int(i)] for i, f in zip(ids, tf)} | {"bias": 1.0}
+            score = [sum(v * weight((i, k)) for i, v in x.items()) for k in names]
+            p = np.exp(np.array(score) - max(score))
+            p /= p.sum()
+            before = {(i, k): weight((i, k)) for i in x for k in names}
+            for k, pk in zip(names, p):
+                for i, v in x.items():
+                    g = v * (pk - (k == language_))
+                    old = n.get((i, k), 0.0)
+                    z[i, k] = z.get((i, k), 0.0) + g - ((old + g * g) ** 0.5 - old**0.5) / language.ALPHA * before[i, k]
+                    n[i, k] = old + g * g
+    for k, name in enumerate(names):
+        assert model.bias[k] == pytest.approx(weight(("bias", name)), abs=1e-9)
+        for i in idf:
+            assert model.table[k, i] == pytest.approx(weight((i, name)) * idf[i], rel=1e-5, abs=1e-7)
+
+
+def test_too_many_languages_raise(spark, monkeypatch):
+    monkeypatch.setattr(language, "MOST_LANGUAGES", 3)
+    df = spark.createDataFrame([(i, "some text", f"l{i}") for i in range(4)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="more than 3 languages"):
+        language.train(df)
+
+
 def test_prediction_does_not_depend_on_neighbours():
     rows = [(x, *language.counts([t])[0]) for x, t in [("p", "abab"), ("q", "cdcd"), ("p", "ab ab"), ("q", "dcd"), ("p", "ba")]]
-    model = language.fit(rows)
+    model = language.fit(rows, *plain_frequencies([ids for _, ids, _ in rows]))
     texts = ["ab", None, "cd cd", "", "x1", "abcd" * 50]
     lang, score = model.predict(texts)
     for t, x, s in zip(texts, lang, score):

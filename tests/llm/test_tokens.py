@@ -1,5 +1,6 @@
 """Tokenization, packing, counts and chat against the public libraries and by round trips."""
 
+import hashlib
 import json
 import random
 import time
@@ -170,9 +171,31 @@ def test_chat(spark):
     said = [(1, 0, "user", hard), (1, 1, "assistant", hard), (1, 1, "assistant", "b"), (2, None, None, None), (2, 3, "assistant", ""), (None, 0, "a\nb", "é中" * 5000), (3, 0, "assistant", "x"), (3, 0, "assistant", "x")]
     turns = spark.createDataFrame([(*x, 9, "y") for x in said], "conv_id long, turn long, role string, text string, ids int, turns string")
     made = chat.format_conversations(turns, BPE)
-    rows = {r.conv_id: r for r in chat.read_conversations(made, BPE).collect()}
-    assert [(t.role, t.text) for t in rows[1].turns] == [("user", hard), ("assistant", hard), ("assistant", "b")]
-    assert rows[1].loss_texts == [hard, "b"] and rows[3].loss_texts == ["x", "x"] and rows[2].loss_texts == []
-    assert [(t.role, t.text) for t in rows[2].turns] == [("", ""), ("assistant", "")] and [(t.role, t.text) for t in rows[None].turns] == [("a\nb", "é中" * 5000)]
+    read = {}
+    for r in sorted(chat.read_conversations(made, BPE).collect(), key=lambda r: r.start):
+        read.setdefault(r.conv_id, []).append(r)
+    assert [(r.role, r.text) for r in read[1]] == [("user", hard), ("assistant", hard), ("assistant", "b")]
+    assert [x for r in read[1] for x in r.loss_texts] == [hard, "b"] and [x for r in read[3] for x in r.loss_texts] == ["x", "x"] and not any(r.loss_texts for r in read[2])
+    assert [(r.role, r.text) for r in read[2]] == [("", ""), ("assistant", "")] and [(r.role, r.text) for r in read[None]] == [("a\nb", "é中" * 5000)]
     assert all(len(r.ids) == 4 * len(r.loss_mask) for r in made.collect())
-    assert chat.format_conversations(turns.limit(0), BPE).count() == 0
+    assert chat.format_conversations(turns.limit(0), BPE).count() == 0 and chat.digests(chat.read_conversations(made.limit(0), BPE)).count() == 0
+
+
+def test_a_conversation_over_many_tasks(spark):
+    turns = spark.range(3000).selectExpr("IF(id % 3 = 0, 7, id % 40) AS conv_id", "id AS turn", "IF(id % 2 = 0, 'user', 'assistant') AS role", "concat('say ', id, ' <|im_end|>') AS text").repartition(5)
+    made = chat.format_conversations(turns, BPE)
+    assert made.select(F.spark_partition_id()).distinct().count() > 2
+    at, said = {}, {}
+    for r in sorted(made.collect(), key=lambda r: (r.conv_id, r.start)):
+        assert r.start == at.get(r.conv_id, 0)
+        at[r.conv_id] = r.start + len(r.loss_mask)
+        said[r.conv_id] = said.get(r.conv_id, "") + r.formatted
+    want = {}
+    for r in sorted(turns.collect(), key=lambda r: r.turn):
+        want.setdefault(r.conv_id, []).append((r.role, r.text))
+    assert {c: chat.assemble(x, lambda s: AUTOMATON.encode(s, special=False))[0] for c, x in want.items()} == said
+    got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256, r.formatted_chars) for r in chat.digests(chat.read_conversations(made, BPE)).collect()}
+    sha = lambda parts: hashlib.sha256("".join(parts).encode()).hexdigest()
+    for c, x in want.items():
+        learned = [t for r, t in x if r == "assistant"]
+        assert got[c] == (len(x), sha(f"{r}\n{t}\n" for r, t in x), sum(map(len, learned)), sha(learned), len(said[c]))

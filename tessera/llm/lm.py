@@ -35,7 +35,7 @@ LEARNED, ENDINGS, CLASSES, UNITS = 1024, 64, 32, 16
 #: Words (with their counts) that a task holds at most; the counts of the others come by a join.
 KNOWN = 1 << 18
 #: Of the fit: tokens of a shard at most (about), tokens of a window, steps that a shard takes, first rate.
-SHARD, WINDOW, STEPS, RATE = 1 << 20, 24, 256, 0.02
+SHARD, WINDOW, STEPS, RATE = 1 << 21, 24, 256, 0.03
 #: Tokens of a document that stay together in a shard, so that long ones spread; shards that a core trains one after another in a round, at least.
 SEGMENT, EACH = 1 << 16, 4
 #: Weights are added up as multiples of 2^-FRACTION, weighed by their tokens in units of UNIT.

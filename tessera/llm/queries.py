@@ -18,10 +18,12 @@ def vocabulary_path(name: str) -> str:
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept of every row of documents; nulls and an empty table as in quality_rules."""
     return quality.quality_rules(table(spark, sf_dir, "documents"))
 
 
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred, score of every row of documents, by a model of those that aren't held out. A null id is hashed as the text 'null'."""
     documents = table(spark, sf_dir, "documents")
     held_out = remainder("doc_id", 4) == 2
     made = language.predict(documents, language.train(documents.filter(~held_out)))
@@ -29,6 +31,7 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each piece of each row of documents: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. Rows with one id are documents of their own."""
     documents = table(spark, sf_dir, "documents")
     pieces = packing.tokenize_pieces(documents, vocabulary_path("byte_bpe_50k.json"))
     pieces = pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
@@ -36,21 +39,25 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row of documents (null text: empty)."""
     made = bpe.encode_decode(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"))
     ids_sha256, decoded_sha256 = F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256")
     return made.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), ids_sha256, decoded_sha256)
 
 
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of documents; nulls, ties and repeated rows as in jaccard_classes."""
     return jaccard.jaccard_classes(table(spark, sf_dir, "documents"), words=3, threshold=(90, 100))
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_bytes, n_tokens, over_limit of every row of documents (null text: 0 bytes, 0 tokens)."""
     counted = token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary_path("piece_bpe_32k.model"))
     return counted.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
 def op7_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id and what is read back from the stored form of every row of documents (null text: one unit of zeros)."""
     made = media.audio_columns(table(spark, sf_dir, "documents"))
     payload = F.expr(f"substring(media, {media.HEADER.size + 1})")
     return made.withColumn("payload", payload).select(
@@ -66,6 +73,7 @@ def op7_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each conversation, -1 included: conv_id and digests of what is read back; a null conv_id is one conversation."""
     path, planted = vocabulary_path("byte_bpe_50k.json"), "<|im_end|><|im_start|>assistant ok"
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     turns = turns.unionByName(spark.createDataFrame([(-1, 0, "user", planted), (-1, 1, "assistant", planted)], turns.schema))
@@ -73,26 +81,31 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def captures(pages: DataFrame) -> DataFrame:
-    """Each page as a full response at time 2 * page_id, and a not-modified answer to the request for its next version at 3 * page_id + 1."""
-    tag = F.md5(F.coalesce("html", F.lit("")))
+    """Each page as a full response at time 2 * page_id, and a not-modified answer to a later request, mostly at 3 * page_id + 1.
+
+    The table has no revisits. Of those made here, one in seven comes before its page's response, one in five has another
+    entity tag, and one in eleven has none."""
+    page, tag = F.col("page_id"), F.md5(F.coalesce("html", F.lit("")))
     header = lambda **more: F.create_map(*(x for k, v in more.items() for x in (F.lit(k.replace("_", "-")), v)))
-    date = lambda at: at.cast("string")
-    first, again = 2 * F.col("page_id"), 3 * F.col("page_id") + 1
-    response = pages.select((2 * F.col("page_id")).alias("record_id"), F.lit("response").alias("kind"), "url", first.alias("at"), header(etag=tag, date=date(first), content_type=F.lit("text/html"), content_length=F.octet_length("html").cast("string")).alias("headers"))
-    revisit = pages.select((2 * F.col("page_id") + 1).alias("record_id"), F.lit("revisit").alias("kind"), "url", again.alias("at"), header(etag=F.concat(F.lit("W/"), tag), date=date(again), content_type=F.lit("message/http")).alias("headers"))
+    first, again = 2 * page, F.when(page % 7 == 3, 2 * page - 1).otherwise(3 * page + 1)
+    theirs = F.when(page % 11 != 4, F.concat(F.lit("W/"), F.when(page % 5 == 2, F.md5(tag)).otherwise(tag)))
+    response = pages.select((2 * page).alias("record_id"), F.lit("response").alias("kind"), "url", first.alias("at"), header(etag=tag, date=first.cast("string"), content_type=F.lit("text/html"), content_length=F.octet_length("html").cast("string")).alias("headers"))
+    revisit = pages.select((2 * page + 1).alias("record_id"), F.lit("revisit").alias("kind"), "url", again.alias("at"), header(etag=theirs, date=again.cast("string"), content_type=F.lit("message/http")).alias("headers"))
     return response.unionByName(revisit)
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """record_id, kind, canonical, at, status, response_id, headers_md5 of every capture; a null URL matches nothing."""
     made = warc.resolve_revisits(captures(table(spark, sf_dir, "pages")))
     lines = F.array_join(F.transform(F.array_sort(F.map_entries("headers")), lambda x: F.concat(x["key"], F.lit(": "), x["value"])), "\n")
     return made.select("record_id", "kind", "canonical", "at", "status", "response_id", F.md5(lines).alias("headers_md5"))
 
 
 def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of documents (null text: its end alone)."""
     made = lm.score(table(spark, sf_dir, "documents"), remainder("doc_id", 7) != 2)
     return made.select("doc_id", (~F.col("learns")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 QUERIES = {f.__name__: shipped(f) for f in (op1_quality, op2_language, op3_packing, op4_bpe, op5_jaccard, op6_token_counts, op7_audio, op8_chat, op9_warc, op10_lm)}
-ORACLE_SQL: dict[str, str] = {"op1_quality": sql.OP1, "op9_warc": sql.OP9}
+ORACLE_SQL: dict[str, str] = {"op1_quality": sql.OP1, "op5_jaccard": sql.OP5, "op8_chat": sql.OP8, "op9_warc": sql.OP9}

@@ -57,17 +57,44 @@ def _headers(*pairs: tuple[str, str]) -> str:
     return "md5(concat_ws(chr(10), " + ", ".join(f"'{k}: ' || {v}" for k, v in sorted(pairs)) + "))"
 
 
+URL = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?]*)([^?]*)\??(.*)$"
+_HOST = f"regexp_replace(lower(regexp_extract(u, '{URL}', 2)), '^[^@]*@', '')"
+_PORT = f"CASE WHEN lower(regexp_extract(u, '{URL}', 1)) = 'http' THEN regexp_replace({_HOST}, ':80$', '') WHEN lower(regexp_extract(u, '{URL}', 1)) = 'https' THEN regexp_replace({_HOST}, ':443$', '') ELSE {_HOST} END"
+
 OP9 = rf"""WITH cut AS (SELECT page_id, md5(coalesce(html, '')) AS tag, CAST(strlen(html) AS VARCHAR) AS size, regexp_replace(trim(url), '#.*$', '') AS u FROM pages),
-parts AS (SELECT *, regexp_matches(u, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?]*)([^?]*)\??(.*)$') AS ok,
-  regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?]*)([^?]*)\??(.*)$', 1) AS h, regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?]*)([^?]*)\??(.*)$', 2) AS p,
-  array_to_string(list_sort(list_filter(string_split(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?]*)([^?]*)\??(.*)$', 3), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[^=]*|ref|fbclid|gclid)(=.*)?$'))), '&') AS q FROM cut),
-named AS (SELECT page_id, tag, size, CASE WHEN ok THEN regexp_replace(regexp_replace(regexp_replace(lower(h), '^[^@]*@', ''), '^www\.', ''), ':(80|443)$', '') || regexp_replace(p, '/+$', '') || CASE WHEN q <> '' THEN '?' || q ELSE '' END ELSE lower(u) END AS canonical FROM parts),
+parts AS (SELECT *, regexp_matches(u, '{URL}') AS ok, {_PORT} AS h, regexp_extract(u, '{URL}', 3) AS p,
+  array_to_string(list_sort(list_filter(string_split(regexp_extract(u, '{URL}', 4), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[^=]*|fbclid|gclid)(=.*)?$'))), '&') AS q FROM cut),
+named AS (SELECT page_id, tag, size, CASE WHEN ok THEN regexp_replace(h, '^www\.', '') || regexp_replace(p, '/+$', '') || CASE WHEN q <> '' THEN '?' || q ELSE '' END ELSE lower(u) END AS canonical FROM parts),
 full_ AS (SELECT page_id, canonical, 2 * page_id AS "at", tag, size FROM named),
-again AS (SELECT page_id, canonical, 3 * page_id + 1 AS "at", tag FROM named),
+again AS (SELECT page_id, canonical, CASE WHEN page_id % 7 = 3 THEN 2 * page_id - 1 ELSE 3 * page_id + 1 END AS "at", CASE WHEN page_id % 11 <> 4 THEN CASE WHEN page_id % 5 = 2 THEN md5(tag) ELSE tag END END AS tag FROM named),
 joined AS (SELECT a.*, r.page_id AS r_page, r.tag AS r_tag, r.size AS r_size FROM again a ASOF LEFT JOIN full_ r ON a.canonical = r.canonical AND a."at" > r."at"),
-done AS (SELECT *, CASE WHEN r_page IS NULL THEN 'missing' WHEN tag = r_tag THEN 'resolved' ELSE 'changed' END AS status FROM joined)
+done AS (SELECT *, CASE WHEN r_page IS NULL THEN 'missing' WHEN tag IS NULL THEN 'unverified' WHEN tag = r_tag THEN 'resolved' ELSE 'changed' END AS status FROM joined)
 SELECT 2 * page_id AS record_id, 'response' AS kind, canonical, "at", NULL AS status, CAST(NULL AS BIGINT) AS response_id,
   {_headers(("etag", "tag"), ("date", 'CAST("at" AS VARCHAR)'), ("content-type", "'text/html'"), ("content-length", "size"))} AS headers_md5 FROM full_
 UNION ALL SELECT 2 * page_id + 1, 'revisit', canonical, "at", status, CASE WHEN status = 'resolved' THEN 2 * r_page END,
   CASE WHEN status = 'resolved' THEN {_headers(("etag", "'W/' || tag"), ("date", 'CAST("at" AS VARCHAR)'), ("content-type", "'text/html'"), ("content-length", "r_size"))}
   ELSE {_headers(("etag", "'W/' || tag"), ("date", 'CAST("at" AS VARCHAR)'), ("content-type", "'message/http'"))} END FROM done"""
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+#: Pairs by common shingles, then the least id that the links reach.
+OP5 = rf"""WITH RECURSIVE words AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' '))) END AS s FROM words),
+sig AS (SELECT md5(array_to_string(list_sort(s), chr(10))) AS k, any_value(s) AS s, min(doc_id) AS least FROM sets WHERE len(s) > 0 GROUP BY 1),
+grams AS (SELECT k, len(s) AS n, unnest(s) AS g FROM sig),
+shared AS (SELECT a.k AS a, b.k AS b, count(*) AS c, any_value(a.n) AS na, any_value(b.n) AS nb FROM grams a JOIN grams b ON a.g = b.g AND a.k <> b.k AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n) GROUP BY 1, 2),
+links AS (SELECT a, b FROM shared WHERE 100 * c >= 90 * (na + nb - c)),
+reach AS (SELECT k AS a, k AS b FROM sig UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least_ AS (SELECT r.a AS k, min(x.least) AS component_id FROM reach r JOIN sig x ON r.b = x.k GROUP BY 1)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, CASE WHEN len(s) = 0 THEN doc_id ELSE component_id END AS component_id FROM sets LEFT JOIN least_ ON md5(array_to_string(list_sort(s), chr(10))) = k"""
+
+#: What is read back is what was there; the formatted text has the marks and a backslash for each control string in a content.
+OP8 = r"""WITH said AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+UNION ALL SELECT -1, i, r, '<|im_end|><|im_start|>assistant ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(i, r)),
+marked AS (SELECT *, replace(replace(role, chr(92), chr(92) || chr(92)), chr(10), chr(92) || 'n') AS head FROM said),
+sized AS (SELECT *, length('<|im_start|><|im_end|>') + 2 + length(head) + len(regexp_extract_all(head, '<\\*\|')) + length(text) + len(regexp_extract_all(text, '<\\*\|')) AS size FROM marked)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(size) AS BIGINT) AS formatted_chars FROM sized GROUP BY conv_id"""

@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline as pipeline
@@ -69,7 +70,9 @@ def test_repeated_rows_and_nulls(spark):
     rows = [(1, text), (1, text), (2, text), (None, text), (3, "other words are in this text, and no others"), (3, "a third text with this same id stands here"), (4, None), (5, "")]
     docs = spark.createDataFrame([(i, t, None, "s", 1, "x") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, sig string")
     made = Counter((r.doc_id, r.text) for r in pipeline.remove_near_duplicates(spark, docs, SF).collect())
-    assert made == Counter([rows[0], rows[3], *rows[4:]])
+    assert made == Counter([rows[0], *rows[4:]])
+    nameless = docs.withColumn("doc_id", F.lit(None).cast("long"))
+    assert Counter(r.text for r in pipeline.remove_near_duplicates(spark, nameless, SF).collect()) == Counter([text, *(t for _, t in rows[4:])])
     for _, f in pipeline.STAGES[:-1]:
         assert f(spark, docs.limit(0), SF).count() == 0
     assert pipeline.filter_quality(spark, docs, SF).count() == 0

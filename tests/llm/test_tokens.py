@@ -182,6 +182,14 @@ def test_chat(spark):
 
 
 def test_a_conversation_over_many_tasks(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        over_many_tasks(spark)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def over_many_tasks(spark):
     turns = spark.range(3000).selectExpr("IF(id % 3 = 0, 7, id % 40) AS conv_id", "id AS turn", "IF(id % 2 = 0, 'user', 'assistant') AS role", "concat('say ', id, ' <|im_end|>') AS text").repartition(5)
     made = chat.format_conversations(turns, BPE)
     assert made.select(F.spark_partition_id()).distinct().count() > 2

@@ -14,10 +14,13 @@ SF = "/root/testdata/sf0.01"
 @pytest.mark.parametrize(
     ("url", "want"),
     [
-        ("HTTP://User@WWW.Example.com:80/A/b/?b=2&utm_source=x&a=1&&ref=z#top", "example.com/A/b?a=1&b=2"),
+        ("HTTP://User@WWW.Example.com:80/A/b/?b=2&utm_source=x&a=1&&ref=z#top", "example.com/A/b?a=1&b=2&ref=z"),
+        ("https://a.com:443/x?fbclid=1", "a.com/x"),
+        ("https://a.com:80/x", "a.com:80/x"),
+        ("http://a.com:443/x", "a.com:443/x"),
         ("https://example.com", "example.com"),
         ("https://example.com/?", "example.com"),
-        ("https://m.example.com:8080/x?ref", "m.example.com:8080/x"),
+        ("https://m.example.com:8080/x?gclid", "m.example.com:8080/x"),
         ("No Scheme", "no scheme"),
         ("", ""),
         (None, None),
@@ -38,12 +41,12 @@ def brute(records):
             if earlier:
                 _, j, theirs = max(earlier, key=lambda x: x[:2])
                 mine, theirs = headers or {}, theirs or {}
-                same = True
-                for name in ("etag", "last-modified"):
+                same = None
+                for name in ("etag", "last-modified", "warc-payload-digest"):
                     if mine.get(name) is not None and theirs.get(name) is not None:
                         same = mine[name].removeprefix("W/") == theirs[name].removeprefix("W/") if name == "etag" else mine[name] == theirs[name]
                         break
-                status = "resolved" if same else "changed"
+                status = "unverified" if same is None else "resolved" if same else "changed"
                 if same:
                     response = j
                     headers = theirs | {k: v for k, v in mine.items() if k in warc.PERMITTED}
@@ -57,7 +60,7 @@ def test_as_of(spark, block):
     records = []
     for i in range(400):
         url = draw.choice([None, "hot", "hot", "hot", *(f"u{k}" for k in range(30))])
-        headers = draw.choice([None, {}, {"etag": draw.choice(["a", "W/a", "b"]), "x": str(i), "date": str(i)}, {"last-modified": draw.choice("mn"), "vary": str(i)}])
+        headers = draw.choice([None, {}, {"etag": draw.choice(["a", "W/a", "b"]), "x": str(i), "date": str(i)}, {"last-modified": draw.choice("mn"), "vary": str(i)}, {"warc-payload-digest": draw.choice("st")}])
         records.append((i, draw.choice(["response", "revisit", "request"]), url, draw.choice([None, *range(60)]), headers))
     df = spark.createDataFrame([(*r, "x") for r in records], "record_id long, kind string, url string, at long, headers map<string,string>, status string")
     made = sorted((r.record_id, r.status or "", -1 if r.response_id is None else r.response_id, sorted((r.headers or {}).items())) for r in warc.resolve_revisits(df, block).collect())
@@ -74,4 +77,4 @@ def test_query_is_the_sql(spark):
     assert made.columns == want.columns
     rows = [tuple(r) for r in made.collect()]
     assert sorted(map(key, rows)) == sorted(map(key, want.fetchall()))
-    assert {r[4] for r in rows} >= {None, "resolved"}
+    assert {r[4] for r in rows} == {None, "resolved", "changed", "unverified", "missing"}

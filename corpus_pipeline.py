@@ -1,8 +1,9 @@
 """A corpus pipeline of four stages: language identification, quality rules, near-duplicate removal, packing.
 
 Each stage takes the documents that its predecessor kept (doc_id, text, lang, source, n_chars) and works on all of them.
-doc_id is taken to name a document: rows with the same id and text count once after the third stage, and rows
-with a null id pass it. Other columns are ignored. An empty table gives an empty result.
+A null or repeated doc_id is allowed in all of them: rows are documents of their own. A null text is an empty one; it has no
+language and goes at the first stage, which also replaces null languages. A null source is a group of its own. Other
+columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,8 +18,6 @@ from tessera.plans.shipping import shipped
 
 #: Least calibrated probability of the predicted language.
 LEAST_SCORE = 0.4
-#: Ids that are broadcast at most.
-FEW = 200_000
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -39,16 +38,16 @@ def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 @shipped
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group, linked by shared shingles of five words at a Jaccard similarity of 0.8, the document with the least id."""
-    docs = docs.select(COLUMNS)
-    found = cut(jaccard.jaccard_classes(docs, words=5, threshold=(80, 100)))
-    ids = found.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays"), F.count("*").alias("rows"))
-    kept = without(docs, ids.filter("NOT stays").select("doc_id"), "doc_id")
-    again = cut(ids.filter("stays AND rows > 1").select("doc_id"))
-    if again.isEmpty():
-        return kept
-    few = F.broadcast(again) if again.count() <= FEW else again
-    return without(kept, again, "doc_id").unionByName(kept.join(few, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
+    """Keeps one row of each group, linked by shared shingles of five words at a Jaccard similarity of 0.8: that with the least id (null last), of several the first.
+
+    Rows are told apart by their place in the table, so that repeated and null ids need no rule of their own. Texts without words are linked with nothing and stay.
+    """
+    docs = docs.select(*COLUMNS, F.monotonically_increasing_id().alias("_row"))
+    found = cut(jaccard.jaccard_classes(docs, id_col="_row", words=5, threshold=(80, 100)))
+    groups = found.groupBy("component_id").agg(F.count("*").alias("n")).filter("n > 1").select("component_id")
+    members = cut(found.join(groups, "component_id").select("_row", "component_id").join(docs.select("_row", "doc_id"), "_row"))
+    stays = members.groupBy("component_id").agg(F.min(F.struct(F.isnull("doc_id").alias("unnamed"), "doc_id", "_row"))["_row"].alias("_row"))
+    return without(docs, members.select("_row").join(stays.select("_row"), "_row", "left_anti"), "_row").select(COLUMNS)
 
 
 @shipped
@@ -66,6 +65,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces that the last stage makes of documents; what a stage keeps is written before the next one reads it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir))

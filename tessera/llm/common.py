@@ -78,14 +78,18 @@ def without(df: DataFrame, ids: DataFrame, column: str, broadcast: int = 1_000_0
     return df.join(F.broadcast(ids) if ids.count() <= broadcast else ids, column, "left_anti")
 
 
-def join_hot(left: DataFrame, right: DataFrame, key: str, total: int, share: int = HOT) -> DataFrame:
+def join_hot(left: DataFrame, right: DataFrame, key: str, total: int, least: int = 0) -> DataFrame:
     """The inner join of left with right, whose keys are unique and whose column rows says how many rows of left have the key, of total in all.
 
-    Keys with more than one of share rows are joined by a broadcast: there are less than share of them. The others are joined
-    by a shuffle, in which none is hot. The column rows goes.
+    Keys with more than total / HOT rows (rounded up to a power of 2, so that the plan's code serves other totals too), and more
+    than least, are joined by a broadcast: there are less than HOT of them. The others are joined by a shuffle, in which
+    none is hot. The column rows goes.
     """
-    hot = F.broadcast(right.filter(F.col("rows") * share > total).drop("rows"))
-    rest = right.filter(F.col("rows") * share <= total).drop("rows")
+    if total <= least:
+        return left.join(right.drop("rows"), key)
+    bound = F.lit(max(least, 1 << (total // HOT).bit_length())).cast("long")
+    hot = F.broadcast(right.filter(F.col("rows") > bound).drop("rows"))
+    rest = right.filter(F.col("rows") <= bound).drop("rows")
     return left.join(hot, key).unionByName(left.join(hot.select(key), key, "left_anti").join(rest, key))
 
 

@@ -244,7 +244,10 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 
     rows = map_text(sample, ["i", "l"], "t", f, f"i {labelled.schema['i'].dataType.simpleString()}, l string, ids binary, tf binary").toPandas()
     rows = rows.sort_values(["i", "l", "ids", "tf"], kind="stable", na_position="first")
-    return fit([(lang, np.frombuffer(ids, "<i4"), np.frombuffer(tf, "<f4").astype(float)) for lang, ids, tf in zip(rows["l"], rows["ids"], rows["tf"])], *frequencies(labelled, "t"))
+    model = fit([(lang, np.frombuffer(ids, "<i4"), np.frombuffer(tf, "<f4").astype(float)) for lang, ids, tf in zip(rows["l"], rows["ids"], rows["tf"])], *frequencies(labelled, "t"))
+    del rows
+    tidy()  # of the driver, which goes on
+    return model
 
 
 def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:

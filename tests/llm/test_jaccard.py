@@ -7,7 +7,9 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tessera.llm import components, jaccard, shingles
+from pyspark.sql import functions as F
+
+from tessera.llm import common, components, jaccard, shingles
 from tessera.llm.common import table
 
 
@@ -161,3 +163,21 @@ def test_components(spark):
     made = components.components(spark.createDataFrame(edges, "a long, b long"))
     assert {r.node: r.root for r in made.collect()} == {x: find(x) for x in parent} and made.count() == len(parent)
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("least", [0, 100_000])
+def test_join_hot(spark, monkeypatch, least):
+    monkeypatch.setattr(common, "HOT", 10)
+    left = spark.range(1000).selectExpr("IF(id % 3 = 0, 7, id) AS k", "id AS a")
+    right = left.groupBy("k").count().withColumnRenamed("count", "rows").withColumn("b", F.col("k") + 1)
+    made = common.join_hot(left, right, "k", 1000, least)
+    assert made.columns == ["k", "a", "b"]
+    assert sorted(map(tuple, made.collect())) == sorted((7 if i % 3 == 0 else i, i, 8 if i % 3 == 0 else i + 1) for i in range(1000))
+
+
+def test_hubs(spark, monkeypatch):
+    monkeypatch.setattr(components, "HUB", 5)
+    monkeypatch.setattr(common, "HOT", 10)
+    edges = [(5000, i) for i in range(300)] + [(6000 + i, 6001 + i) for i in range(20)] + [(6010, 299)]
+    made = components.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert {r.root for r in made} == {0} and len(made) == 322

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.hashing import child_seed, fnv1a, index_weights, probe_indices
 from tessera.functions.scalars import ratio_or_infinity
+from tessera.plans.shipping import ships
 
 #: The default bootstrap.
 ITERATIONS, LEVEL, SEED = 1000, 0.95, 12345
@@ -71,6 +72,7 @@ def bootstrap_ratio(candidate: list[np.ndarray], reference: list[np.ndarray], st
     return {"point": theirs / mine, "ci_low": float(low), "ci_high": float(high), "valid": len(ratios), "candidate_point": mine, "reference_point": theirs}
 
 
+@ships
 def bootstrap_ratios(df: DataFrame, keys: list[str], side: str, process: str, value: str, candidate: str, reference: str, statistic: str = "median", iterations: int = ITERATIONS, level: float = LEVEL, seed: int = SEED) -> DataFrame:
     """bootstrap_ratio for each key that has both sides. A key's timing values go to one task: they are a benchmark's repeats. Seeds follow from the key."""
     kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators.kmeans import assign, check_clusters, matrix
 from tessera.plans.reduce import sum_vectors
+from tessera.plans.shipping import ships
 
 COVARIANCES = ("spherical", "diag", "full")
 #: Added to each component's sum of responsibilities: ten times the distance from 1 to the next float32.
@@ -86,6 +87,7 @@ def symmetric(a: np.ndarray) -> bool:
     return bool((np.abs(a - a.T) <= 1e-8 + 1e-5 * np.minimum(np.abs(a), np.abs(a.T))).all())
 
 
+@ships
 def expectation(points: DataFrame, mixture: Mixture) -> tuple[int, float, np.ndarray, np.ndarray, np.ndarray]:
     """One pass: count, sum of log likelihoods, and for each component the sum of responsibilities and the first and second moments about its mean."""
     shared = points.sparkSession.sparkContext.broadcast(mixture)
@@ -161,6 +163,7 @@ def fit(points: DataFrame, start: Mixture, max_iter: int = 100, tol: float = 1e-
         points.unpersist()
 
 
+@ships
 def predict(points: DataFrame, mixture: Mixture) -> DataFrame:
     """id, k (most probable component, ties to the lowest), responsibilities, log_p."""
     shared = points.sparkSession.sparkContext.broadcast(mixture)
@@ -174,6 +177,7 @@ def predict(points: DataFrame, mixture: Mixture) -> DataFrame:
     return points.select("id", "x").mapInArrow(run, "id long, k int, responsibilities array<double>, log_p double")
 
 
+@ships
 def start_from_centers(points: DataFrame, centers, covariance: str, reg: float = 1e-6) -> Mixture:
     """Weights, means and precisions from the points nearest to each center: shares n / N, the means as given, and covariances about them. A center without points raises."""
     centers = np.asarray(centers, float)

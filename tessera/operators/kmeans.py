@@ -15,7 +15,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.vectors import nearest, sq_distance, literal
-from tessera.plans import uses_expressions
+from tessera.plans import cut_lineage, uses_expressions
+from tessera.plans.shipping import ships
+
+
+#: Rounds of seeding whose distances are cached one upon the other.
+ROUNDS = 16
 
 
 def matrix(batch: pa.RecordBatch, name: str = "x") -> np.ndarray:
@@ -34,6 +39,7 @@ def sq_distances(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
     return out
 
 
+@ships
 def assign(points: DataFrame, centers: np.ndarray, expressions: bool | None = None, before: np.ndarray | None = None) -> DataFrame:
     """id, x, k, d2: the nearest center (ties to the lowest k) and its squared distance; with before, changed as well: whether another of those centers was nearest.
 
@@ -68,6 +74,34 @@ def cluster_stats(assigned: DataFrame, dimensions: int) -> DataFrame:
     return made.select("k", "n", "inertia", F.array(*(f"s{d}" for d in range(dimensions))).alias("sums"), *(["changed"] if more else []))
 
 
+def iteration_stats(points: DataFrame, centers: np.ndarray, before: np.ndarray | None) -> DataFrame:
+    """k, n, inertia, changed, sums of each cluster that has points, in one pass: tasks assign, compare with the nearest of the centers before, and add up; K rows a task are shuffled."""
+    shared, dimensions = points.sparkSession.sparkContext.broadcast((centers, before)), centers.shape[1]
+
+    def run(batches):
+        centers, before = shared.value
+        every = np.arange(len(centers))
+        n, inertia, changed, sums = np.zeros(len(centers), np.int64), np.zeros(len(centers)), np.zeros(len(centers), np.int64), np.zeros_like(centers)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = matrix(batch)
+            d2 = sq_distances(x, centers)
+            k = d2.argmin(1)
+            n += np.bincount(k, minlength=len(every))
+            inertia += np.bincount(k, d2[np.arange(len(k)), k], len(every))
+            sums += (k == every[:, None]).astype(float) @ x
+            moved = np.ones(len(k), bool) if before is None else sq_distances(x, before).argmin(1) != k
+            changed += np.bincount(k[moved], minlength=len(every))
+        own = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(a[own]) for a in (every.astype(np.int32), n, inertia, changed)] + [pa.array(list(sums[own]), pa.list_(pa.float64()))], names=["k", "n", "inertia", "changed", "sums"])
+
+    made = points.select("x").mapInArrow(run, "k int, n long, inertia double, changed long, sums array<double>")
+    sums = [F.sum(F.get("sums", F.lit(d))).alias(f"s{d}") for d in range(dimensions)]
+    made = made.groupBy("k").agg(*(F.sum(c).alias(c) for c in ("n", "inertia", "changed")), *sums)
+    return made.select("k", "n", "inertia", "changed", F.array(*(f"s{d}" for d in range(dimensions))).alias("sums"))
+
+
 def dimension_stats(points: DataFrame, dimensions: int) -> tuple[int, np.ndarray, np.ndarray]:
     """Count, mean and (population) variance of each dimension, in one pass."""
     aggregates = [f(F.get("x", F.lit(d))) for d in range(dimensions) for f in (F.avg, F.var_pop)]
@@ -132,6 +166,7 @@ def update(centers: np.ndarray, sums: np.ndarray, counts: np.ndarray) -> np.ndar
     return moved
 
 
+@ships
 def lloyd(points: DataFrame, centers, max_iter: int = 300, tol: float = 1e-4) -> LloydResult:
     """Lloyd's iterations from given centers.
 
@@ -146,13 +181,12 @@ def lloyd(points: DataFrame, centers, max_iter: int = 300, tol: float = 1e-4) ->
         tolerance = scaled_tolerance(points, dimensions, tol)
         before, iterations, history, strict = None, 0, [], False
         while iterations < max_iter:
-            assigned = assign(points, centers, before=before)
             sums, counts, inertia, changed = np.zeros_like(centers), np.zeros(len(centers), int), 0.0, 0
-            for r in cluster_stats(assigned, dimensions).collect():
+            for r in sorted(iteration_stats(points, centers, before).collect()):
                 sums[r.k], counts[r.k] = r.sums, r.n
                 inertia += r.inertia
-                changed += r.changed if before is not None else r.n
-            repaired = repair(sums, counts, assigned)
+                changed += r.changed
+            repaired = repair(sums, counts, assign(points, centers))
             moved = update(centers, sums, counts)
             shift = float(((moved - centers) ** 2).sum())
             before, centers = centers, moved
@@ -184,9 +218,11 @@ def prefix_sums(weighted: DataFrame, partitions: int | None = None) -> DataFrame
     return running.join(F.broadcast(before), "_p").select("id", "w", (F.col("_start") + F.col("_within")).alias("upto"))
 
 
+@ships
 def candidate_costs(points: DataFrame, chosen: np.ndarray | None, candidates: np.ndarray) -> np.ndarray:
-    """For each candidate, the sum over all points of the squared distance to the nearest of it and the chosen centers, in one pass."""
+    """For each candidate, the sum over all points of the squared distance to the nearest of it and the chosen centers, in one pass. If points has a column d2, that is the distance to the chosen ones."""
     shared = points.sparkSession.sparkContext.broadcast((chosen, candidates))
+    known = "d2" in points.columns
 
     def run(batches):
         chosen, candidates = shared.value
@@ -195,24 +231,38 @@ def candidate_costs(points: DataFrame, chosen: np.ndarray | None, candidates: np
             x = matrix(batch)
             if len(x):
                 d2 = sq_distances(x, candidates)
-                if chosen is not None:
+                if known:
+                    d2 = np.minimum(d2, batch["d2"].to_numpy()[:, None])
+                elif chosen is not None:
                     d2 = np.minimum(d2, sq_distances(x, chosen).min(1)[:, None])
                 total += d2.sum(0)
         yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(total)], names=["c", "cost"])
 
-    rows = points.select("x").mapInArrow(run, "c int, cost double").groupBy("c").agg(F.sum("cost").alias("cost")).collect()
+    rows = points.select("x", *(["d2"] if known else [])).mapInArrow(run, "c int, cost double").groupBy("c").agg(F.sum("cost").alias("cost")).collect()
     out = np.zeros(len(candidates))
     for r in rows:
         out[r.c] = r.cost
     return out
 
 
-def _drawn(points: DataFrame, chosen: np.ndarray, at: np.ndarray) -> tuple[float, list[tuple[int, np.ndarray]]]:
-    """The points whose running sum of squared distances, in the order of partitions and rows, first reaches a share of the total. points is persisted, so that the order stays."""
-    shared = points.sparkSession.sparkContext.broadcast(chosen)
+def _nearer(points: DataFrame, center: np.ndarray) -> DataFrame:
+    """id, x, d2: the least of d2 (if points has it) and the squared distance to one more center. Rows keep their partitions and order."""
+    shared, known = points.sparkSession.sparkContext.broadcast(center[None]), "d2" in points.columns
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                d2 = sq_distances(matrix(batch), shared.value)[:, 0]
+                yield pa.RecordBatch.from_arrays([batch["id"], batch["x"], pa.array(np.minimum(d2, batch["d2"].to_numpy()) if known else d2)], names=["id", "x", "d2"])
+
+    return points.mapInArrow(run, "id long, x array<double>, d2 double")
+
+
+def _drawn(points: DataFrame, at: np.ndarray) -> tuple[float, list[tuple[int, np.ndarray]]]:
+    """The points whose running sum of squared distances d2, in the order of partitions and rows, first reaches a share of the total. points comes from the checkpoint folder, so that the order stays."""
 
     def weights(batch):
-        return sq_distances(matrix(batch), shared.value).min(1) if batch.num_rows else np.zeros(0)
+        return batch["d2"].to_numpy() if batch.num_rows else np.zeros(0)
 
     def totals(batches):
         part, total = -1, 0.0
@@ -223,7 +273,7 @@ def _drawn(points: DataFrame, chosen: np.ndarray, at: np.ndarray) -> tuple[float
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([total])], names=["p", "total"])
 
     numbered = points.withColumn("_p", F.spark_partition_id())
-    rows = sorted((r.p, r.total) for r in numbered.select("_p", "x").mapInArrow(totals, "p int, total double").collect() if r.p >= 0)
+    rows = sorted((r.p, r.total) for r in numbered.select("_p", "d2").mapInArrow(totals, "p int, total double").collect() if r.p >= 0)
     starts = np.concatenate(([0.0], np.cumsum([t for _, t in rows])))
     whole = float(starts[-1])
     if whole <= 0:
@@ -250,20 +300,22 @@ def _drawn(points: DataFrame, chosen: np.ndarray, at: np.ndarray) -> tuple[float
         if left:  # rounding: the last point stands for what lies behind it
             yield pa.RecordBatch.from_arrays([pa.concat_arrays([last["id"]] * len(left)), pa.concat_arrays([last["x"]] * len(left))], names=["id", "x"])
 
-    found = numbered.filter(F.col("_p").isin(list(wanted))).select("_p", "id", "x").mapInArrow(pick, "id long, x array<double>").collect()
+    found = numbered.filter(F.col("_p").isin(list(wanted))).select("_p", "id", "x", "d2").mapInArrow(pick, "id long, x array<double>").collect()
     return whole, [(r.id, np.array(r.x)) for r in found]
 
 
+@ships
 def greedy_plus_plus(points: DataFrame, clusters: int, trials: int = 0, seed: int = 42) -> tuple[np.ndarray, list[int]]:
     """Centers and their ids by greedy k-means++: the first uniform; then, of trials points drawn by squared distance, the one that lowers the cost most (the first of equal ones).
 
-    trials 0 stands for 2 + floor(log clusters). Without any distance left, a point is drawn uniformly and may repeat. A round
-    is three passes whose results are a few rows.
+    trials 0 stands for 2 + floor(log clusters). Without any distance left, a point is drawn uniformly and may repeat. Each
+    point carries its distance to the nearest center so far, which one more center can only lower, so that a round costs the
+    same whatever their number. Every ROUNDS rounds the points are written anew.
     """
     n, _ = check_clusters(points, clusters)
     trials = trials or 2 + int(np.log(clusters))
     draw = np.random.default_rng(seed)
-    points = points.select("id", "x").repartitionByRange("id").sortWithinPartitions("id").persist(StorageLevel.MEMORY_AND_DISK)
+    points = cut_lineage(points.select("id", "x").repartitionByRange("id").sortWithinPartitions("id"))
 
     def uniform() -> tuple[int, np.ndarray]:
         sizes = sorted((r._p, r.n) for r in points.groupBy(F.spark_partition_id().alias("_p")).agg(F.count("*").alias("n")).collect())
@@ -275,18 +327,22 @@ def greedy_plus_plus(points: DataFrame, clusters: int, trials: int = 0, seed: in
             at -= size
         raise RuntimeError("the points changed")
 
-    try:
-        first = uniform()
-        ids, centers = [first[0]], [first[1]]
-        while len(centers) < clusters:
-            whole, found = _drawn(points, np.array(centers), draw.random(trials))
-            if whole <= 0:
-                best = uniform()
-            else:
-                costs = candidate_costs(points, np.array(centers), np.array([x for _, x in found]))
-                best = found[int(costs.argmin())]
-            ids.append(best[0])
-            centers.append(best[1])
-        return np.array(centers), ids
-    finally:
-        points.unpersist()
+    first = uniform()
+    ids, centers, held = [first[0]], [first[1]], None
+    while len(centers) < clusters:
+        away = _nearer(points if held is None else held, centers[-1])
+        away = cut_lineage(away) if len(centers) % ROUNDS == 0 else away.persist(StorageLevel.MEMORY_AND_DISK)
+        whole, found = _drawn(away, draw.random(trials))
+        if held is not None:
+            held.unpersist()
+        held = away
+        if whole <= 0:
+            best = uniform()
+        else:
+            costs = candidate_costs(held, None, np.array([x for _, x in found]))
+            best = found[int(costs.argmin())]
+        ids.append(best[0])
+        centers.append(best[1])
+    if held is not None:
+        held.unpersist()
+    return np.array(centers), ids

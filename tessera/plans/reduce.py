@@ -6,11 +6,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tessera.plans.shipping import ships
 
 #: Beyond so many cores the vectors are added up in two levels, the first in FAN parts for each key.
 CORES, FAN = 256, 32
 
 
+@ships
 def sum_vectors(df: DataFrame, dtype: str = "<f8", total: str = "<f8") -> DataFrame:
     """k, v of the sums by k of vectors v (binary, of numbers of type dtype; the sums are of type total). A task holds one vector for each of its keys."""
 

@@ -9,7 +9,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 #: Bytes of an Arrow batch between the JVM and Python, where the session has Spark's default of 64 MB: batches stand in both at once, for each core.
@@ -43,3 +43,14 @@ def shipped(f):
         return f(spark, *args, **more)
 
     return run
+
+
+def ships(f):
+    """An operator that starts Python workers: ships the package to the session of its first argument, a DataFrame."""
+
+    @functools.wraps(f)
+    def run(df: DataFrame, *args, **more):
+        ship(df.sparkSession)
+        return f(df, *args, **more)
+
+    return run

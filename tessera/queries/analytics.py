@@ -202,15 +202,15 @@ def max_abs_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(aggregates.max_differences(orders, orders.withColumn("o_totalprice", F.col("o_totalprice") * 1.25), ["o_orderkey"], "o_totalprice"), "max_abs", "max_rel")
 
 
-@query("WITH c AS (SELECT n_nationkey AS i, n_regionkey AS j, n_nationkey * 2.5 - n_regionkey AS value FROM nation WHERE n_nationkey < 5) SELECT CAST(max(CASE WHEN p = q THEN top END) AS DOUBLE) AS diagonal_max_abs, CAST(max(CASE WHEN p <> q THEN gap END) AS DOUBLE) AS symmetry_max_abs FROM (SELECT least(i, j) AS p, greatest(i, j) AS q, max(value) - min(value) AS gap, max(abs(value)) AS top FROM c GROUP BY 1, 2)")
+@query("WITH c AS (SELECT n_nationkey AS i, n_regionkey AS j, n_nationkey * 2.5 - n_regionkey AS value FROM nation) SELECT CAST(max(CASE WHEN p = q THEN top END) AS DOUBLE) AS diagonal_max_abs, CAST(max(CASE WHEN p <> q THEN gap END) AS DOUBLE) AS symmetry_max_abs FROM (SELECT least(i, j) AS p, greatest(i, j) AS q, max(value) - min(value) AS gap, max(abs(value)) AS top FROM c GROUP BY 1, 2)")
 def matrix_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = table(spark, sf_dir, "nation").filter("n_nationkey < 5").select(F.col("n_nationkey").alias("i"), F.col("n_regionkey").alias("j"), (F.col("n_nationkey") * 2.5 - F.col("n_regionkey")).alias("value"))
+    cells = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("i"), F.col("n_regionkey").alias("j"), (F.col("n_nationkey") * 2.5 - F.col("n_regionkey")).alias("value"))
     return rounded(aggregates.matrix_diagnostics(cells), "diagonal_max_abs", "symmetry_max_abs")
 
 
-@query("SELECT CAST(v AS DOUBLE) AS observed_median FROM (SELECT v, row_number() OVER (ORDER BY v) AS n, count(*) OVER () AS c FROM (SELECT DISTINCT p_size AS v FROM part WHERE p_size <= 40)) WHERE n = (c + 1) // 2")
+@query("SELECT CAST(v AS DOUBLE) AS observed_median FROM (SELECT v, row_number() OVER (ORDER BY v) AS n, count(*) OVER () AS c FROM (SELECT DISTINCT p_size AS v FROM part)) WHERE n = (c + 1) // 2")
 def observed_lower_median(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(predicates.lower_observed_median(table(spark, sf_dir, "part").filter("p_size <= 40"), "p_size"),)], "observed_median double")
+    return spark.createDataFrame([(predicates.lower_observed_median(table(spark, sf_dir, "part"), "p_size"),)], "observed_median double")
 
 
 @query(
@@ -226,12 +226,12 @@ RATES = {"i1_miss_rate": ("I1mr", "Ir"), "il_miss_rate": ("ILmr", "Ir"), "d1_mis
 
 
 @query(
-    f"""WITH c AS (SELECT l_orderkey, l_linenumber, {', '.join(f'CAST({e} AS BIGINT) AS {n}' for n, e in COUNTERS.items())} FROM lineitem WHERE l_orderkey < 3000),
+    f"""WITH c AS (SELECT l_orderkey, l_linenumber, {', '.join(f'CAST({e} AS BIGINT) AS {n}' for n, e in COUNTERS.items())} FROM lineitem),
 s AS (SELECT *, Dr + Dw AS data_refs, D1mr + D1mw AS d1_misses, DLmr + DLmw AS ll_misses FROM c)
 SELECT l_orderkey, l_linenumber, data_refs, d1_misses, ll_misses, {', '.join(f'round(CAST({a} AS DOUBLE) / nullif({b}, 0), 6) AS {n}' for n, (a, b) in RATES.items())} FROM s"""
 )
 def rates_null_on_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").filter("l_orderkey < 3000").select("l_orderkey", "l_linenumber", *(F.expr(f"CAST({e} AS BIGINT)").alias(n) for n, e in COUNTERS.items()))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *(F.expr(f"CAST({e} AS BIGINT)").alias(n) for n, e in COUNTERS.items()))
     return rounded(predicates.cache_rates(lines).select("l_orderkey", "l_linenumber", "data_refs", "d1_misses", "ll_misses", *RATES), *RATES)
 
 

@@ -119,11 +119,19 @@ def dimension_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(i, round(float(m), 6), round(float(v), 6)) for i, (m, v) in enumerate(zip(mean, variance))], "dim long, mean double, variance double")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {P}, cells AS (SELECT generate_subscripts(x, 1) AS d, unnest(x) AS v FROM p), bound AS (SELECT {TOLERANCE} * avg(var) AS tol FROM (SELECT var_pop(v) AS var FROM cells GROUP BY d)),
+start AS (SELECT list(x ORDER BY id) AS xs FROM p), fit AS (SELECT 0 AS n, xs, list_slice(xs, 1, {CLUSTERS}) AS c, list_transform(xs, lambda x: CAST(-1 AS BIGINT)) AS ks, false AS done FROM start
+UNION ALL SELECT n + 1, xs, moved, now, ks = now OR list_sum(list_transform(moved, lambda m, i: list_distance(m, c[i]) ** 2)) <= (SELECT tol FROM bound) FROM
+  (SELECT *, list_transform(c, lambda o, k: list_transform(o, lambda z, d: list_avg(list_transform(list_filter(xs, lambda x, i: now[i] = k - 1), lambda x: x[d])))) AS moved FROM
+    (SELECT *, list_transform(xs, lambda x: CAST(list_position(list_transform(c, lambda o: list_distance(x, o)), list_min(list_transform(c, lambda o: list_distance(x, o)))) - 1 AS BIGINT)) AS now FROM fit WHERE NOT done AND n < 300))),
+last_ AS (SELECT * FROM fit WHERE done), ends AS (SELECT p.id, n, list_transform(c, lambda o: list_distance(x, o) ** 2) AS d2 FROM p, last_)
+SELECT id AS vec_id, CAST(list_position(d2, list_min(d2)) - 1 AS INT) AS k, round(list_min(d2), 6) AS d2, CAST(n AS INT) AS iterations FROM ends"""
+)
 def lloyd_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = points(spark, sf_dir)
     made = kmeans.lloyd(found, first_centers(found))
-    return made.assigned.select(F.col("id").alias("vec_id"), "k", "d2", F.lit(made.iterations).alias("iterations"))
+    return made.assigned.select(F.col("id").alias("vec_id"), "k", F.round("d2", 6).alias("d2"), F.lit(made.iterations).alias("iterations"))
 
 
 @query(f"{START} SELECT id AS vec_id, CAST(k AS BIGINT) AS k, round(d2, 6) AS d2 FROM a1 ORDER BY a1.d2 DESC, id LIMIT 7")
@@ -234,8 +242,8 @@ def _gmm_fit(covariance: str):
 for _covariance in gmm.COVARIANCES:
     _gmm_fit(_covariance)
 
-D2 = f"pairs AS (SELECT a.id AS i, b.id AS j, {d2('a.x', 'b.x')} AS d2 FROM p a JOIN p b ON a.id < b.id)"
-CORE = f"core AS (SELECT id, d2 AS core2 FROM (SELECT id, d2, row_number() OVER (PARTITION BY id ORDER BY d2) AS n FROM (SELECT i AS id, d2 FROM pairs UNION ALL SELECT j, d2 FROM pairs UNION ALL SELECT id, 0.0 FROM p)) WHERE n = {MIN_SAMPLES})"
+D2 = f"pairs AS MATERIALIZED (SELECT a.id AS i, b.id AS j, {d2('a.x', 'b.x')} AS d2 FROM p a JOIN p b ON a.id < b.id)"
+CORE = f"core AS MATERIALIZED (SELECT id, d2 AS core2 FROM (SELECT id, d2, row_number() OVER (PARTITION BY id ORDER BY d2) AS n FROM (SELECT i AS id, d2 FROM pairs UNION ALL SELECT j, d2 FROM pairs UNION ALL SELECT id, 0.0 FROM p)) WHERE n = {MIN_SAMPLES})"
 
 
 @query(f"WITH {P}, {D2} SELECT i, j, round(d2, 6) AS d2 FROM pairs")
@@ -261,10 +269,19 @@ def _tree(spark: SparkSession, sf_dir: str) -> tuple[pd.DataFrame, np.ndarray]:
     return hdbscan.spanning_tree(found, core), np.array(sorted(r.id for r in found.select("id").collect()))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {P}, {D2}, {CORE}, placed AS (SELECT id, row_number() OVER (ORDER BY id) AS pos FROM p), ids AS (SELECT list(id ORDER BY id) AS ids FROM p),
+either AS (SELECT i, j, d2 FROM pairs UNION ALL SELECT j, i, d2 FROM pairs UNION ALL SELECT id, id, 0.0 FROM p),
+reach AS MATERIALIZED (SELECT q.pos, list(greatest(d2, a.core2, b.core2) ORDER BY j) AS ws FROM either JOIN core a ON i = a.id JOIN core b ON j = b.id JOIN placed q ON i = q.id GROUP BY q.pos),
+prim AS (SELECT 0 AS step, CAST(1 AS BIGINT) AS pos, CAST(1 AS BIGINT) AS former, 0.0::DOUBLE AS w2, list_transform(ids, lambda x: 'inf'::DOUBLE) AS best, list_transform(ids, lambda x: false) AS done FROM ids
+UNION ALL SELECT step + 1, CAST(list_position(open_, list_min(open_)) AS BIGINT), pos, list_min(open_), best, done FROM
+  (SELECT *, list_transform(best, lambda x, i: CASE WHEN done[i] THEN 'inf'::DOUBLE ELSE x END) AS open_ FROM
+    (SELECT step, prim.pos, list_transform(best, lambda x, i: least(x, ws[i])) AS best, list_transform(done, lambda x, i: x OR i = prim.pos) AS done FROM prim JOIN reach ON reach.pos = prim.pos WHERE step < len(best) - 1)))
+SELECT ids[former] AS u, ids[pos] AS v, round(w2, 6) AS w2, CAST(step - 1 AS BIGINT) AS step FROM prim, ids WHERE step > 0"""
+)
 def hdbscan_mst(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges, _ = _tree(spark, sf_dir)
-    return spark.createDataFrame(edges.assign(step=range(len(edges))), "u long, v long, w2 double, step long")
+    return spark.createDataFrame(edges.assign(step=range(len(edges)), w2=edges["w2"].round(6)), "u long, v long, w2 double, step long")
 
 
 @query()
@@ -303,12 +320,11 @@ def columns_to_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells(datasets.from_columns(table(spark, sf_dir, "customer"), "c_custkey", ["c_acctbal", "c_nationkey"]), "x", "value", "id")
 
 
-@query(f"WITH {P}, near AS (SELECT a.id, b.id AS other, {d2('a.x', 'b.x')} AS d2 FROM p a, p b WHERE b.id < 50 AND a.id <> b.id) SELECT id AS vec_id, other, round(d2, 6) AS d2 FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d2, other) AS n FROM near) WHERE n = 3")
+@query(f"WITH {P}, {D2}, near AS (SELECT i AS id, j AS other, d2 FROM pairs UNION ALL SELECT j, i, d2 FROM pairs) SELECT id AS vec_id, other, round(d2, 6) AS d2 FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d2, other) AS n FROM near) WHERE n = 3")
 def third_smallest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = points(spark, sf_dir)
-    first = F.broadcast(found.filter("id < 50").select(F.col("id").alias("other"), F.col("x").alias("y")))
-    away = found.join(first, F.col("id") != F.col("other")).select(F.col("id").alias("vec_id"), "other", sq_distance(F.col("x"), F.col("y")).alias("d2"))
-    ranked = away.withColumn("n", F.row_number().over(Window.partitionBy("vec_id").orderBy("d2", "other")))
+    pairs = hdbscan.pairwise(points(spark, sf_dir))
+    near = pairs.select(F.explode(F.array(F.struct(F.col("i").alias("vec_id"), F.col("j").alias("other"), "d2"), F.struct(F.col("j").alias("vec_id"), F.col("i").alias("other"), "d2"))).alias("p")).select("p.*")
+    ranked = near.withColumn("n", F.row_number().over(Window.partitionBy("vec_id").orderBy("d2", "other")))
     return ranked.filter("n = 3").select("vec_id", "other", F.round("d2", 6).alias("d2"))
 
 

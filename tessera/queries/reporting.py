@@ -37,9 +37,9 @@ def primary_reference_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicates.primary_references(_phases(spark, sf_dir)).groupBy("phase_key", "reference_key").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {PHASES} SELECT a.phase_key, a.l_orderkey, a.l_quantity, b.reference_key, b.l_quantity AS l_quantity_reference FROM phases a JOIN phases b ON a.phase_key = b.phase_key AND a.l_orderkey = b.l_orderkey WHERE a.reference_key IS NULL AND b.reference_key IS NOT NULL AND a.l_orderkey < 4000")
+@query(f"WITH {PHASES} SELECT a.phase_key, a.l_orderkey, a.l_quantity, b.reference_key, b.l_quantity AS l_quantity_reference FROM phases a JOIN phases b ON a.phase_key = b.phase_key AND a.l_orderkey = b.l_orderkey WHERE a.reference_key IS NULL AND b.reference_key IS NOT NULL")
 def against_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = joins.against_references(_phases(spark, sf_dir).filter("l_orderkey < 4000"), ["phase_key", "l_orderkey"], F.col("reference_key").isNull(), F.col("reference_key").isNotNull(), ["l_quantity"])
+    made = joins.against_references(_phases(spark, sf_dir), ["phase_key", "l_orderkey"], F.col("reference_key").isNull(), F.col("reference_key").isNotNull(), ["l_quantity"])
     return made.select("phase_key", "l_orderkey", "l_quantity", "reference_key", "l_quantity_reference")
 
 
@@ -53,11 +53,11 @@ def timing_with_iterations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """SELECT l_orderkey, l_linenumber, fixed_phase, round(l_extendedprice, 6) AS l_extendedprice, round(cost / l_extendedprice, 6) AS equivalent_iterations FROM lineitem JOIN
-(SELECT s_suppkey, CASE WHEN s_acctbal > 0 THEN 'soa' ELSE 'pp' END AS fixed_phase, median(s_acctbal) AS cost FROM supplier GROUP BY 1, 2) ON l_suppkey = s_suppkey WHERE l_orderkey < 5000"""
+(SELECT s_suppkey, CASE WHEN s_acctbal > 0 THEN 'soa' ELSE 'pp' END AS fixed_phase, median(s_acctbal) AS cost FROM supplier GROUP BY 1, 2) ON l_suppkey = s_suppkey"""
 )
 def fixed_cost_equivalents(spark: SparkSession, sf_dir: str) -> DataFrame:
     fixed = table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS key", "CASE WHEN s_acctbal > 0 THEN 'soa' ELSE 'pp' END AS phase_key", "s_acctbal AS cost")
-    algorithm = table(spark, sf_dir, "lineitem").filter("l_orderkey < 5000").selectExpr("l_suppkey AS key", "l_orderkey", "l_linenumber", "l_extendedprice")
+    algorithm = table(spark, sf_dir, "lineitem").selectExpr("l_suppkey AS key", "l_orderkey", "l_linenumber", "l_extendedprice")
     made = joins.fixed_cost_equivalents(fixed, algorithm, ["key"], "cost", "l_extendedprice")
     return rounded(made.select("l_orderkey", "l_linenumber", "fixed_phase", "l_extendedprice", "equivalent_iterations"), "l_extendedprice", "equivalent_iterations")
 
@@ -104,12 +104,12 @@ def null_keys_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """SELECT l_orderkey, l_linenumber, CASE WHEN b = 0 THEN CASE WHEN a = 0 THEN 0.0 ELSE CAST('inf' AS DOUBLE) END ELSE round(CAST(a AS DOUBLE) / b, 6) END AS first, CASE WHEN b = 0 THEN -1.0 ELSE round(CAST(a AS DOUBLE) / b, 6) END AS second,
 round(CAST(a AS DOUBLE) / nullif(b, 0), 6) AS third, CASE WHEN a = b THEN 0.0 ELSE round(abs(a - b) / CAST(greatest(abs(a), abs(b)) AS DOUBLE) * 100, 6) END AS fourth, round(abs(a - b) / CAST(greatest(abs(a), abs(b), 1) AS DOUBLE) * 100, 6) AS fifth
-FROM (SELECT l_orderkey, l_linenumber, l_partkey % 4 AS a, l_suppkey % 3 AS b FROM lineitem WHERE l_orderkey < 3000)"""
+FROM (SELECT l_orderkey, l_linenumber, l_partkey % 4 AS a, l_suppkey % 3 AS b FROM lineitem)"""
 )
 def safe_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = F.col("l_partkey") % 4, F.col("l_suppkey") % 3
     second = F.round(scalars.ratio_or_nan(a, b), 6)
-    made = table(spark, sf_dir, "lineitem").filter("l_orderkey < 3000").select(
+    made = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", F.round(scalars.ratio_or_infinity(a, b), 6).alias("first"), F.when(F.isnan(second), -1.0).otherwise(second).alias("second"),
         F.round(scalars.rate(a, b), 6).alias("third"), F.round(scalars.relative_difference_pct(a, b), 6).alias("fourth"), F.round(scalars.relative_difference_pct(a, b, 1.0), 6).alias("fifth"),
     )
@@ -117,11 +117,11 @@ def safe_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _lloyd_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").filter("l_orderkey < 5000").selectExpr("l_orderkey", "l_linenumber", "l_extendedprice AS inertia_candidate", "l_extendedprice * (1 + CASE WHEN l_suppkey % 3 = 0 THEN 1e-9 ELSE 0 END) AS inertia_reference", "l_linenumber AS iterations_candidate", "l_linenumber + CAST(l_partkey % 7 = 0 AS INT) AS iterations_reference")
+    return table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_linenumber", "l_extendedprice AS inertia_candidate", "l_extendedprice * (1 + CASE WHEN l_suppkey % 3 = 0 THEN 1e-9 ELSE 0 END) AS inertia_reference", "l_linenumber AS iterations_candidate", "l_linenumber + CAST(l_partkey % 7 = 0 AS INT) AS iterations_reference")
 
 
 @query(
-    """WITH r AS (SELECT l_orderkey, l_linenumber, l_extendedprice AS a, l_extendedprice * (1 + CASE WHEN l_suppkey % 3 = 0 THEN 1e-9 ELSE 0 END) AS b, CAST(l_partkey % 7 = 0 AS INT) AS d FROM lineitem WHERE l_orderkey < 5000),
+    """WITH r AS (SELECT l_orderkey, l_linenumber, l_extendedprice AS a, l_extendedprice * (1 + CASE WHEN l_suppkey % 3 = 0 THEN 1e-9 ELSE 0 END) AS b, CAST(l_partkey % 7 = 0 AS INT) AS d FROM lineitem),
 p AS (SELECT *, CASE WHEN a = b THEN 0 ELSE abs(a - b) / greatest(abs(a), abs(b)) * 100 END AS pct FROM r)
 SELECT l_orderkey, l_linenumber, round(pct, 10) AS pct, CASE WHEN pct <= 1e-6 AND d <= 0 THEN 'PASS' ELSE 'FAIL' END AS status, round(greatest(pct / 1e-6, d), 3) AS pressure, CASE WHEN pct / 1e-6 >= d THEN 'inertia' ELSE 'iterations' END AS worst FROM p"""
 )
@@ -145,10 +145,10 @@ def parity_gmm(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """SELECT l_orderkey, l_linenumber, dataset || '_' || l_linenumber || 'D_' || l_suppkey || 'N_' || l_partkey || 'K' AS config, CASE phase WHEN 'lloyd' THEN 'Lloyd Algorithm' ELSE 'Other Phase' END AS name, 'phase=' || phase || ' / dataset=' || dataset AS path,
 CASE WHEN l_linenumber * 10 > 50 OR l_linenumber * 10 > round(4 + greatest(0.0, 15.4205 - 0.89468 * ln(l_suppkey + 1)) * 1258.93 * pow(l_linenumber + 1, -4.0)) THEN 'dynamic' ELSE 'static' END AS variant
-FROM (SELECT *, CASE WHEN l_linestatus = 'F' THEN 'blobs' ELSE 'real' END AS dataset, CASE WHEN l_returnflag = 'A' THEN 'lloyd' ELSE 'other_phase' END AS phase FROM lineitem WHERE l_orderkey < 3000)"""
+FROM (SELECT *, CASE WHEN l_linestatus = 'F' THEN 'blobs' ELSE 'real' END AS dataset, CASE WHEN l_returnflag = 'A' THEN 'lloyd' ELSE 'other_phase' END AS phase FROM lineitem)"""
 )
 def names_and_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").filter("l_orderkey < 3000").withColumns({"dataset": F.when(F.col("l_linestatus") == "F", "blobs").otherwise("real"), "phase": F.when(F.col("l_returnflag") == "A", "lloyd").otherwise("other_phase")})
+    lines = table(spark, sf_dir, "lineitem").withColumns({"dataset": F.when(F.col("l_linestatus") == "F", "blobs").otherwise("real"), "phase": F.when(F.col("l_returnflag") == "A", "lloyd").otherwise("other_phase")})
     d, n, k = F.col("l_linenumber") * 10, F.col("l_suppkey") + 1, F.col("l_linenumber") + 1
     return lines.select("l_orderkey", "l_linenumber", scalars.config_id(F.col("dataset"), F.col("l_linenumber"), F.col("l_suppkey"), F.col("l_partkey")).alias("config"), scalars.display_name(F.col("phase"), scalars.PHASES).alias("name"), scalars.path_text(["phase", "dataset"]).alias("path"), scalars.dispatch(d, n, k).alias("variant"))
 
@@ -167,12 +167,12 @@ def _gaps(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 @query(
-    """WITH a AS (SELECT DISTINCT l_returnflag, l_linestatus, l_suppkey, l_linenumber FROM lineitem WHERE l_suppkey < 12), b AS (SELECT * FROM a WHERE NOT (l_returnflag = 'N') AND NOT (l_returnflag = 'R' AND l_linestatus = 'O') AND NOT (l_suppkey IN (3, 4) AND l_linenumber < 3)),
+    """WITH a AS (SELECT DISTINCT l_returnflag, l_linestatus, l_suppkey, l_linenumber FROM lineitem), b AS (SELECT * FROM a WHERE NOT (l_returnflag = 'N') AND NOT (l_returnflag = 'R' AND l_linestatus = 'O') AND NOT (l_suppkey IN (3, 4) AND l_linenumber < 3)),
 m AS (SELECT *, CASE WHEN l_returnflag NOT IN (SELECT l_returnflag FROM b) THEN 1 WHEN (l_returnflag, l_linestatus) NOT IN (SELECT (l_returnflag, l_linestatus) FROM b) THEN 2 END AS depth FROM (SELECT * FROM a EXCEPT SELECT * FROM b))
 SELECT depth, CASE WHEN depth = 1 THEN [l_returnflag] ELSE [l_returnflag, l_linestatus] END AS path, count(*) AS n FROM m WHERE depth IS NOT NULL GROUP BY 1, 2"""
 )
 def missing_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sets.missing_branches(*(x.filter("l_suppkey < 12") for x in _gaps(spark, sf_dir)), KEYS, 2)[0]
+    return sets.missing_branches(*_gaps(spark, sf_dir), KEYS, 2)[0]
 
 
 @query()

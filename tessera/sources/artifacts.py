@@ -9,6 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from tessera.plans.shipping import ships
 
 #: Layouts of struct-of-arrays binary files: name and type of each array, which follow each other.
 TREE_EDGES = (("u", "<i4"), ("v", "<i4"), ("w2", "<f8"))
@@ -55,6 +56,7 @@ def read_arrays(path: str, layout) -> pd.DataFrame:
     return pd.DataFrame(found)
 
 
+@ships
 def write_matrix(points: DataFrame, path: str, dtype: str = "float32") -> None:
     """Points in the order of id as headerless row-major numbers, a file for each range of ids: part names sort as ids do."""
     Path(path).mkdir(parents=True, exist_ok=True)

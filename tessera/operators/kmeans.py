@@ -14,7 +14,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.vectors import nearest, sq_distance, literal
+from tessera.functions.vectors import nearest
 from tessera.plans import cut_lineage, uses_expressions
 from tessera.plans.shipping import ships
 
@@ -97,14 +97,14 @@ def iteration_stats(points: DataFrame, centers: np.ndarray, before: np.ndarray |
         yield pa.RecordBatch.from_arrays([pa.array(a[own]) for a in (every.astype(np.int32), n, inertia, changed)] + [pa.array(list(sums[own]), pa.list_(pa.float64()))], names=["k", "n", "inertia", "changed", "sums"])
 
     made = points.select("x").mapInArrow(run, "k int, n long, inertia double, changed long, sums array<double>")
-    sums = [F.sum(F.get("sums", F.lit(d))).alias(f"s{d}") for d in range(dimensions)]
-    made = made.groupBy("k").agg(*(F.sum(c).alias(c) for c in ("n", "inertia", "changed")), *sums)
-    return made.select("k", "n", "inertia", "changed", F.array(*(f"s{d}" for d in range(dimensions))).alias("sums"))
+    # as text, which is planned faster than as many columns
+    made = made.groupBy("k").agg(*(F.expr(f"sum({c}) AS {c}") for c in ("n", "inertia", "changed")), *(F.expr(f"sum(sums[{d}]) AS s{d}") for d in range(dimensions)))
+    return made.selectExpr("k", "n", "inertia", "changed", f"array({', '.join(f's{d}' for d in range(dimensions))}) AS sums")
 
 
 def dimension_stats(points: DataFrame, dimensions: int) -> tuple[int, np.ndarray, np.ndarray]:
     """Count, mean and (population) variance of each dimension, in one pass."""
-    aggregates = [f(F.get("x", F.lit(d))) for d in range(dimensions) for f in (F.avg, F.var_pop)]
+    aggregates = [F.expr(f"{f}(get(x, {d}))") for d in range(dimensions) for f in ("avg", "var_pop")]
     n, *row = points.agg(F.count("*"), *aggregates).first()
     return n, np.array(row[::2], float), np.array(row[1::2], float)
 
@@ -179,27 +179,22 @@ def lloyd(points: DataFrame, centers, max_iter: int = 300, tol: float = 1e-4) ->
     points = points.select("id", "x").persist(StorageLevel.MEMORY_AND_DISK)
     try:
         tolerance = scaled_tolerance(points, dimensions, tol)
-        before, iterations, history, strict = None, 0, [], False
+        before, iterations, history = None, 0, []
         while iterations < max_iter:
             sums, counts, inertia, changed = np.zeros_like(centers), np.zeros(len(centers), int), 0.0, 0
             for r in sorted(iteration_stats(points, centers, before).collect()):
                 sums[r.k], counts[r.k] = r.sums, r.n
                 inertia += r.inertia
                 changed += r.changed
-            repaired = repair(sums, counts, assign(points, centers))
+            repaired = (counts == 0).any() and repair(sums, counts, assign(points, centers, expressions=False))
             moved = update(centers, sums, counts)
             shift = float(((moved - centers) ** 2).sum())
             before, centers = centers, moved
             iterations += 1
             history.append(inertia)
-            if changed == 0 and not repaired:
-                strict = True
+            if (changed == 0 and not repaired) or shift <= tolerance:
                 break
-            if shift <= tolerance:
-                break
-        at_end = assign(points, before if strict else centers)
-        if strict:  # labels are those of the last iteration, distances are to the centers that it made
-            at_end = at_end.withColumn("d2", F.element_at(F.transform(literal(centers), lambda c: sq_distance(F.col("x"), c)), F.col("k") + 1)) if uses_expressions(*centers.shape) else assign(points, centers)
+        at_end = assign(points, centers, expressions=False)  # where no label changed, the centers have not either
         counts, own = np.zeros(len(centers), int), np.zeros(len(centers))
         for r in at_end.groupBy("k").agg(F.count("*").alias("n"), F.sum("d2").alias("inertia")).collect():
             counts[r.k], own[r.k] = r.n, r.inertia

@@ -375,3 +375,15 @@ def test_stream_of_points(spark, tmp_path):
         query.stop()
     assert values(spark.table("scored"), "id", "k") == [(i, i % 2) for i in sorted(range(20), key=lambda i: repr((i, i % 2)))]
     assert spark.table("drift").agg(F.sum("n")).first()[0] == 20 and {r.mean_d2 for r in spark.table("drift").filter("k = 1").collect()} == {1.0}
+
+
+def test_cover_splits_by_priority():
+    from tessera.operators.rectangles import cover
+
+    points = [(a, b) for a in range(2) for b in range(2) if (a, b) != (1, 1)]
+    first = cover(points, ["phase", "samples"])
+    assert [r.path[0][0] for r in first] == ["samples"] * 2 and [list(r.values) for r in first] == [["phase", "samples"]] * 2
+    assert [r.path[0][0] for r in cover(points, ["phase", "variant"])] == ["phase"] * 2
+    assert [r.path[0][0] for r in cover(points, ["phase", "variant"], config=("variant",))] == ["variant"] * 2
+    assert sorted(p for r in first for p in [(a, b) for a in r.values["phase"] for b in r.values["samples"]]) == sorted(points)
+    assert cover([(1, 2), (1, 2)], ["a", "b"])[0].path == ()

@@ -46,3 +46,10 @@ def test_an_iteration_is_one_shuffle_of_partial_sums(spark):
 def test_grouping_sets_read_the_table_once(spark):
     made = plan(QUERIES["delta_grouping_sets"](spark, SF)).split("== Physical Plan ==")[-1]
     assert made.count("FileScan parquet") == 1 and "Expand" in made
+
+
+def test_a_fused_iteration_is_one_python_node_and_one_shuffle(spark):
+    found = points(spark, SF)
+    centers = first_centers(found)
+    made = plan(kmeans.iteration_stats(found, centers, centers)).split("== Physical Plan ==")[-1]
+    assert made.count("MapInArrow") == 1 and made.count("Exchange") == 1 and "partial_sum" in made

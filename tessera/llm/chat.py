@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from tessera.plans.shipping import ships
+
 from .bpe import automaton, vocabulary
 from .common import cut, slices
 
@@ -70,6 +72,7 @@ def disassemble(ids: np.ndarray, mask: np.ndarray, decode) -> tuple[list[tuple[s
     return turns, [unescape(decode(ids[a:b].tobytes())) for a, b in zip(edges[::2], edges[1::2])]
 
 
+@ships
 def format_conversations(turns: DataFrame, path: str, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """One row for each turn: conv_col, start (tokens of the conversation before it), formatted (string), ids (binary, little-endian unsigned 32-bit), loss_mask (binary, a byte for each id).
 
@@ -107,6 +110,7 @@ def format_conversations(turns: DataFrame, path: str, conv_col: str = "conv_id",
     return joined.select(F.col("conv").alias(conv_col), (F.col("at") + F.coalesce("before", F.lit(0))).alias("start"), "formatted", "ids", "loss_mask")
 
 
+@ships
 def read_conversations(formatted: DataFrame, path: str, conv_col: str = "conv_id") -> DataFrame:
     """Reads the result of format_conversations back from ids and loss_mask, row by row: conv_col, start, role, text, loss_texts (array of the texts under the mask), formatted."""
     shared = formatted.sparkSession.sparkContext.broadcast(vocabulary(path))
@@ -122,6 +126,7 @@ def read_conversations(formatted: DataFrame, path: str, conv_col: str = "conv_id
     return formatted.select(conv_col, "start", "ids", "loss_mask", "formatted").mapInArrow(run, f"`{conv_col}` {kind}, start long, role string, text string, loss_texts array<string>, formatted string")
 
 
+@ships
 def digests(read: DataFrame, conv_col: str = "conv_id") -> DataFrame:
     """Of the rows of read_conversations: conv_col, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars for each conversation. A conversation's rows stream through one task, which holds the state of its digests alone."""
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera import plans
+from tessera.plans.shipping import ships
 
 #: Java and Python regular expressions for a run of anything but ASCII white space, and for the white space itself.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -102,6 +103,7 @@ def tidy() -> None:
         trim(0)
 
 
+@ships
 def map_text(df: DataFrame, keep: list[str], text: str, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, size: int = SLICE_BYTES) -> DataFrame:
     """Applies f to slices of the columns keep and text."""
 

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.plans.reduce import sum_vectors
+from tessera.plans.shipping import ships
 
 from .common import cut, join_hot, map_text, slices, tidy
 from .components import components
@@ -471,6 +472,7 @@ def join_links(classes: DataFrame, df: DataFrame, id_col: str, text_col: str, n:
     return found if others.isEmpty() else found.unionByName(_others(members, others, "root", "blocks", ["shingles"], pairs_of))
 
 
+@ships
 def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: tuple[int, int] = (80, 100), region: int = REGION, component_bytes: int = COMPONENT_BYTES) -> DataFrame:
     """id_col, n_shingles, component_id of every row: the least id that is reachable by links.
 

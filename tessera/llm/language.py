@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.plans.reduce import sum_vectors
+from tessera.plans.shipping import ships
 
 from .common import map_text, slices, tidy
 
@@ -225,6 +226,7 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], often: np.ndarray, docum
     return Model(languages, table, bias, float(min(grid, key=loss)) if held else 1.0)
 
 
+@ships
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
     """Fits on labelled rows (lang_col and text not null). A hash of id and text decides which documents the sample holds; document frequencies cover all.
 

@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.plans.reduce import sum_vectors
+from tessera.plans.shipping import ships
 
 from .common import cut, scratch, slices, tidy
 from .quality import BIN, BIN_LOW
@@ -440,6 +441,7 @@ def fit(made: DataFrame, v: Vocabulary, id_col: str = "doc_id") -> Network:
     return net
 
 
+@ships
 def score(df: DataFrame, learns: Column, id_col: str = "doc_id", text_col: str = "text", known: int = KNOWN, learned: int = LEARNED) -> DataFrame:
     """Fits on the rows of df that learn (a boolean column), and scores every whole text.
 

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.plans.shipping import ships
+
 from .bpe import PRE_TOKEN, byte_letters, vocabulary
 from .common import map_text
 
@@ -110,6 +112,7 @@ def tokenize_pieces(df: DataFrame, path: str, id_col: str = "doc_id", text_col:
     return map_text(df, [id_col], text_col, f, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, start long, length long, ids binary, doc_tokens long")
 
 
+@ships
 def pack(pieces: DataFrame, documents: int, id_col: str = "doc_id", capacity: int = SEQUENCE_TOKENS, group_documents: int = GROUP_DOCUMENTS, seed: int = SEED) -> DataFrame:
     """Gives each piece (id_col, start, length, more) its sequence_id and its offset there, gapless from 0.
 

@@ -19,6 +19,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.plans.shipping import ships
+
 from .bpe import vocabulary
 from .common import cut, slices, tidy
 from .quality import BIN, BIN_LOW
@@ -157,6 +159,7 @@ def most_frequent(counts: DataFrame, known: int) -> dict[str, int]:
     return {} if least is None else {r.name: r.pieces for r in counts.filter(F.col("c") >= least).select("name", "pieces").collect()}
 
 
+@ships
 def token_counts(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", known: int = KNOWN) -> DataFrame:
     """id_col, n_bytes (UTF-8), n_tokens of every whole text, as the sentencepiece library counts them without begin and end.
 

@@ -214,6 +214,26 @@ def test_density_stages(spark, block):
     assert len(tree) == n - 1 and tree["size"].iloc[-1] == n and (np.diff(tree["dist"]) >= 0).all()
 
 
+@pytest.mark.parametrize(("n", "block"), [(2, 5), (90, 13)])
+def test_both_ways_to_the_tree_give_the_same_rows(spark, n, block):
+    points = frame(spark, blobs(n, 3, 4, seed=9))  # no equal weights: the core distance is that to the nearest neighbour
+    core = hdbscan.core_distances(points, 2)
+    grown, found = hdbscan.spanning_tree(points, core), hdbscan.spanning_tree(points, core, limit=1, block=block)
+    assert grown[["u", "v"]].equals(found[["u", "v"]]) and np.allclose(grown["w2"], found["w2"])
+    assert hdbscan.single_linkage(grown, np.arange(n))[["left", "right", "size"]].equals(hdbscan.single_linkage(found, np.arange(n))[["left", "right", "size"]])
+
+
+def test_equal_weights_give_the_same_levels(spark):
+    grid = [[float(a), float(b)] for a in range(6) for b in range(5)]
+    points = frame(spark, grid)
+    core = hdbscan.core_distances(points, 4)
+    grown, found = (hdbscan.spanning_tree(points, core, limit=limit, block=7) for limit in (100, 1))
+    assert sorted(grown["w2"]) == sorted(found["w2"]) and set(grown["v"]) == set(found["v"]) == set(range(1, 30))
+    assert (found["u"].iloc[1:].to_numpy() == found["v"].iloc[:-1].to_numpy()).all()
+    a, b = (hdbscan.single_linkage(t, np.arange(30)) for t in (grown, found))
+    assert a["dist"].tolist() == b["dist"].tolist()
+
+
 def test_density_clusters(spark):
     x = np.concatenate([blobs(60, 2, 3, seed=4, spread=0.2), [[50.0, 50.0]]])
     rows = {r.id: r for r in hdbscan.hdbscan(frame(spark, x), 5).collect()}

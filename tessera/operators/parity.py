@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.scalars import pressure, relative_difference_pct, worst_check
+from tessera.functions.scalars import either_pressure, pressure, relative_difference_pct, worst_check
 
 #: Tolerances of the three comparisons and of repeats.
 LLOYD = {"inertia_diff_pct": 1e-6, "iteration_diff": 0}
@@ -75,8 +75,16 @@ def summary_checks(candidate: Column, reference: Column) -> dict[str, Column]:
     return {"counts": counts, "scalars": within(absolute, HDBSCAN["scalar_abs"]) | within(relative, HDBSCAN["scalar_rel"]), "probes": within(away, HDBSCAN["probe_max_abs"])}
 
 
+def summary_pressures(candidate: Column, reference: Column) -> dict[str, Column]:
+    """How much of their tolerances two fingerprints use: scalars (which pass on either tolerance) and probes."""
+    absolute = F.array_max(F.array(*(F.abs(candidate[s] - reference[s]) for s in SCALARS)))
+    relative = F.array_max(F.array(*(F.abs(candidate[s] - reference[s]) / F.greatest(F.abs(candidate[s]), F.abs(reference[s]), F.lit(1.0)) for s in SCALARS)))
+    away = array_max_abs(F.transform(candidate["probes"], lambda p: p["value"]), F.transform(reference["probes"], lambda p: p["value"]))
+    return {"scalars": either_pressure(pressure(absolute, F.lit(HDBSCAN["scalar_abs"])), pressure(relative, F.lit(HDBSCAN["scalar_rel"]))), "probes": pressure(away, F.lit(HDBSCAN["probe_max_abs"]))}
+
+
 def hdbscan(df: DataFrame) -> DataFrame:
-    """Rows of one comparison (stage; metrics documents as structs candidate and reference): failures, status. Which fingerprints count depends on the stage."""
+    """Rows of one comparison (stage; metrics documents as structs candidate and reference): failures, status, and for the stage full pressure and worst. Which fingerprints count depends on the stage."""
     c, r = F.col("candidate"), F.col("reference")
     checks = summary_checks(c["summary"], r["summary"])
     distance, labelled = F.col("stage") == "distance", F.col("stage").isin("select", "full")
@@ -84,7 +92,10 @@ def hdbscan(df: DataFrame) -> DataFrame:
     checks |= {n: ~labelled | (c[n].isNotNull() & (c[n] == r[n])) for n in ("noise_count", "cluster_count")}
     for part in ("label", "probability"):
         checks |= {f"{part}_{n}": ~labelled | x for n, x in summary_checks(c[f"{part}_summary"], r[f"{part}_summary"]).items()}
-    return judged(df, checks)
+    used = {f"{prefix}{n}": x for prefix in ("", "label_", "probability_") for n, x in summary_pressures(c[f"{prefix}summary"], r[f"{prefix}summary"]).items()}
+    used |= {n: F.when(c[n] == r[n], 0.0).when(c[n] != r[n], 1.0) for n in ("noise_count", "cluster_count")}
+    worst = F.when(F.col("stage") == "full", worst_check(used))
+    return judged(df, checks).withColumn("_w", worst).withColumns({"pressure": F.col("_w.pressure"), "worst": F.col("_w.check")}).drop("_w")
 
 
 def close(a: float, b: float, tolerance: dict[str, float]) -> bool:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.queries import analytics, clustering, reporting
+from tessera.queries import analytics, clustering, reporting, runs
 
-QUERIES = {**clustering.QUERIES, **analytics.QUERIES, **reporting.QUERIES}
-ORACLE_SQL = {**clustering.ORACLE_SQL, **analytics.ORACLE_SQL, **reporting.ORACLE_SQL}
+QUERIES = {**clustering.QUERIES, **analytics.QUERIES, **reporting.QUERIES, **runs.QUERIES}
+ORACLE_SQL = {**clustering.ORACLE_SQL, **analytics.ORACLE_SQL, **reporting.ORACLE_SQL, **runs.ORACLE_SQL}

@@ -58,15 +58,11 @@ def _beside(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inne
 
 def with_algorithm_iterations(timings: DataFrame, metrics: dict[str, DataFrame]) -> DataFrame:
     """Timing records with algorithm_iterations: those of their metrics in ITERATIVE phases, where a missing document raises; 1 in others."""
-    rest = timings.filter(~F.col("phase_key").isin(*ITERATIVE)).withColumn("algorithm_iterations", F.lit(1))
-    for phase in ITERATIVE:
-        mine = timings.filter(F.col("phase_key") == phase)
-        if phase in metrics:
-            found = joins.with_required(mine, metrics[phase].select(*MEASURED, "algorithm_iterations"), MEASURED, "algorithm_iterations")
-        else:
-            found = mine.withColumn("algorithm_iterations", F.raise_error(F.lit(f"no metrics of {phase}")).cast("int"))
-        rest = rest.unionByName(found)
-    return rest
+    given = [metrics[p].select(*MEASURED, F.col("algorithm_iterations").alias("_given")) for p in ITERATIVE if p in metrics]
+    joined = _beside(timings, sets.concat(given), MEASURED, "left") if given else timings.withColumn("_given", F.lit(None).cast("int"))
+    missing = F.raise_error(F.concat(F.lit("no metrics of "), "phase_key")).cast("int")
+    count = F.when(F.col("phase_key").isin(*ITERATIVE), F.coalesce("_given", missing)).otherwise(1)
+    return joined.withColumn("algorithm_iterations", count).drop("_given")
 
 
 def measured(timings: DataFrame) -> DataFrame:
@@ -147,7 +143,7 @@ def summarise(timings: DataFrame, metrics: dict[str, DataFrame], exclusions: Dat
     """
     timed = with_algorithm_iterations(timings, metrics)
     known = cut_lineage(measured(timed))
-    return Summary(known, cut_lineage(speedups(timed, known, **bootstrap)), cut_lineage(parities(metrics, known)), exclusions, dict(side or {}))
+    return Summary(known, cut_lineage(speedups(timings, known, **bootstrap)), cut_lineage(parities(metrics, known)), exclusions, dict(side or {}))
 
 
 def documents(summary: Summary) -> DataFrame:
@@ -204,15 +200,15 @@ class Report:
 GROUPINGS = [["phase_key"], ["phase_key", "stage_key"], ["phase_key", "stage_key", "variant_key"]]
 
 
-def compared_speedups(left: Summary, right: Summary, references: dict[str, str]) -> DataFrame:
-    """COMPARISON, speedup_baseline, speedup_candidate, ratio, delta_pct of the points that both have with their phase's reference."""
-    chosen = [predicates.primary_references(s.speedups, overrides=references) for s in (left, right)]
+def compared_speedups(left: DataFrame, right: DataFrame, references: dict[str, str]) -> DataFrame:
+    """COMPARISON, speedup_baseline, speedup_candidate, ratio, delta_pct of the points that both tables of speedups have with their phase's reference."""
+    chosen = [predicates.primary_references(df, overrides=references) for df in (left, right)]
     return joins.speedup_comparison(*chosen, COMPARISON)
 
 
-def compared_parity(left: Summary, right: Summary, references: dict[str, str]) -> DataFrame:
+def compared_parity(left: DataFrame, right: DataFrame, references: dict[str, str]) -> DataFrame:
     """COMPARISON, status, worst and pressure of both sides, transition, pressure_delta, and a delta of each shared difference."""
-    a, b = (predicates.primary_references(s.parity, overrides=references) for s in (left, right))
+    a, b = (predicates.primary_references(df, overrides=references) for df in (left, right))
     shared = [c for c in a.columns if c in b.columns and c not in (*COMPARISON, "failures")]
     made = joins.compared(a, b, COMPARISON, shared)
     numbers = [c for c in shared if c not in ("status", "worst")]
@@ -249,7 +245,7 @@ def report(left: Summary, right: Summary) -> Report:
     for name, a, b, keys, grid_start in entities:
         told = {line[1:] for line in lines if line[0] == "speedups"} if name == "parity" else set()
         lines += [line for line in _gaps(a, b, keys, name, grid_start) if line[1:] not in told]
-    matched, judged = compared_speedups(left, right, references), compared_parity(left, right, references)
+    matched, judged = compared_speedups(left.speedups, right.speedups, references), compared_parity(left.parity, right.parity, references)
     counters = None
     if "counters" in left.side and "counters" in right.side:
         events = [c for c in left.side["counters"].columns if c in right.side["counters"].columns and dict(left.side["counters"].dtypes)[c] in ("int", "bigint", "double") and c not in COUNTER_BRANCHES]

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import reports
+from tessera.operators import aggregates, predicates, reports, sets
+from tessera.plans import cut_lineage
 from tessera.queries.analytics import rounded
 from tessera.queries.catalogue import Catalogue, table
 
@@ -32,37 +33,43 @@ abs(c.inertia - r.inertia) / greatest(c.inertia, r.inertia) * 100 AS inertia_dif
 chosen AS (SELECT * FROM pairs WHERE reference_key = CASE phase_key WHEN 'lloyd' THEN 'reference' ELSE 'sklearn_brute' END)"""
 
 
-def _run(spark: SparkSession, sf_dir: str, status: str) -> reports.Summary:
+def _records(spark: SparkSession, sf_dir: str, status: str) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """Timing records of a run, and its metrics by phase."""
     lines = table(spark, sf_dir, "lineitem").filter(F.col("l_linestatus") == status)
     timed = lines.selectExpr(*(f"{sql} AS {name}" for name, sql in IDENTITY.items()), "CAST(l_quantity % 3 AS INT) AS timing_process_index", "l_extendedprice AS time_s", "l_quantity")
     lloyd = timed.filter("phase_key = 'lloyd'").groupBy(*reports.MEASURED).agg(F.max("l_quantity").alias("inertia")).withColumn("algorithm_iterations", F.expr("1 + samples % 7"))
-    return reports.summarise(timed.drop("l_quantity"), {"lloyd": lloyd}, iterations=ITERATIONS)
+    return timed.drop("l_quantity"), {"lloyd": lloyd}
+
+
+def _measured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.measured(reports.with_algorithm_iterations(*_records(spark, sf_dir, "F")))
+
+
+def _speedups(spark: SparkSession, sf_dir: str, status: str) -> DataFrame:
+    timings, metrics = _records(spark, sf_dir, status)
+    return reports.summarise(timings, metrics, iterations=ITERATIONS).speedups
+
+
+def _parities(spark: SparkSession, sf_dir: str, status: str) -> DataFrame:
+    timings, metrics = _records(spark, sf_dir, status)
+    return cut_lineage(reports.parities(metrics, timings))
 
 
 @query(f"WITH {TIMED} SELECT {', '.join(reports.MEASURED)}, n, processes, algorithm_iterations, round(median, 6) AS median, round(median / algorithm_iterations, 6) AS per_iteration_median FROM measured WHERE run = 'F'")
 def summary_measured(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = _run(spark, sf_dir, "F").measured
+    made = _measured(spark, sf_dir)
     return rounded(made.select(*reports.MEASURED, "n", "processes", "algorithm_iterations", "median", "per_iteration_median"), "median", "per_iteration_median")
 
 
 @query(f"WITH {TIMED} SELECT {', '.join(reports.COMPARISON)}, round(speedup, 6) AS speedup, round(candidate_point, 6) AS candidate_point, round(reference_point, 6) AS reference_point, round(speedup, 6) AS per_iteration_speedup FROM pairs WHERE run = 'F'")
 def summary_speedups(spark: SparkSession, sf_dir: str) -> DataFrame:
     values = ["speedup", "candidate_point", "reference_point", "per_iteration_speedup"]
-    return rounded(_run(spark, sf_dir, "F").speedups.select(*reports.COMPARISON, *values), *values)
+    return rounded(_speedups(spark, sf_dir, "F").select(*reports.COMPARISON, *values), *values)
 
 
 @query(f"WITH {TIMED} SELECT {', '.join(reports.COMPARISON)}, round(inertia_diff_pct, 6) AS inertia_diff_pct, CASE WHEN inertia_diff_pct <= 1e-6 THEN 'PASS' ELSE 'FAIL' END AS status FROM pairs WHERE run = 'F' AND phase_key = 'lloyd'")
 def summary_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(_run(spark, sf_dir, "F").parity.select(*reports.COMPARISON, "inertia_diff_pct", "status"), "inertia_diff_pct")
-
-
-@query()
-def summary_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.documents(_run(spark, sf_dir, "F"))
-
-
-def _report(spark: SparkSession, sf_dir: str) -> reports.Report:
-    return reports.report(_run(spark, sf_dir, "F"), _run(spark, sf_dir, "O"))
+    return rounded(_parities(spark, sf_dir, "F").select(*reports.COMPARISON, "inertia_diff_pct", "status"), "inertia_diff_pct")
 
 
 _BOTH = f"FROM (SELECT * FROM chosen WHERE run = 'F') a JOIN (SELECT * FROM chosen WHERE run = 'O') b ON {' AND '.join(f'a.{k} = b.{k}' for k in reports.COMPARISON)}"
@@ -74,12 +81,14 @@ _SIDES = "count(*) FILTER (WHERE f AND o) AS common, count(*) FILTER (WHERE f AN
 SELECT 'speedups' AS entity, {_SIDES} FROM keys UNION ALL SELECT 'parity', {_SIDES} FROM keys WHERE phase_key = 'lloyd'"""
 )
 def report_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _report(spark, sf_dir).points
+    pairs = [predicates.primary_references(reports.pairs(_records(spark, sf_dir, s)[0])) for s in ("F", "O")]
+    judged = [predicates.primary_references(_parities(spark, sf_dir, s)) for s in ("F", "O")]
+    return sets.concat([reports.point_counts(*pairs, reports.COMPARISON, "speedups"), reports.point_counts(*judged, reports.COMPARISON, "parity")])
 
 
 @query(f"WITH {TIMED} SELECT {', '.join(f'a.{k}' for k in reports.COMPARISON)}, round(a.speedup, 6) AS speedup_baseline, round(b.speedup, 6) AS speedup_candidate, round(b.speedup / a.speedup, 6) AS ratio, round(100 * (b.speedup / a.speedup - 1), 4) AS delta_pct {_BOTH}")
 def report_speedups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = reports.compared_speedups(*(_run(spark, sf_dir, s) for s in ("F", "O")), {})
+    made = reports.compared_speedups(*(_speedups(spark, sf_dir, s) for s in ("F", "O")), {})
     return rounded(made, "speedup_baseline", "speedup_candidate", "ratio").withColumn("delta_pct", F.round("delta_pct", 4))
 
 
@@ -88,14 +97,8 @@ def report_speedups(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT 'lloyd' AS phase_key, transition, count(*) AS n FROM judged GROUP BY 2"""
 )
 def report_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _report(spark, sf_dir).transitions
-
-
-@query()
-def report_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of what one run lacks; a first line counts them, so that there is one where nothing is missing."""
-    lines = _report(spark, sf_dir).missing
-    return spark.createDataFrame([("all", "", "", 0, len(lines)), *lines], "entity string, lacks string, path string, depth int, points long")
+    judged = reports.compared_parity(*(_parities(spark, sf_dir, s) for s in ("F", "O")), {})
+    return aggregates.transitions(judged, ["phase_key"], "status_baseline", "status_candidate", unchanged=True)
 
 
 QUERIES, ORACLE_SQL = query.queries, query.sql

@@ -58,7 +58,9 @@ def read_arrays(path: str, layout) -> pd.DataFrame:
 
 @ships
 def write_matrix(points: DataFrame, path: str, dtype: str = "float32") -> None:
-    """Points in the order of id as headerless row-major numbers, a file for each range of ids: part names sort as ids do."""
+    """Points in the order of id as headerless row-major numbers, a file for each range of ids: part names sort as ids do.
+
+    Tasks write, so path must be a folder that all executors and the driver share; if the driver doesn't see just what they wrote, this raises."""
     Path(path).mkdir(parents=True, exist_ok=True)
 
     def save(batches):
@@ -72,7 +74,9 @@ def write_matrix(points: DataFrame, path: str, dtype: str = "float32") -> None:
                 out.writelines(chunks)
         yield pa.RecordBatch.from_arrays([pa.array([sum(map(len, chunks))], pa.int64())], names=["bytes"])
 
-    points.select("id", "x").repartitionByRange("id").sortWithinPartitions("id").mapInArrow(save, "bytes long").agg(F.sum("bytes")).collect()
+    written = points.select("id", "x").repartitionByRange("id").sortWithinPartitions("id").mapInArrow(save, "bytes long").agg(F.sum("bytes")).first()[0]
+    if sum(part.stat().st_size for part in Path(path).glob("part-*")) != (written or 0):
+        raise ValueError(f"{path} doesn't hold just the parts that were written: it must be empty before, and shared by all executors")
 
 
 def lloyd_metrics(result) -> dict:

@@ -387,3 +387,31 @@ def test_cover_splits_by_priority():
     assert [r.path[0][0] for r in cover(points, ["phase", "variant"], config=("variant",))] == ["variant"] * 2
     assert sorted(p for r in first for p in [(a, b) for a in r.values["phase"] for b in r.values["samples"]]) == sorted(points)
     assert cover([(1, 2), (1, 2)], ["a", "b"])[0].path == ()
+
+
+def test_readers_of_services_by_stand_ins(spark, monkeypatch):
+    """The calls that the three services' clients get, and what is made of their answers; no network."""
+    import sys
+    from types import ModuleType, SimpleNamespace
+
+    calls = []
+
+    def client(name, **functions):
+        module = ModuleType(name)
+        module.__dict__.update(functions)
+        monkeypatch.setitem(sys.modules, name, module)
+
+    rows = np.array([[1.0, 2.0], [3.0, 4.0]])
+    client("sklearn")
+    client("sklearn.datasets", fetch_openml=lambda **how: calls.append(how) or SimpleNamespace(data=rows))
+    client("ucimlrepo", fetch_ucirepo=lambda id: SimpleNamespace(data=SimpleNamespace(features=pd.DataFrame(rows, columns=["a", "b"]))))
+    client("datasets", load_dataset=lambda *name, split: calls.append((name, split)) or {"v": rows.tolist(), "a": [1, 3], "b": [2, 4]})
+    want = [(0, [1.0, 2.0]), (1, [3.0, 4.0])]
+    assert values(datasets.openml(spark, 7), "id", "x") == values(datasets.openml(spark, name="n", version="2"), "id", "x") == values(datasets.openml(spark, name="n", version="active"), "id", "x") == want
+    assert [{k: v for k, v in c.items() if k != "as_frame"} for c in calls] == [{"data_id": 7}, {"name": "n", "version": 2}, {"name": "n", "version": "active"}]
+    assert values(datasets.uci(spark, 1), "id", "x") == want and values(datasets.uci(spark, 1, ["b"]), "id", "x") == [(0, [2.0]), (1, [4.0])]
+    assert values(datasets.hugging_face(spark, "r", "train", vector="v"), "id", "x") == values(datasets.hugging_face(spark, "r", "test", columns=["a", "b"], config="c"), "id", "x") == want
+    assert calls[3:] == [(("r",), "train"), (("r", "c"), "test")]
+    for wrong in (lambda: datasets.openml(spark), lambda: datasets.hugging_face(spark, "r", "train")):
+        with pytest.raises(ValueError):
+            wrong()

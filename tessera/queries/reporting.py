@@ -108,10 +108,10 @@ FROM (SELECT l_orderkey, l_linenumber, l_partkey % 4 AS a, l_suppkey % 3 AS b FR
 )
 def safe_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = F.col("l_partkey") % 4, F.col("l_suppkey") % 3
-    second = F.round(scalars.ratio_or_nan(a, b), 6)
+    second = scalars.rounded(scalars.ratio_or_nan(a, b), 6)
     made = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_linenumber", F.round(scalars.ratio_or_infinity(a, b), 6).alias("first"), F.when(F.isnan(second), -1.0).otherwise(second).alias("second"),
-        F.round(scalars.rate(a, b), 6).alias("third"), F.round(scalars.relative_difference_pct(a, b), 6).alias("fourth"), F.round(scalars.relative_difference_pct(a, b, 1.0), 6).alias("fifth"),
+        "l_orderkey", "l_linenumber", scalars.rounded(scalars.ratio_or_infinity(a, b), 6).alias("first"), F.when(F.isnan(second), -1.0).otherwise(second).alias("second"),
+        scalars.rounded(scalars.rate(a, b), 6).alias("third"), F.round(scalars.relative_difference_pct(a, b), 6).alias("fourth"), F.round(scalars.relative_difference_pct(a, b, 1.0), 6).alias("fifth"),
     )
     return made
 

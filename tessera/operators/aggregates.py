@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,8 +48,38 @@ def values_per_process(df: DataFrame, keys: list[str], process: str = "timing_pr
     return counted.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(process, "_n")))).alias("counts"))
 
 
-def _resampled(groups: list[np.ndarray], draw: np.random.Generator, statistic) -> float:
-    return float(statistic(np.concatenate([groups[i] for i in draw.integers(0, len(groups), len(groups))])))
+def _drawn_statistics(groups: list[np.ndarray], drawn: np.ndarray, statistic: str) -> np.ndarray:
+    """The statistic of each draw of whole groups (a row of their numbers). Draws of the same groups are the same in any order, so that each kind is computed once, all of them from one sorted array."""
+    g = len(groups)
+    counts = (drawn[:, :, None] == np.arange(g)).sum(1)
+    if g <= 15:
+        _, first, kind = np.unique(counts @ (g + 1) ** np.arange(g), return_index=True, return_inverse=True)
+    else:
+        first = kind = np.arange(len(drawn))
+    counts = counts[first]
+    sizes = np.array([len(x) for x in groups])
+    n = counts @ sizes
+    if statistic == "mean":
+        sums = np.array([x.sum() for x in groups])
+        return (np.where(counts > 0, counts * sums, 0.0).sum(1) / n)[kind]
+    values = np.concatenate(groups)
+    order = np.argsort(values, kind="stable")
+    values, of = values[order], np.repeat(np.arange(g), sizes)[order]
+    upto = counts[:, of].cumsum(1)
+    at = lambda rank: values[(upto <= rank[:, None]).sum(1)]
+    low, high = at((n - 1) // 2), at(n // 2)
+    made = np.where(low == high, low, (low + high) / 2)
+    if np.isnan(values[-1]):
+        made[counts[:, of[np.isnan(values)]].any(1)] = np.nan
+    return made[kind]
+
+
+def _between(values: np.ndarray, share: float) -> float:
+    """A quantile of sorted values, linear between neighbours."""
+    place = (len(values) - 1) * share
+    i = int(place)
+    a, b = values[i], values[min(i + 1, len(values) - 1)]
+    return a + (b - a) * (place - i) if place - i < 0.5 else b - (b - a) * (1 - (place - i))
 
 
 def bootstrap_ratio(candidate: list[np.ndarray], reference: list[np.ndarray], statistic: str = "median", iterations: int = ITERATIONS, level: float = LEVEL, seed: int = SEED) -> dict:
@@ -63,30 +93,66 @@ def bootstrap_ratio(candidate: list[np.ndarray], reference: list[np.ndarray], st
     if mine <= 0:
         raise ValueError("the candidate's statistic must be positive")
     draw = np.random.default_rng(seed)
-    ratios = np.empty(iterations)
-    for i in range(iterations):
-        below, above = _resampled(candidate, draw, f), _resampled(reference, draw, f)
-        ratios[i] = above / below if below > 0 else np.nan
-    ratios = ratios[np.isfinite(ratios)]
+    a, b = len(candidate), len(reference)
+    if a == b:  # one call draws what calls by turns would
+        drawn = draw.integers(0, a, (iterations, 2, a))
+        below, above = drawn[:, 0], drawn[:, 1]
+    else:
+        below, above = (np.array(x) for x in zip(*((draw.integers(0, a, a), draw.integers(0, b, b)) for _ in range(iterations))))
+    below, above = _drawn_statistics(candidate, below, statistic), _drawn_statistics(reference, above, statistic)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        ratios = np.where(below > 0, above / below, np.nan)
+    ratios = np.sort(ratios[np.isfinite(ratios)])
     if not len(ratios):
         raise ValueError("no ratio is finite")
-    low, high = np.percentile(ratios, [50 * (1 - level), 50 * (1 + level)])
+    low, high = (_between(ratios, share) for share in ((1 - level) / 2, (1 + level) / 2))
     return {"point": theirs / mine, "ci_low": float(low), "ci_high": float(high), "valid": len(ratios), "candidate_point": mine, "reference_point": theirs}
 
 
 @ships
 def bootstrap_ratios(df: DataFrame, keys: list[str], side: str, process: str, value: str, candidate: str, reference: str, statistic: str = "median", iterations: int = ITERATIONS, level: float = LEVEL, seed: int = SEED) -> DataFrame:
     """bootstrap_ratio for each key that has both sides. A key's timing values go to one task: they are a benchmark's repeats. Seeds follow from the key."""
-    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+    gathered = gathered_values(df, [*keys, side], process, value)
+    of = lambda s, name: gathered.filter(F.col(side) == s).select(*(F.col(k).alias(f"{name}_{k}") for k in keys), F.col("_values").alias(name))
+    on = F.lit(True)
+    for k in keys:
+        on &= F.col(f"_mine_{k}").eqNullSafe(F.col(f"_theirs_{k}"))
+    both = of(candidate, "_mine").join(of(reference, "_theirs"), on).select(*(F.col(f"_mine_{k}").alias(k) for k in keys), "_mine", "_theirs")
+    return bootstrap_gathered(both, keys, statistic, iterations, level, seed)
+
 
-    def f(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        sides = [[np.sort(g[value].to_numpy(float)) for _, g in rows[rows[side] == s].sort_values(process).groupby(process)] for s in (candidate, reference)]
-        if not all(sides):
-            return pd.DataFrame(columns=[*keys, "point", "ci_low", "ci_high", "valid", "candidate_point", "reference_point"])
-        made = bootstrap_ratio(*sides, statistic, iterations, level, child_seed(seed, *(str(k) for k in key)))
-        return pd.DataFrame([{**dict(zip(keys, key)), **made}])
+def gathered_values(df: DataFrame, keys: list[str], process: str, value: str) -> DataFrame:
+    """keys, _values: an array of (process, value) in order. Rows without a process don't count."""
+    rows = df.filter(F.col(process).isNotNull()).select(*keys, F.struct(F.col(process).alias("p"), F.col(value).cast("double").alias("v")).alias("_r"))
+    return rows.groupBy(*keys).agg(F.array_sort(F.collect_list("_r")).alias("_values"))
 
-    return df.select(*keys, side, process, value).groupBy(*keys).applyInPandas(f, f"{kinds}, point double, ci_low double, ci_high double, valid long, candidate_point double, reference_point double")
+
+@ships
+def bootstrap_gathered(df: DataFrame, keys: list[str], statistic: str = "median", iterations: int = ITERATIONS, level: float = LEVEL, seed: int = SEED) -> DataFrame:
+    """bootstrap_ratio of each row: keys, and _mine and _theirs as gathered_values makes them."""
+    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+    numbers = ["point", "ci_low", "ci_high", "valid", "candidate_point", "reference_point"]
+
+    def groups(column):
+        """The values by process of each row, from flat arrays."""
+        bounds, flat = column.offsets.to_numpy(), column.flatten()
+        start, stop = bounds[0], bounds[-1]
+        process, values = (column.values.field(c).slice(start, stop - start) for c in ("p", "v"))
+        process = process.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        values = values.to_numpy(zero_copy_only=False).astype(float)
+        assert len(flat) == len(values)
+        cuts = np.flatnonzero(np.diff(process)) + 1
+        for i, j in zip(bounds[:-1] - start, bounds[1:] - start):
+            inner = cuts[np.searchsorted(cuts, i, "right") : np.searchsorted(cuts, j, "left")] - i
+            yield np.split(values[i:j], inner)
+
+    def f(batches):
+        for batch in batches:
+            names = batch.select(keys).to_pylist()
+            made = [bootstrap_ratio(a, b, statistic, iterations, level, child_seed(seed, *(str(v) for v in row.values()))) for row, a, b in zip(names, groups(batch["_mine"]), groups(batch["_theirs"]))]
+            yield pa.RecordBatch.from_arrays([*(batch[k] for k in keys), *(pa.array([m[c] for m in made], pa.int64() if c == "valid" else pa.float64()) for c in numbers)], names=[*keys, *numbers])
+
+    return df.select(*keys, "_mine", "_theirs").mapInArrow(f, f"{kinds}, point double, ci_low double, ci_high double, valid long, candidate_point double, reference_point double")
 
 
 def per_iteration(ratios: DataFrame, candidate_iterations: str, reference_iterations: str) -> DataFrame:

@@ -85,11 +85,11 @@ def pairs(keys: DataFrame) -> DataFrame:
 def speedups(timings: DataFrame, known: DataFrame, statistic: str = "median", iterations: int = aggregates.ITERATIONS, level: float = aggregates.LEVEL, seed: int = aggregates.SEED) -> DataFrame:
     """COMPARISON, speedup (time of the reference to that of the candidate), ci_low, ci_high, valid, the points of both sides, and the same by iteration (per_iteration_*). known: measured of the same timings."""
     found = pairs(known)
-    values = [*MEASURED, "timing_process_index", "time_s"]
-    mine = _beside(timings.filter(F.col("language_key") == CANDIDATE).select(*values), found, VARIANT)
-    theirs = timings.filter(F.col("language_key") == REFERENCE).select(*values).withColumnRenamed("variant_key", "reference_key")
-    theirs = _beside(theirs, found, [*POINT, "reference_key"])
-    made = aggregates.bootstrap_ratios(mine.unionByName(theirs), COMPARISON, "language_key", "timing_process_index", "time_s", CANDIDATE, REFERENCE, statistic, iterations, level, seed)
+    gathered = aggregates.gathered_values(timings, MEASURED, "timing_process_index", "time_s")
+    side = lambda language, name: gathered.filter(F.col("language_key") == language).drop("language_key").withColumnRenamed("_values", name)
+    both = _beside(found, side(CANDIDATE, "_mine"), VARIANT)
+    both = _beside(both, side(REFERENCE, "_theirs").withColumnRenamed("variant_key", "reference_key"), [*POINT, "reference_key"])
+    made = aggregates.bootstrap_gathered(both, COMPARISON, statistic, iterations, level, seed)
     of = lambda language, keys, name: known.filter(F.col("language_key") == language).select(*keys, F.col("algorithm_iterations").alias(name))
     candidate = of(CANDIDATE, VARIANT, "candidate_iterations")
     reference = of(REFERENCE, [*POINT, F.col("variant_key").alias("reference_key")], "reference_iterations")
